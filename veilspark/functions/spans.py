@@ -5,7 +5,7 @@ characters from zero.  ``neglen`` is minus the length, so the natural order of
 the struct is leftmost first and longest first.  ``rank`` numbers the rule that
 found the span; ``ord`` only breaks ties inside a stage.
 
-Arguments named ``text``, ``spans`` and ``hits`` should be column names: they
+Arguments named ``text``, ``spans`` and ``pieces`` should be column names: they
 are used inside lambdas, where a longer expression would run once per element.
 """
 
@@ -22,6 +22,9 @@ NO_SPANS = f"cast(array() as {SPANS})"
 # Stands for one masked character while later stages scan the text.  It is
 # neither a digit, a letter, nor a space, so it ends words and digit runs.
 FILL = "\ue000"
+# Mark the ends of a match while a text is cut into pieces.
+OPEN = "\ue001"
+CLOSE = "\ue002"
 
 
 def make_span(start: str, length: str, ord_: int, rank: int, key: str, value: str) -> str:
@@ -31,16 +34,31 @@ def make_span(start: str, length: str, ord_: int, rank: int, key: str, value: st
     )
 
 
-def regex_spans(text: str, pattern: str, hits: str, key: str, ord_: int, rank: int) -> str:
-    """Spans of all matches: the gaps between matches give the offsets."""
-    span = make_span("acc.pos + p.gap", "length(p.hit)", ord_, rank, key, "p.hit")
+def scan_text(text: str) -> str:
+    """The text as the patterns see it: the two marks below are filled in, should it hold any."""
+    return (
+        f"if(contains({text}, {lit(OPEN)}) or contains({text}, {lit(CLOSE)}), "
+        f"translate({text}, {lit(OPEN + CLOSE)}, {lit(FILL + FILL)}), {text})"
+    )
+
+
+def marked_pieces(text: str, pattern: str) -> str:
+    """The text cut before every match, null without a match.
+
+    One scan marks both ends of each match; cutting at a mark needs no pattern.
+    """
+    marked = f"regexp_replace({text}, {pattern}, {lit(OPEN + '$0' + CLOSE)})"
+    return f"split(nullif({marked}, {text}), {lit(OPEN)}, -1)"
+
+
+def regex_spans(pieces: str, key: str, ord_: int, rank: int) -> str:
+    """Spans of the matches in marked pieces; the lengths of the pieces give the offsets."""
+    span = make_span("acc.pos", "length(p.hit)", ord_, rank, key, "p.hit")
     return f"""aggregate(
-        zip_with(slice(split({text}, {pattern}, -1), 1, size({hits})), {hits},
-                 (g, h) -> named_struct('gap', length(g), 'hit', h)),
-        named_struct('pos', 0, 'out', {NO_SPANS}),
-        (acc, p) -> named_struct(
-            'pos', acc.pos + p.gap + length(p.hit),
-            'out', concat(acc.out, array({span}))),
+        transform(slice({pieces}, 2, size({pieces})), x -> named_struct(
+            'hit', substring_index(x, {lit(CLOSE)}, 1), 'n', length(x) - 1)),
+        named_struct('pos', length({pieces}[0]), 'out', {NO_SPANS}),
+        (acc, p) -> named_struct('pos', acc.pos + p.n, 'out', concat(acc.out, array({span}))),
         acc -> acc.out)"""
 
 
@@ -108,6 +126,15 @@ def blank(text: str, spans: str) -> str:
     return splice(text, spans, f"repeat({lit(FILL)}, -s.neglen)")
 
 
+def original_values(spans: str, text: str) -> str:
+    """Values read from the original text where the scanned text was filled in."""
+    return f"""transform({spans}, s -> if(
+        contains(s.value, {lit(FILL)}),
+        named_struct('start', s.start, 'neglen', s.neglen, 'ord', s.ord, 'rank', s.rank,
+                     'key', s.key, 'value', substr({text}, s.start + 1, -s.neglen)),
+        s))"""
+
+
 def count_by_key(spans: str) -> str:
     """map<key, number of spans>, without zero entries."""
     return f"""map_from_entries(transform(

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.fence import fence
 from veilspark.functions.matchers import GUARDS, Matcher, regex
-from veilspark.functions.spans import NO_SPANS, by_rank, count_by_key, regex_spans, splice
+from veilspark.functions.spans import (
+    NO_SPANS, by_rank, count_by_key, marked_pieces, original_values, regex_spans, scan_text,
+    splice,
+)
 from veilspark.functions.text import lit
 
 _GUARDS = {"EMAIL": "at", "IDCARD": "digits", "BANKCARD": "digits", "IP": "dotted", "PHONE": "digits"}
@@ -27,11 +31,11 @@ def mask_numbered(df: DataFrame, text: str = "text", masked: str = "masked") ->
     hits = [f"__hit{i}" for i, _ in enumerate(ms)]
     found = {
         h: f"case when {'__guard_' + m.guard if m.guard else 'true'} "
-           f"then regexp_extract_all({text}, {m.pattern}, 0) end"
+           f"then {marked_pieces('__scan', m.pattern)} end"
         for h, m in zip(hits, ms)
     }
     parts = ", ".join(
-        f"if(size({h}) > 0, {regex_spans(text, m.pattern, h, m.key, 0, m.rank)}, {NO_SPANS})"
+        f"if(size({h}) > 0, {regex_spans(h, m.key, 0, m.rank)}, {NO_SPANS})"
         for h, m in zip(hits, ms)
     )
     types = list(dict.fromkeys(m.key for m in ms))
@@ -47,11 +51,13 @@ def mask_numbered(df: DataFrame, text: str = "text", masked: str = "masked") ->
                     if({lit(k)} in ({quoted}), '"', ''))))"""
         for k in types
     )
-    return (
-        df.withColumns({f"__guard_{g}": F.expr(GUARDS[g](text)) for g in guards})
+    done = (
+        df.withColumn("__scan", F.expr(scan_text(text)))
+        .withColumns({f"__guard_{g}": F.expr(GUARDS[g](text)) for g in guards})
         .withColumns({h: F.expr(sql) for h, sql in found.items()})
         .withColumn("__cand", F.expr(f"concat({parts})"))
-        .withColumn("__spans", F.expr(f"if(size(__cand) > 0, {by_rank('__cand')}, __cand)"))
+        .withColumn("__spans", F.expr(
+            f"if(size(__cand) > 0, {original_values(by_rank('__cand'), text)}, __cand)"))
         .withColumn("__labelled", F.expr(f"array_sort(concat({per_type}))"))
         .withColumn(masked, F.expr(
             f"if(size(__spans) = 0, {text}, {splice(text, '__labelled', 's.placeholder')})"))
@@ -59,8 +65,9 @@ def mask_numbered(df: DataFrame, text: str = "text", masked: str = "masked") ->
             "transform(__labelled, s -> named_struct('placeholder', s.placeholder, "
             "'value', s.value, 'entity_type', s.key))"))
         .withColumn("stats", F.expr(count_by_key("__spans")))
-        .drop("__cand", "__spans", "__labelled", *hits, *[f"__guard_{g}" for g in guards])
+        .drop("__scan", "__cand", "__spans", "__labelled", *hits, *[f"__guard_{g}" for g in guards])
     )
+    return fence(done, masked, "mappings", "stats")
 
 
 def detection_summary(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

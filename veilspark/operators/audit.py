@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.rulepack import RulePack
 from veilspark.functions.text import fingerprint
+from veilspark.operators.compliance import placeholder_token
 from veilspark.operators.ordered import previous_row
 
 SEGMENT_IDS = 10_000
@@ -118,10 +120,13 @@ def segment_ledger(chain: DataFrame) -> DataFrame:
     )
 
 
-def mask_audit(masked: DataFrame, session: str = "session_id") -> DataFrame:
+def mask_audit(
+    masked: DataFrame, session: str = "session_id", pack: RulePack = RulePack()
+) -> DataFrame:
     """Audit detail of masking: counters and value fingerprints, no plain text."""
+    token = placeholder_token(pack, "m.placeholder")
     entity = (
-        f"transform(mappings, m -> named_struct('entity_type', m.entity_type, "
+        f"transform(mappings, m -> named_struct('entity_type', {token}, "
         f"'placeholder', m.placeholder, 'value_hash', {fingerprint('m.value')}))"
     )
     total = "aggregate(map_values(stats), 0L, (a, x) -> a + x)"

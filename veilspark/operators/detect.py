@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import matchers as M
+from veilspark.functions.fence import fence
 from veilspark.functions.rulepack import RulePack
 from veilspark.functions.spans import (
-    FILL, NO_SPANS, blank, by_rank, count_by_key, first_occurrences, keep_values,
-    leftmost_longest, regex_spans,
+    NO_SPANS, blank, by_rank, count_by_key, first_occurrences, keep_values, leftmost_longest,
+    marked_pieces, original_values, regex_spans, scan_text,
 )
 from veilspark.functions.text import lit, quote_regex
 
@@ -36,7 +37,7 @@ def detect(
     ``row_keywords`` names an optional array<string> column with extra keywords
     that hold for that row only.
     """
-    work = df.withColumn(_SCAN, F.col(text))
+    work = df.withColumn(_SCAN, F.expr(scan_text(text)))
     found: list[str] = []
     if row_keywords is not None:
         work = work.withColumn("__words", F.expr(_row_pattern(row_keywords, pack)))
@@ -59,15 +60,10 @@ def detect(
 
     work = work.withColumn("__all", F.expr(f"concat({', '.join(found)})" if found else NO_SPANS))
     # a later span may enclose an earlier one (a keyword inside a URL): the outer one stays
-    # and takes its value from the original text
-    chosen = f"""transform({leftmost_longest('__all')}, s -> if(
-        contains(s.value, {lit(FILL)}),
-        named_struct('start', s.start, 'neglen', s.neglen, 'ord', s.ord, 'rank', s.rank,
-                     'key', s.key, 'value', substr({text}, s.start + 1, -s.neglen)),
-        s))"""
+    chosen = original_values(leftmost_longest("__all"), text)
     work = work.withColumn(out, F.expr(f"if(size(__all) = 0, {NO_SPANS}, {chosen})"))
     guards = {f"__guard_{g}" for g in [*tested, *M.guards_of(rules)]}
-    return work.drop(_SCAN, "__words", "__all", *found, *guards)
+    return fence(work.drop(_SCAN, "__words", "__all", *found, *guards), out)
 
 
 def _row_pattern(words: str, pack: RulePack) -> str:
@@ -108,8 +104,8 @@ def _stage(
             found[hit] = guarded(m, first_occurrences(_SCAN, m.words, m.key, m.ord, m.rank))
             spans = hit
         else:
-            found[hit] = guarded(m, f"regexp_extract_all({_SCAN}, {m.pattern}, 0)")
-            spans = regex_spans(_SCAN, m.pattern, hit, m.key, m.ord, m.rank)
+            found[hit] = guarded(m, marked_pieces(_SCAN, m.pattern))
+            spans = regex_spans(hit, m.key, m.ord, m.rank)
             if m.keep is not None:
                 spans = keep_values(spans, m.keep)
         parts.append(f"if(size({hit}) > 0, {spans}, {NO_SPANS})")
@@ -150,16 +146,34 @@ def count_spans(df: DataFrame, spans: str = "spans", out: str = "stats") -> Data
 
 def matches(df: DataFrame, keys: list[str], text: str, matcher: M.Matcher) -> DataFrame:
     """All spans of a single matcher, one row each, without any other rule."""
-    work = df.select(*keys, F.col(text).alias(_SCAN))
+    work = df.select(*keys, F.col(text), F.expr(scan_text(text)).alias(_SCAN))
     if matcher.guard:
         work = work.filter(M.GUARDS[matcher.guard](_SCAN))
     if matcher.pattern is None:
         spans = first_occurrences(_SCAN, matcher.words, matcher.key, 0, 0)
     else:
         work = work.withColumn(
-            "__hit", F.expr(f"regexp_extract_all({_SCAN}, {matcher.pattern}, 0)")
-        ).filter("size(__hit) > 0")
-        spans = regex_spans(_SCAN, matcher.pattern, "__hit", matcher.key, 0, 0)
+            "__hit", F.expr(marked_pieces(_SCAN, matcher.pattern))
+        )
+        spans = f"if(size(__hit) > 0, {regex_spans('__hit', matcher.key, 0, 0)}, {NO_SPANS})"
         if matcher.keep is not None:
             spans = keep_values(spans, matcher.keep)
-    return span_rows(work.withColumn("spans", F.expr(spans)), keys)
+    work = work.withColumn("spans", F.expr(spans))
+    work = work.withColumn("spans", F.expr(original_values("spans", text)))
+    return span_rows(fence(work, "spans"), keys)
+
+
+def match_values(df: DataFrame, keys: list[str], text: str, matcher: M.Matcher) -> DataFrame:
+    """Texts that match one rule: number of values and the values, in order.
+
+    A projection and a filter; nothing is exploded or shuffled.
+    """
+    hits = f"regexp_extract_all({text}, {matcher.pattern}, 0)"
+    if matcher.keep is not None:
+        hits = f"filter({hits}, v -> {matcher.keep('v')})"
+    work = df.filter(M.GUARDS[matcher.guard](text)) if matcher.guard else df
+    return (
+        work.select(*keys, F.expr(hits).alias("vals"))
+        .filter("size(vals) > 0")
+        .select(*keys, F.size("vals").cast("long").alias("n"), "vals")
+    )

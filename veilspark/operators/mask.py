@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.fence import fence
 from veilspark.functions.rulepack import RulePack
 from veilspark.functions.spans import count_by_key, splice
 from veilspark.functions.text import SEQ_STRIDE, placeholder
@@ -44,7 +45,7 @@ def mask(
         'placeholder', s.placeholder, 'value', s.value, 'entity_type', s.key, 'seq', s.seq,
         'start', s.start, 'end', s.start - s.neglen))"""
     none = "size(__spans) = 0"
-    return (
+    done = (
         detect(df, text, pack, "__spans", row_keywords)
         .withColumn("__base", F.expr(base))
         .withColumn("__numbered", F.expr(f"case when not ({none}) then {numbered} end"))
@@ -62,3 +63,4 @@ def mask(
         )
         .drop("__spans", "__base", "__numbered", "__labelled")
     )
+    return fence(done, masked, "mappings", "stats")

@@ -10,15 +10,16 @@ from veilspark.sources.tables import shared_folder
 VAULT_PARTITIONS = ["team_id", "dt"]
 
 
-def save_mappings(rows: DataFrame, path: str) -> None:
+def save_mappings(rows: DataFrame, path: str, day: str = "created_at") -> None:
     """Append vault rows, partitioned by team and day.
 
-    Rows are spread by session inside a partition value, so one busy team does
-    not end up in one task.
+    No shuffle comes before the write, so one busy team does not end up in one
+    task.  ``day`` may coarsen the partitions, for example to the first of the
+    month for a long history.
     """
     (
         rows.withColumn("team_id", F.coalesce("team_id", F.lit("default")))
-        .withColumn("dt", F.to_date("created_at").cast("string"))
+        .withColumn("dt", F.expr(f"cast(cast({day} as date) as string)"))
         .write.mode("append").partitionBy(*VAULT_PARTITIONS).parquet(path)
     )
 
