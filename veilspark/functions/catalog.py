@@ -150,7 +150,7 @@ SUMMARY_RULES = [
     ("邮箱", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
     ("身份证",
      r"[1-9][0-9]{5}(18|19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{3}[0-9Xx]"),
-    ("银行卡", r"\b([1-9][0-9]{15,18})\b"),
+    ("银行卡", "(?<![A-Za-z0-9_])([1-9][0-9]{15,18})(?![A-Za-z0-9_])"),
 ]
 
 # Fixed values -- compliance grades, lowest first.

@@ -199,12 +199,15 @@ def session_detail(audit: DataFrame, limit: int = 100) -> DataFrame:
         .agg(
             F.max("created_at").alias("created_at"),
             F.sort_array(
-                F.collect_list(
-                    F.struct("rn", "created_at", "action",
-                             F.from_json("detail_json", "map<string,string>").alias("detail"))
-                )
+                F.collect_list(F.struct("rn", "created_at", "action", "detail_json"))
             ).alias("events"),
         )
+        .withColumn(
+            "events",
+            F.expr("""transform(events, e -> named_struct(
+                'created_at', e.created_at, 'action', e.action,
+                'detail', from_json(e.detail_json, 'map<string,string>')))"""),
+        )
     )
 
 

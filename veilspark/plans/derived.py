@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.sources.tables import table
+from veilspark.sources.tables import spread, table
 
 AUDIT = """
 select event_id as id, concat('sess_', cast(user_id as string)) as session_id,
@@ -142,6 +142,8 @@ _INPUT = re.compile(r"\{(\w+)\}")
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = re.sub(r"sha256\((\w+)\)", r"sha2(\1, 256)", ALL[name])
     inputs = {n: table(spark, sf_dir, n) for n in _INPUT.findall(sql)}
+    if name.endswith("text") or name.endswith("text_on"):
+        inputs = {n: spread(df) for n, df in inputs.items()}
     return spark.sql(sql, **inputs)
 
 

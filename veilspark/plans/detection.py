@@ -12,9 +12,10 @@ from veilspark.operators import altpack, keywords, quality, requests
 from veilspark.operators.detect import count_spans, detect, match_values, span_rows
 from veilspark.plans import derived as D
 from veilspark.plans.registry import query
-from veilspark.sources.tables import table
+from veilspark.sources.tables import spread, table
 
 PACK = RulePack()
+NAMES_ON = PACK.enable("person", "location", "organization")
 PATTERN = {row[0]: row[7] for row in C.ENTITIES}
 EARLY = dict(C.ENTITY_STAGE)
 
@@ -37,7 +38,7 @@ def whole(run: str, pattern: str) -> str:
 
 
 def luhn(x: str) -> str:
-    d = f"cast(substr(reverse({x}), i + 1, 1) as int)"
+    d = f"try_cast(substr(reverse({x}), i + 1, 1) as int)"
     return (
         f"list_sum([case when i % 2 = 0 then {d} else ({d} * 2) % 10 + ({d} * 2) // 10 end "
         f"for i in range(length({x}))]) % 10 = 0"
@@ -93,7 +94,7 @@ def _register_rule(key: str, source: str) -> None:
 
     @query(f"detect_{key}" if given else f"detect_{key}_rich", check)
     def run(spark, sf_dir):
-        df = table(spark, sf_dir, source) if given else D.derived(spark, sf_dir, source)
+        df = spread(table(spark, sf_dir, source)) if given else D.derived(spark, sf_dir, source)
         return joined(match_values(df, ["doc_id"], "text", matcher))
 
 
@@ -111,7 +112,7 @@ for _key in VALUES:
 )
 def detect_pages(spark, sf_dir):
     """Count form of two catalog rules over raw pages."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
     count = {
         f"n_{k}": F.expr(
             f"if({M.GUARDS[M.GUARD_OF[k]]('html')}, cast(regexp_count(html, {M.regex(PATTERN[k])}) as bigint), 0L)"
@@ -138,7 +139,7 @@ _place = "|".join(C.PLACE_FRAGMENTS)
 )
 def detect_person(spark, sf_dir):
     """Two-character and single-character surnames with their filters."""
-    early = M.entity_matchers(PACK)
+    early = M.entity_matchers(NAMES_ON)
     compound, single = [m for m in early if m.key == "person"]
     df = D.derived(spark, sf_dir, "names_text")
 
@@ -166,7 +167,7 @@ def detect_location(spark, sf_dir):
     from veilspark.operators.detect import matches
 
     df = D.derived(spark, sf_dir, "names_text")
-    provinces, chars = [m for m in M.entity_matchers(PACK) if m.key == "location"]
+    provinces, chars = [m for m in M.entity_matchers(NAMES_ON) if m.key == "location"]
     found = matches(df, ["doc_id"], "text", provinces).unionByName(
         matches(df, ["doc_id"], "text", chars)
     )
@@ -184,7 +185,7 @@ def detect_location(spark, sf_dir):
 )
 def detect_org(spark, sf_dir):
     """Organisation names: the shortest name before a known ending."""
-    org = [m for m in M.entity_matchers(PACK) if m.key == "organization"][0]
+    org = [m for m in M.entity_matchers(NAMES_ON) if m.key == "organization"][0]
     return joined(match_values(D.derived(spark, sf_dir, "names_text"), ["doc_id"], "text", org))
 
 
@@ -268,7 +269,7 @@ def _per_word(w: str) -> str:
 @query("keyword_matches", " union all ".join(_per_word(w) for w in WORDS))
 def keyword_matches(spark, sf_dir):
     """Every occurrence of every keyword, overlapping ones too, counted per text."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = spark.createDataFrame([(w,) for w in WORDS], "keyword string")
     found = keywords.keyword_matches(docs, ["doc_id"], words)
     return found.groupBy("doc_id", "keyword").agg(
@@ -283,7 +284,7 @@ def keyword_matches(spark, sf_dir):
 def keyword_matches_longest(spark, sf_dir):
     """Leftmost, longest keywords."""
     matcher = M.Matcher("custom", lit(M.trie_pattern(WORDS)), 0, 0)
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return joined(match_values(docs, ["doc_id"], "text", matcher))
 
 
@@ -297,7 +298,7 @@ def _custom(name: str, pattern: str) -> None:
         pack = RulePack(entities=(PACK.entity("custom"),), entity_stage=False).with_rules(
             [CustomRule(name, pattern, "custom")]
         )
-        spans = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), pack=pack)
+        spans = detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), pack=pack)
         return spans.filter("size(spans) > 0").selectExpr(
             "doc_id", "cast(size(spans) as bigint) as n", "array_join(spans.value, '|') as vals"
         )
@@ -306,10 +307,18 @@ def _custom(name: str, pattern: str) -> None:
 _custom("custom_rule_us_phone", US_PHONE)
 _custom("custom_rule_token", TOKEN)
 
+def ascii_words(pattern: str) -> str:
+    """Word boundaries and plain groups in the checking engine's spelling."""
+    return (
+        pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b")
+        .replace("(1", "(?:1").replace("(0", "(?:0").replace("([", "(?:[")
+    )
+
+
 _summary = " union all ".join(
     f"select doc_id, '{label}' as label, cast(len(v) as bigint) as n, "
     f"array_to_string(v[1:2], '|') as examples from "
-    f"(select doc_id, regexp_extract_all(text, {sq(p.replace('(', '(?:'))}) as v from t) q "
+    f"(select doc_id, regexp_extract_all(text, {sq(ascii_words(p))}) as v from t) q "
     "where len(v) > 0"
     for label, p in C.SUMMARY_RULES
 )
@@ -324,7 +333,7 @@ _summary = " union all ".join(
 def detection_summary(spark, sf_dir):
     """Hits and two examples per label, over given and rich texts."""
     rich = D.derived(spark, sf_dir, "pii_text").selectExpr("-1 - doc_id as doc_id", "text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rich)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(rich)
     found = altpack.detection_summary(docs, ["doc_id"])
     return found.withColumn("examples", F.array_join("examples", "|"))
 
@@ -333,7 +342,10 @@ _ALT = {
     "PHONE": VALUES["phone"],
     "EMAIL": all_of(r"[\w._%+-]+@[\w.-]+\.[a-zA-Z]{2,}"),
     "IDCARD": VALUES["idcard"],
-    "BANKCARD": where(DIGITS, f"length(x) between 16 and 19 and not regexp_full_match(x, {sq(IDCARD)})"),
+    "BANKCARD": where(
+        all_of("[0-9]+[Xx]?"),
+        f"regexp_full_match(x, '[0-9]{{16,19}}') and not regexp_full_match(x, {sq(IDCARD)})",
+    ),
     "IP": whole(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"([0-9]{1,3}\.){3}[0-9]{1,3}"),
 }
 
@@ -352,7 +364,7 @@ _ALT = {
 def alt_rule_pack(spark, sf_dir):
     """The second rule pack: per text and type, how many and the highest number given."""
     rich = D.derived(spark, sf_dir, "pii_text").selectExpr("-1 - doc_id as doc_id", "text")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(rich)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(rich)
     masked = altpack.mask_numbered(docs)
     per_type = F.expr("""transform(map_entries(stats), e -> named_struct(
         'entity_type', e.key, 'n', e.value,
@@ -373,6 +385,6 @@ def alt_rule_pack(spark, sf_dir):
 )
 def dry_run_counts(spark, sf_dir):
     """Detect without masking: dry runs count as detected only."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counted = count_spans(detect(docs)).withColumn("dry_run", F.expr("doc_id % 2 = 0"))
     return requests.entity_totals(counted)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import CATALOG_SCHEMA, RulePack
@@ -54,7 +55,7 @@ def keyword_reject_reason(keyword: str) -> str:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def compiles(patterns: pd.Series) -> pd.Series:
     """Whether each pattern compiles (rule tables are small; data never passes here)."""
 

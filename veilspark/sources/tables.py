@@ -23,3 +23,13 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not root:
         root = os.path.join(tempfile.gettempdir(), "veilspark")
     return f"{root.rstrip('/')}/{purpose}/{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a costly step over an input that came in few splits.
+
+    A small or unsplittable file is dealt out evenly.  An input with at least as
+    many splits as cores, as any large one has, is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
