@@ -15,7 +15,12 @@ from veilspark.sources.tables import shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """Stream over a parquet folder or a single file.
+
+    A stream refuses the plain name of a file but takes a pattern; the last
+    letter as a one-letter pattern matches just this name.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def run_to_end(
