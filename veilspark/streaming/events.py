@@ -36,16 +36,14 @@ def run_to_end(
 
     def sink(batch: DataFrame, number: int) -> None:
         rows = transform(batch) if transform else batch
-        rows.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(
-            f"{root}/out/n={number}"
-        )
+        rows.write.mode("overwrite").parquet(f"{root}/out/batch_no={number}")
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True).foreachBatch(sink).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("n")
+    return spark.read.parquet(f"{root}/out")
 
 
 def mask_stream(messages: DataFrame, text: str, pack: RulePack = RulePack(),
