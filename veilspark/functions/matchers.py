@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack, java_pattern
+from veilspark.functions.spans import FILL
 from veilspark.functions.text import lit
 
 CJK = "[一-鿿]"
@@ -35,12 +36,23 @@ GUARDS: dict[str, Callable[[str], str]] = {
     "hexpair": _rlike(r"[0-9A-Fa-f][:-][0-9A-Fa-f]{2}[:-]"),
     "plate": _rlike(CJK + "[A-Z]"),
     "orgcode": _rlike(r"[0-9A-Z]{8}-[0-9A-Z]"),
-    "keys": _contains_any(
-        "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "xox", "hf_", "glpat-", "AIza",
-        "SG.", "_live_", "_test_", "ya29.", "acct", "key-",
-    ),
+    "keys": lambda t: "(" + " or ".join([
+        f"(contains({t}, '-') and {_contains_any('sk-', 'xox', 'glpat-', 'key-')(t)})",
+        f"(contains({t}, '_') and "
+        + _contains_any("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "hf_", "_live_", "_test_")(t) + ")",
+        _contains_any("AKIA", "AIza", "acct", "SG.", "ya29.")(t),
+    ]) + ")",
     "cjk": _rlike(CJK),
 }
+# Still cheaper tests that come first, and the guards that need them to pass.
+BASES: dict[str, Callable[[str], str]] = {
+    "digit": _rlike(r"\p{Nd}"),
+    "dash": _contains_any("-"),
+}
+NEEDS = {
+    "digits": ["digit"], "date": ["digit"], "dotted": ["digit"], "decimal": ["digit"],
+    "ssn": ["digit", "dash"], "orgcode": ["dash"],
+}
 GUARD_OF = {
     "phone": "digits", "idcard": "digits", "bankcard": "digits", "postcode": "digits",
     "passport": "digits", "credit_code": "digits", "hkmo_pass": "digits",
@@ -77,6 +89,14 @@ STARTS_WITH = {
 }
 
 
+# Catalog entities whose every match the entity stage sees as well.  Once that
+# stage has blanked its choice, such a pattern can only match anew beside a blank.
+SEEN_BEFORE = {"phone", "email", "idcard", "ip", "date", "amount", "postcode", "api_key"}
+BESIDE_BLANK = (
+    f"{FILL}[\\p{{Nd}}A-Za-z._%+$¥￥-]|[\\p{{Nd}}A-Za-z_日-]{FILL}"
+)
+
+
 @dataclass(frozen=True)
 class Matcher:
     """One pattern (a SQL expression) or word list that finds spans of a key."""
@@ -89,6 +109,7 @@ class Matcher:
     keep: Callable[[str], str] | None = None
     words: tuple[str, ...] = ()
     enabled: bool = True
+    seen_before: bool = False
 
 
 def guards_of(matchers: Iterable[Matcher]) -> list[str]:
@@ -192,6 +213,7 @@ def catalog_matcher(entity, rank: int = 0) -> Matcher:
         entity.key, regex(pattern, lead), 0, rank,
         GUARD_OF.get(entity.key) if known else None,
         bank_card_keep if entity.key == "bankcard" else None,
+        seen_before=known and entity.key in SEEN_BEFORE,
     )
 
 

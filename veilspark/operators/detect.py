@@ -51,6 +51,10 @@ def detect(
         off = sorted({m.key for m in entity if not m.enabled})
         work = _stage(work, entity, "__entity", leftmost_longest, off)
         work = _blank_found(work, "__entity")
+        work = work.withColumn(
+            "__beside",
+            F.expr(f"size(__entity) > 0 and rlike({_SCAN}, {lit(M.BESIDE_BLANK)})"),
+        )
         found.append("__entity")
         tested = M.guards_of(entity)
     rules = M.catalog_matchers(pack)
@@ -63,7 +67,7 @@ def detect(
     chosen = original_values(leftmost_longest("__all"), text)
     work = work.withColumn(out, F.expr(f"if(size(__all) = 0, {NO_SPANS}, {chosen})"))
     guards = {f"__guard_{g}" for g in [*tested, *M.guards_of(rules)]}
-    return fence(work.drop(_SCAN, "__words", "__all", *found, *guards), out)
+    return fence(work.drop(_SCAN, "__words", "__all", "__beside", *found, *guards), out)
 
 
 def _row_pattern(words: str, pack: RulePack) -> str:
@@ -85,18 +89,28 @@ def _stage(
 
     ``tested`` lists guards already known for the text before the entity stage
     blanked parts of it.  Blanking cannot make a failed guard pass, so such a
-    guard is only tested again where it passed and something was blanked.
+    guard is only tested again where it passed and something was blanked.  A
+    pattern that stage has run already is skipped unless a blank has a character
+    beside it with which a new match could begin or end.
     """
 
-    def guard(g: str) -> str:
-        test = M.GUARDS[g](_SCAN)
-        return f"__guard_{g} and (size(__entity) = 0 or {test})" if g in tested else test
-
     guards = M.guards_of(matchers)
     hits = [f"__hit{i}" for i, _ in enumerate(matchers)]
+    again = {m.guard for m in matchers if not (tested and m.seen_before)}
+
+    def guard(g: str) -> str:
+        test = M.GUARDS[g](_SCAN)
+        if g not in tested:
+            return " and ".join([*(f"__base_{b}" for b in M.NEEDS.get(g, [])), test])
+        if g not in again:
+            return f"__guard_{g} and __beside and {test}"
+        return f"__guard_{g} and (size(__entity) = 0 or {test})"
 
     def guarded(m: M.Matcher, value: str) -> str:
-        return f"case when __guard_{m.guard} then {value} end" if m.guard else value
+        if not m.guard:
+            return value
+        beside = " and __beside" if tested and m.seen_before else ""
+        return f"case when __guard_{m.guard}{beside} then {value} end"
 
     found, parts = {}, []
     for m, hit in zip(matchers, hits):
@@ -113,12 +127,14 @@ def _stage(
     chosen = choose("__cand")
     if off:
         chosen = f"filter({chosen}, s -> s.key not in ({', '.join(map(lit, off))}))"
+    bases = sorted({b for g in guards if g not in tested for b in M.NEEDS.get(g, [])})
     return (
-        df.withColumns({f"__guard_{g}": F.expr(guard(g)) for g in guards})
+        df.withColumns({f"__base_{b}": F.expr(M.BASES[b](_SCAN)) for b in bases})
+        .withColumns({f"__guard_{g}": F.expr(guard(g)) for g in guards})
         .withColumns({hit: F.expr(sql) for hit, sql in found.items()})
         .withColumn("__cand", F.expr(f"case when {some} then concat({', '.join(parts)}) end"))
         .withColumn(out, F.expr(f"if(size(__cand) > 0, {chosen}, {NO_SPANS})"))
-        .drop("__cand", *hits)
+        .drop("__cand", *hits, *[f"__base_{b}" for b in bases])
     )
 
 

@@ -24,8 +24,13 @@ def counters(updates: DataFrame) -> DataFrame:
         .otherwise(F.col("entity_type")).alias("entity_type"),
         F.col("n").cast("long").alias("n"),
     )
+    # both groupings use this one distribution: an update has at most a row per type
+    merged = (
+        named.repartition("update_id", *KEYS)
+        .groupBy("update_id", *KEYS, "entity_type").agg(F.sum("n").alias("n"))
+    )
     known = F.col("entity_type").isin(C.STATS_COLUMNS) & (F.col("n") > 0)
-    per_update = named.groupBy("update_id", *KEYS).agg(
+    per_update = merged.groupBy("update_id", *KEYS).agg(
         F.sum("n").alias("total"),
         F.map_from_entries(
             F.collect_list(F.when(known, F.struct("entity_type", "n")))

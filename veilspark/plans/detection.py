@@ -377,8 +377,9 @@ def alt_rule_pack(spark, sf_dir):
     "dry_run_counts",
     "with v as (select doc_id, "
     f"len({VALUES['email']}) as email, "
-    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as bankcard, len({VALUES['ip']}) as ip "
-    "from documents), u as (unpivot v on email, bankcard, ip into name entity_type value n) "
+    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as bankcard, len({VALUES['ip']}) as ip, "
+    f"len({VALUES['postcode']}) as postcode "
+    "from documents), u as (unpivot v on email, bankcard, ip, postcode into name entity_type value n) "
     "select entity_type, cast(sum(n) as bigint) as detected, "
     "cast(sum(case when doc_id % 2 = 1 then n else 0 end) as bigint) as masked "
     "from u where n > 0 group by 1",

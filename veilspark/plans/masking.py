@@ -31,23 +31,26 @@ _shape_sql = (
     f"regexp_replace(regexp_replace(text, '{VALUES['email'].split(chr(39))[1]}', "
     f"'[EMAIL]', 'g'), '{PATTERN['ip']}', '[IP]', 'g')"
 )
-for _ in range(2):
-    _shape_sql = f"regexp_replace({_shape_sql}, '{_card}', '\\1[BANKCARD]\\3', 'g')"
+_code = "(^|[^0-9])([1-9][0-9]{5})([^0-9]|$)"
+for _run, _name in ((_card, "BANKCARD"), (_card, "BANKCARD"), (_code, "POSTCODE"), (_code, "POSTCODE")):
+    _shape_sql = f"regexp_replace({_shape_sql}, '{_run}', '\\1[{_name}]\\3', 'g')"
 
 
 @query(
     "mask_documents",
     f"with v as (select doc_id, text, len({VALUES['email']}) as e, "
-    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as b, len({VALUES['ip']}) as i from documents) "
+    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as b, len({VALUES['ip']}) as i, "
+    f"len({VALUES['postcode']}) as p from documents) "
     "select doc_id, cast(e as bigint) as n_email, cast(b as bigint) as n_bankcard, "
-    f"cast(i as bigint) as n_ip, cast(e + b + i as bigint) as n_total, {_shape_sql} as masked_shape from v",
+    "cast(i as bigint) as n_ip, cast(p as bigint) as n_postcode, "
+    f"cast(e + b + i + p as bigint) as n_total, {_shape_sql} as masked_shape from v",
 )
 def mask_documents(spark, sf_dir):
     """Flagship: mask whole documents with all rules."""
     masked = mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     count = {
         f"n_{k}": F.expr(f"coalesce(try_element_at(stats, '{k}'), 0L)")
-        for k in ("email", "bankcard", "ip")
+        for k in ("email", "bankcard", "ip", "postcode")
     }
     return masked.withColumns(count).selectExpr(
         "doc_id", *count, "cast(size(mappings) as bigint) as n_total",
@@ -55,6 +58,31 @@ def mask_documents(spark, sf_dir):
     )
 
 
+_short = (
+    "concat('Order ', cast(o_orderkey as string), ' of u', cast(o_custkey as string), "
+    "'@example.com, tel ', cast(13000000000 + o_orderkey as string), ', id 110101', "
+    "cast(1950 + o_orderkey % 60 as string), '0115', lpad(cast(o_orderkey % 1000 as string), 3, '0'), "
+    "'X, seen at 10.1.', cast(o_custkey % 256 as string), '.', cast(o_orderkey % 256 as string), "
+    "'. Please call back about the delivery; thanks and regards, the service team.')"
+)
+
+
+@query(
+    "mask_short_texts",
+    "select o_orderkey, concat('Order ', case when length(cast(o_orderkey as varchar)) = 6 then '[POSTCODE]' "
+    "else cast(o_orderkey as varchar) end, ' of [EMAIL], tel [PHONE], id [IDCARD], seen at [IP]. Please "
+    "call back about the delivery; thanks and regards, the service team.') as masked_shape, "
+    "cast(case when length(cast(o_orderkey as varchar)) = 6 then 5 else 4 end as bigint) as n from orders",
+)
+def mask_short_texts(spark, sf_dir):
+    """Batch masking of short messages that hold a handful of entities each."""
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    masked = mask(orders.selectExpr("o_orderkey", f"{_short} as text"))
+    return masked.selectExpr(
+        "o_orderkey", f"{shape('masked')} as masked_shape", "cast(size(mappings) as bigint) as n"
+    )
+
+
 _STAGED = [k for k, _ in C.ENTITY_STAGE]
 _in_text = [k for k in D.GOLD_KEYS]
 _numbered = [k for k in _in_text if k in _STAGED] + [
@@ -380,10 +408,12 @@ def crypto_roundtrip(spark, sf_dir):
 @query(
     "transparency",
     f"with v as (select doc_id, len({VALUES['email']}) as email, "
-    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as bankcard, len({VALUES['ip']}) as ip "
-    "from documents) select doc_id, cast(email + bankcard + ip as bigint) as total, "
+    f"len({where(DIGITS, 'length(x) in (16, 19)')}) as bankcard, len({VALUES['ip']}) as ip, "
+    f"len({VALUES['postcode']}) as postcode from documents) "
+    "select doc_id, cast(email + bankcard + ip + postcode as bigint) as total, "
     "array_to_string([x for x in [case when bankcard > 0 then 'bankcard' end, "
-    "case when email > 0 then 'email' end, case when ip > 0 then 'ip' end] if x is not null], ',') "
+    "case when email > 0 then 'email' end, case when ip > 0 then 'ip' end, "
+    "case when postcode > 0 then 'postcode' end] if x is not null], ',') "
     "as types from v",
 )
 def transparency(spark, sf_dir):
