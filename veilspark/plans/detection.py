@@ -338,8 +338,10 @@ def detection_summary(spark, sf_dir):
     return found.withColumn("examples", F.array_join("examples", "|"))
 
 
+_landline = where(DIGITS, "length(x) between 10 and 12 and x[1] = '0'")
 _ALT = {
-    "PHONE": VALUES["phone"],
+    "PHONE": f"list_concat(list_concat({VALUES['phone']}, {_landline}), "
+             f"{whole('[0-9]+-[0-9]+', '0[0-9]{2,3}-[0-9]{7,8}')})",
     "EMAIL": all_of(r"[\w._%+-]+@[\w.-]+\.[a-zA-Z]{2,}"),
     "IDCARD": VALUES["idcard"],
     "BANKCARD": where(
