@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.matchers import Matcher, trie_pattern
 from veilspark.functions.text import lit
 from veilspark.operators.detect import matches
+from veilspark.operators.requests import small_side
 
 # A dictionary up to this size is compiled into one pattern; a larger one is joined.
 INLINE_KEYWORDS = 2_000
@@ -64,7 +65,7 @@ def _by_join(df: DataFrame, keys: list[str], words: DataFrame, text: str) -> Dat
             "transform(sequence(1, size(__c) - __n + 1), i -> array_join(slice(__c, i, __n), ''))"
         )).alias("start", "keyword"))
     )
-    return pieces.join(words, "keyword").selectExpr(
+    return pieces.join(small_side(words), "keyword").selectExpr(
         *keys, "keyword", "cast(start as bigint) as start",
         "cast(start + length(keyword) as bigint) as end",
     )
