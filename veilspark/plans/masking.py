@@ -278,7 +278,8 @@ _json_shape = (
 @query("json_masked", f"select event_id, {_json_shape} as masked_shape, cast(2 as bigint) as n from events")
 def json_masked(spark, sf_dir):
     """String values of JSON are masked; keys, numbers and nulls stay."""
-    docs = table(spark, sf_dir, "events").selectExpr("event_id", f"{_json} as body")
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props"))
+    docs = events.selectExpr("event_id", f"{_json} as body")
     masked = nested.mask_json(docs, ["event_id"], "body")
     return masked.selectExpr(
         "event_id", f"{shape('masked')} as masked_shape", "cast(size(mappings) as bigint) as n"
@@ -444,7 +445,7 @@ def text_limits(spark, sf_dir):
 )
 def row_keywords(spark, sf_dir):
     """Keywords that hold for one request only."""
-    ev = table(spark, sf_dir, "events").selectExpr(
+    ev = spread(table(spark, sf_dir, "events").select("event_id", "event_type")).selectExpr(
         "event_id", "concat('say ', event_type, '+ to ', event_type, 'x') as text",
         "if(event_id % 3 = 0, array(concat(' ', event_type, '+ ')), array(' ')) as kw",
     )
