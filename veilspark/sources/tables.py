@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names the folder in ``spark.checkpoint.dir``.  Where that is
-    unset, which means a local session, a temporary folder serves.
+    The cluster names the folder in ``spark.checkpoint.dir``.  Only a local
+    session may leave it unset; a temporary folder serves there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "veilspark")
     return f"{root.rstrip('/')}/{purpose}/{uuid.uuid4().hex}"
 

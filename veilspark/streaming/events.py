@@ -132,10 +132,11 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
         yield pd.DataFrame({"session_id": [key[0]], "last_seen_ms": [last]})
         return
     (last,) = state.get if state.exists else (0,)
+    ttl = 0
     for rows in frames:
         last = max(last, int(rows["seen_ms"].max()))
+        ttl = int(rows["ttl_ms"].iloc[0])
     state.update((last,))
-    ttl = int(rows["ttl_ms"].iloc[0])
     state.setTimeoutTimestamp(max(last + ttl, state.getCurrentWatermarkMs() + 1))
 
 

@@ -62,7 +62,7 @@ def flush_text(parsed: DataFrame, session: str = "session_id", order: list[str]
 
 # -- placeholders cut in two by the framing ---------------------------------
 
-_STATE = "idx long, tail string, done boolean, n_masked long"
+_STATE = "idx long, tail string, done boolean"
 _OUT = "session_id string, idx long, event string, data string"
 
 
@@ -84,11 +84,12 @@ def _held_back(text: str) -> int:
 
 
 def _join_pieces(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    idx, tail, done, n_masked = state.get if state.exists else (0, "", False, 0)
+    idx, tail, done = state.get if state.exists else (0, "", False)
+    end_seq = None
     rows = pd.concat(list(frames)).sort_values(["seq", "line_no"])
     out = []
-    for event, data in zip(rows["event"], rows["data"]):
-        if done:
+    for seq, event, data in zip(rows["seq"], rows["event"], rows["data"]):
+        if done and seq != end_seq:  # lines after the end count only inside its own piece
             break
         if event == "message":
             text = tail + data
@@ -98,12 +99,12 @@ def _join_pieces(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[
             idx += 1
         else:
             if event == "done":
-                done = True
+                done, end_seq = True, seq
                 if tail:
                     out.append((key[0], idx, "message", tail))
                     idx, tail = idx + 1, ""
             out.append((key[0], idx, event, data))
-    state.update((idx, tail, done, n_masked))
+    state.update((idx, tail, done))
     yield pd.DataFrame(out, columns=["session_id", "idx", "event", "data"])
 
 
