@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import simhash
+from veilspark.llm import decontam, simhash
 from veilspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,29 @@ def query(name: str, check: str | None = None):
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+OP9_CHECK = r"""
+with words as (select doc_id, row_number() over () r, [x for x in regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] w from documents),
+items as (select item_id, [x for x in regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] w from benchmark),
+spans as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') s from (
+    select item_id, w, least(13, len(w)) m, unnest(range(1, len(w) - least(13, len(w)) + 2)) i from items where len(w) > 0)),
+lens as (select distinct m from spans),
+places as (select r, m, i, array_to_string(w[i:i + m - 1], ' ') s from (
+    select r, w, m, unnest(range(1, len(w) - m + 2)) i from words, lens where len(w) >= m)),
+found as (select p.r, p.i, p.m, s.item_id from places p join spans s using (m, s)),
+hit as (select r, count(distinct j) n_hit from (select r, unnest(range(i, i + m)) j from found) group by r),
+named as (select r, count(*) n_items, string_agg(x, ',' order by x) x from (
+    select distinct r, cast(item_id as varchar) x from found) group by r)
+select doc_id, len(w) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+    sha256(coalesce(x, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) contaminated
+from words left join hit using (r) left join named using (r)"""
+
+
+@query("op9_decontamination", OP9_CHECK)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
