@@ -13,13 +13,13 @@ from veilspark.llm.common import extended, labelled_sample
 from veilspark.llm.octets import Rolling, pieces, text_buffers
 
 #: Training texts of each label at most, and the longest text used for training.
-SAMPLE, SAMPLE_CHARS = 1_500, 30_000
+SAMPLE, SAMPLE_CHARS = 1_200, 12_000
 #: Bytes of a chunk; each chunk also sees the first bytes of the next, so that no window is lost.
 CHUNK, WIDTH, STRIDE = 512, 8, 2
 FILTERS, CHANNELS = 16, 8
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+EPOCHS, BATCH, RATE = 12, 32, 0.005
 #: Small samples are gone through more often, to take so many steps.
-STEPS = 400
+STEPS = 600
 #: Score from which a document counts as good.
 THRESHOLD = 0.7
 

@@ -14,7 +14,7 @@ from veilspark.llm.common import extended, labelled_sample
 from veilspark.llm.octets import LOWER, WORD, Rolling, joined, mixed, pieces, text_buffers, word_spans
 
 #: Training texts of each label at most, and the longest text used for training.
-SAMPLE, SAMPLE_CHARS = 2_000, 50_000
+SAMPLE, SAMPLE_CHARS = 600, 20_000
 #: A chain has at most so many words in a row.
 CHAIN = 32
 #: Beginnings of words (bytes) that serve as features besides the whole word.
@@ -88,12 +88,14 @@ def _token_labels(types: np.ndarray, keys: np.ndarray, toxic: np.ndarray, before
     """
     marked = np.zeros(keys.shape[1], bool)
     share = min(0.9, max(1e-3, toxic.mean()))
-    contexts = np.unique(np.stack([types[toxic], before[toxic]]), axis=1)
+    size = keys.shape[1] + 1
+    seen = np.unique(types[toxic].astype(np.int64) * size + before[toxic] + 1)
+    contexts = seen // size, seen % size
     clean = np.bincount(types[~toxic], minlength=keys.shape[1])
     for row in keys:
         names, of = np.unique(row, return_inverse=True)
-        pairs = np.unique(of[contexts[0]].astype(np.int64) * (keys.shape[1] + 1) + contexts[1] + 1)
-        support = np.bincount(pairs // (keys.shape[1] + 1), minlength=len(names))
+        pairs = np.unique(of[contexts[0]].astype(np.int64) * size + contexts[1])
+        support = np.bincount(pairs // size, minlength=len(names))
         outside = np.bincount(of, weights=clean, minlength=len(names))
         good = (support * -np.log(share) >= np.log(len(names) + 1) + 3) & (outside <= 0.02 * support) & (names != 0)
         marked |= good[of]
@@ -112,12 +114,14 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60) -> dict | None:
         parts.append((hashes, piece + len(row_of), place))
         row_of += [r for r, _, _ in held]
     hashes, piece, place = (np.concatenate([p[i] for p in parts], axis=-1) for i in range(3))
+    del parts
     if not len(place):
         return None
     row_of = np.array(row_of)
     toxic = label[row_of[piece]]
     _, first, types = np.unique(hashes[0], return_index=True, return_inverse=True)
     keys = hashes[:, first]
+    del hashes
     before = np.concatenate([[-1], types[:-1]])
     before[place == 0] = -1
     gold = (_token_labels(types, keys, toxic, before)[types] & toxic).astype(np.float64)
@@ -153,9 +157,9 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60) -> dict | None:
         grad[size] = per_type.sum()
         grad[size + 1] = miss[0].sum()
         r, q = ahead[:-1], unary[1:] * back[1:]
-        w = np.stack([np.full_like(r, t[0, 0]), t[0, 1] * q, t[1, 0] * r, t[1, 1] * r * q])
-        w /= w.sum(axis=0)
-        grad[size + 2:] = seen.ravel() - (w * both).sum(axis=(1, 2))
+        each = both / (t[0, 0] + t[0, 1] * q + t[1, 0] * r + t[1, 1] * r * q)
+        expected = [t[0, 0] * each.sum(), t[0, 1] * (q * each).sum(), t[1, 0] * (r * each).sum(), t[1, 1] * (r * q * each).sum()]
+        grad[size + 2:] = seen.ravel() - expected
         grad = grad / max(1.0, gold.sum()) - 1e-4 * theta
         m = 0.9 * m + 0.1 * grad
         v = 0.98 * v + 0.02 * grad * grad
