@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,23 +50,37 @@ def extended(schema: T.StructType, *added: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in names] + list(added))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int,
-    id: str = "doc_id", text: str = "text",
-) -> list[tuple[str, int]]:
-    """At most ``per_class`` training texts of each label, chosen by a hash of the id.
+def thinned_by(id: str, wanted: int, total: int) -> Column:
+    """True for about twice as many rows as wanted, by a hash of the id, so that a limit never gathers many."""
+    share = min(1.0, 2 * wanted / max(total, 1))
+    return F.pmod(F.xxhash64(id), F.lit(1 << 30)) <= int(share * (1 << 30))
 
-    Rows whose ``crc32(id) mod 4`` is 2 are held out.  Texts over ``max_chars``
-    are not used for training, so the sample has a size bound.  Null texts and
-    labels take no part, copies of a text count once.
+
+def fitted(
+    docs: DataFrame, labels: DataFrame, label: str, wanted: tuple[int, int], max_chars: int,
+    fit: Callable[[list[tuple[str, int]]], object], id: str = "doc_id", text: str = "text",
+) -> object:
+    """Train in one task on at most ``wanted`` texts of label 0 and of label 1.
+
+    Rows are chosen by a hash of the id; those whose ``crc32(id) mod 4`` is 2 are
+    held out.  Texts over ``max_chars`` are not used for training, so the sample
+    has a size bound.  Null texts and labels take no part, copies of a text count
+    once.  ``fit`` gets the sorted sample, and also an empty one.
     """
     known = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y")).where(
         F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & (remainder("__id", 4) != 2))
+    counts = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+        part = known.where((F.col("__y") == y) & thinned_by("__id", wanted[y], counts.get(y, 0)))
+        part = part.orderBy(F.xxhash64("__id"), "__id").limit(wanted[y])
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).where(
         F.length("__text").between(1, max_chars))
-    rows = texts.join(chosen, "__id").select("__text", "__y").distinct().collect()
-    return sorted((r[0], r[1]) for r in rows)
+    sample = texts.join(chosen, "__id").select("__text", "__y").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows)))], pa.binary())], names=["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0][0])

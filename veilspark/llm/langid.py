@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, remainder
+from veilspark.llm.common import extended, remainder, thinned_by
 from veilspark.llm.octets import LOWER, pieces, text_buffers
 
 #: Longest context in bytes.
@@ -175,11 +175,18 @@ def trained(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     """Learn from at most SAMPLE texts of each language whose ``crc32(id) mod 3`` is not 1."""
     known = docs.select(F.col(id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
         F.col("l").isNotNull() & (F.col("l") != UNKNOWN) & (F.coalesce(remainder("i", 3), F.lit(0)) != 1))
-    common = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).select("l")
-    texts = {r[0]: [] for r in common.collect()}
-    # the limit applies in every task before the shuffle, so no task gathers a language
+    common = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES)
+    sizes = {r[0]: r[1] for r in common.collect()}
+    texts = {name: [] for name in sizes}
+    if not texts:
+        return None
+    # thinned to about twice the sample in all, so no task gathers a language
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", F.xxhash64("t"))
-    part = known.where(F.length("t").between(1, SAMPLE_CHARS) & F.col("l").isin(list(texts)))
+    part = None
+    for name, n in sizes.items():
+        keep = (F.col("l") == name) & thinned_by("i", SAMPLE, n)
+        part = keep if part is None else part | keep
+    part = known.where(part & F.length("t").between(1, SAMPLE_CHARS))
     part = part.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
     for name, found in part.where(has_letter(F.col("t"))).select("l", "t").distinct().collect():
         texts[name].append(found)

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, labelled_sample
+from veilspark.llm.common import extended, fitted
 from veilspark.llm.octets import Rolling, pieces, text_buffers
 
 #: Training texts of each label at most, and the longest text used for training.
-SAMPLE, SAMPLE_CHARS = 1_200, 12_000
+SAMPLE, SAMPLE_CHARS = (1_200, 1_200), 12_000
 #: Bytes of a chunk; each chunk also sees the first bytes of the next, so that no window is lost.
 CHUNK, WIDTH, STRIDE = 512, 8, 2
 FILTERS, CHANNELS = 16, 8
@@ -189,4 +189,4 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from the labelled rows that are not held out (a bounded sample of them)."""
     share = labels.where("quality in (0, 1) and doc_id is not null").where(
         "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").selectExpr("avg(quality)").first()[0]
-    return fit(labelled_sample(docs, labels, "quality", SAMPLE, SAMPLE_CHARS), share)
+    return fitted(docs, labels, "quality", SAMPLE, SAMPLE_CHARS, lambda sample: fit(sample, share))

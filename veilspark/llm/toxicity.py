@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, labelled_sample
+from veilspark.llm.common import extended, fitted
 from veilspark.llm.octets import LOWER, WORD, Rolling, joined, mixed, pieces, text_buffers, word_spans
 
-#: Training texts of each label at most, and the longest text used for training.
-SAMPLE, SAMPLE_CHARS = 600, 20_000
+#: Clean and toxic training texts at most, and the longest text used for training.
+SAMPLE, SAMPLE_CHARS = (3_000, 1_000), 20_000
 #: A chain has at most so many words in a row.
 CHAIN = 32
 #: Beginnings of words (bytes) that serve as features besides the whole word.
@@ -245,7 +245,7 @@ def score(
 
 def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
     """A model from the labelled rows that are not held out (a bounded sample of them)."""
-    return fit(labelled_sample(docs, labels, "toxic", SAMPLE, SAMPLE_CHARS))
+    return fitted(docs, labels, "toxic", SAMPLE, SAMPLE_CHARS, fit)
 
 
 def accepted(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
