@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, decontam, langid, mixing, quality, simhash, toxicity
-from veilspark.llm.common import remainder, staged, table
+from veilspark.llm import chat, decontam, langid, licenses, mixing, quality, simhash, toxicity, warc
+from veilspark.llm.common import remainder, shared_path, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -119,3 +119,28 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         " from values (0, 'user'), (1, 'assistant') as t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(staged(chat.windows(rows), "chat"))
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+OP6_CHECK = """
+with p as (select page_id, coalesce(html, '') h, sha256(coalesce(html, '')) d, strlen(coalesce(html, '')) b from pages),
+f as (select d, min(page_id) first from p where b >= 100 group by d)
+select page_id, b::bigint payload_bytes, p.d payload_digest,
+    case when first is null or first = page_id then 'response' else 'revisit' end record_type,
+    case when first <> page_id then first end refers_to
+from p left join f on p.d = f.d and b >= 100"""
+
+
+@query("op6_warc", OP6_CHECK)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    chunks = warc.read(spark, path, payload=False).where("last")
+    # a response counts with what was read, a revisit with what its header says
+    return chunks.selectExpr(
+        "page_id", "if(record_type = 'response', bytes_so_far, payload_bytes) as payload_bytes",
+        "if(record_type = 'response', sha256_so_far, payload_digest) as payload_digest", "record_type", "refers_to")
