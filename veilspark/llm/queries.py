@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import chat, decontam, langid, licenses, mixing, quality, simhash, toxicity, warc
+from veilspark.llm import ann, chat, decontam, langid, licenses, mixing, quality, simhash, toxicity, warc
 from veilspark.llm.common import remainder, shared_path, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.selectExpr(
         "page_id", "if(record_type = 'response', bytes_so_far, payload_bytes) as payload_bytes",
         "if(record_type = 'response', sha256_so_far, payload_digest) as payload_digest", "record_type", "refers_to")
+
+
+@query("op1_nearest")
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
