@@ -83,4 +83,5 @@ def fitted(
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(rows)))], pa.binary())], names=["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").collect()[0][0])
+    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0][0]) if made else fit([])

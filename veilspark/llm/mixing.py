@@ -90,19 +90,15 @@ def mix(
     docs = docs.drop(slot, position)
     sizes = sorted(
         ((r[0], r[1]) for r in docs.groupBy(source).count().collect()), key=lambda r: (r[0] is not None, r[0]))
-    columns = docs.columns
     if not sizes:
         return docs.withColumns({slot: F.lit(0).cast("long"), position: F.lit(0).cast("long")})
     count = [n for _, n in sizes]
     given = [n ** TEMPER for n in count] if weights is None else [float(weights.get(s) or 0) for s, _ in sizes]
     blocks = [-(-n // block) for n in count]
-    plan = []
-    first = phases([b if w > 0 else 0 for b, w in zip(blocks, given)], given, parts)
-    rest = phases([b if not w > 0 else 0 for b, w in zip(blocks, given)], count, parts)
-    for share, order, before, length in rest:  # sources with weights are used up by then
-        before = [b if w > 0 else u for b, u, w in zip(blocks, before, given)]
-        plan.append((share, order, before, length))
-    plan = first + plan
+    plan = phases([b if w > 0 else 0 for b, w in zip(blocks, given)], given, parts)
+    for share, order, before, length in phases([b if not w > 0 else 0 for b, w in zip(blocks, given)], count, parts):
+        # sources with weights are used up by then
+        plan.append((share, order, [b if w > 0 else u for b, u, w in zip(blocks, before, given)], length))
 
     # one row per phase, and one per phase and source: the blocks it serves there
     rows, serves, at = [], [], 0
@@ -122,23 +118,19 @@ def mix(
     groups = 1
     while groups < 16 ** _HEX and groups * GROUP < sum(count):
         groups *= 2
-    keyed = docs.withColumn("__md5", F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")))).withColumn(
-        "__group", F.expr(f"cast(conv(substr(__md5, 1, {_HEX}), 16, 10) as int) div {16 ** _HEX // groups}"))
-    per_group = keyed.groupBy(F.col(source).alias("__s"), F.col("__group").alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    before = per_group.selectExpr(
-        "__s", "__g",
-        "coalesce(sum(__n) over (partition by __s order by __g rows between unbounded preceding and 1 preceding), 0) __before")
-    ranked = keyed.withColumn("__in", F.expr(
-        f"row_number() over (partition by `{source}`, __group order by __md5, `{id}`) - 1"))
-    ranked = ranked.join(before, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__group") == F.col("__g")))
-    placed = ranked.select(*columns, (F.col("__before") + F.col("__in")).alias("__i")).withColumn(
-        "__b", F.expr(f"__i div {block}"))
-    placed = placed.join(
-        ranges, F.col(source).cast("string").eqNullSafe(F.col("name"))
-        & (F.col("__b") >= F.col("lo")) & (F.col("__b") < F.col("hi")))
-    placed = placed.withColumn("nth", F.expr("cast((__b - lo) % a as int)")).join(slots, ["phase", "j", "nth"])
-    return placed.withColumn("__slot", F.expr("phase + ((__b - lo) div a) * q + t")).select(
-        *columns, F.col("__slot").alias(slot), F.expr(f"__slot * {block} + __i % {block}").alias(position))
+    keyed = docs.select(
+        F.struct("*").alias("doc"), F.col(id).alias("id"), F.col(source).cast("string").alias("source"),
+        F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))).alias("md5"))
+    keyed = keyed.withColumn("part", F.expr(f"cast(conv(substr(md5, 1, {_HEX}), 16, 10) as int) div {16 ** _HEX // groups}"))
+    before = keyed.groupBy(F.col("source").alias("s"), F.col("part").alias("g")).agg(F.count(F.lit(1)).alias("n")).selectExpr(
+        "s", "g", "coalesce(sum(n) over (partition by s order by g rows between unbounded preceding and 1 preceding), 0) skip")
+    ranked = keyed.withColumn("i", F.expr("row_number() over (partition by source, part order by md5, id) - 1"))
+    ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("g"))).selectExpr(
+        "doc", "source", "skip + i as i", f"(skip + i) div {block} as b")
+    placed = ranked.join(ranges, F.col("source").eqNullSafe(F.col("name")) & F.expr("b >= lo and b < hi"))
+    placed = placed.withColumn("nth", F.expr("cast((b - lo) % a as int)")).join(slots, ["phase", "j", "nth"])
+    return placed.withColumn("slot", F.expr("phase + ((b - lo) div a) * q + t")).select(
+        "doc.*", F.col("slot").alias(slot), F.expr(f"slot * {block} + i % {block}").alias(position))
 
 
 def _quoted(text: object) -> str:
