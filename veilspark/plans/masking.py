@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack
-from veilspark.functions.text import LETTERS, alpha_id, fingerprint, luhn_ok, session_key
+from veilspark.functions.text import LETTERS, alpha_id, fingerprint, lit, luhn_ok, session_key
 from veilspark.operators import compliance, nested, quality, stats, vault
 from veilspark.operators.detect import count_spans, detect
 from veilspark.operators.mask import mask
@@ -230,41 +230,63 @@ def session_stats(spark, sf_dir):
     )
 
 
+# One request per message, plain or as blocks, with fields that masking must leave alone.
+_REQUESTS = (
+    '{"model":"m","temperature":0.70,"messages":[{"role":"user","name":"n 13900000000","content":@T@},'
+    '{"role":"tool","tool_call_id":"call 13900000001","content":"ip 10.0.0.1"},{"role":"assistant","content":null,'
+    '"tool_calls":[{"id":"c","arguments":"{\\"tel\\":13900000002}"}]}],'
+    '"tools":[{"type":"function","function":{"name":"f","strict":true}}], "stream":false}',
+    '{"messages":[{"content":[{"type":"text","text":@T@,"cache_control":{"type":"ephemeral"}},'
+    '{"type":"image","source":{"data":"13900000000","n":1e2}},{"text":"ip 10.0.0.1","type":"text"}],"role":"user"}],'
+    '"stream":true,"model":"m","max_tokens":64}',
+)
+
+
+def _request_sql(text: str, ip: str) -> str:
+    plain, blocks = (lit(r.replace("10.0.0.1", ip)) if ip.startswith("1") else
+                     "'" + r.replace("10.0.0.1", ip).replace("'", "''") + "'" for r in _REQUESTS)
+    return f"replace(case when turn % 2 = 0 then {plain} else {blocks} end, '@T@', {text})"
+
+
 def _requests(spark, sf_dir):
     """One request per message: plain content, or blocks with a non-text one between."""
     chat = spread(table(spark, sf_dir, "conversations")).withColumn("t", F.expr(_chat_text))
-    return chat.selectExpr(
-        "conv_id", "turn",
-        """if(turn % 2 = 0,
-            to_json(named_struct('model', 'm', 'messages', array(
-                named_struct('role', role, 'content', t),
-                named_struct('role', 'user', 'content', 'ip 10.0.0.1')), 'stream', false)),
-            to_json(named_struct('model', 'm', 'messages', array(
-                named_struct('role', role, 'content', array(
-                    named_struct('type', 'text', 'text', t),
-                    named_struct('type', 'image', 'text', '13900000000'),
-                    named_struct('type', 'text', 'text', 'ip 10.0.0.1')))), 'stream', true))) as body""",
-    )
+    literal = "substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)"
+    return chat.selectExpr("conv_id", "turn", f"{_request_sql(literal, '10.0.0.1')} as body")
+
+
+_masked_request = _request_sql(f"cast(to_json({_chat_shape}) as varchar)", "[IP]")
 
 
 @query(
     "mask_chat_requests",
-    f"select conv_id, turn, {_chat_shape} as first_shape, 'ip [IP]' as second_shape, "
-    "case when turn % 2 = 1 then '13900000000' end as untouched, cast(2 as bigint) as n_used, "
+    f"select conv_id, turn, {_masked_request} as masked_shape, true as hashed, cast(2 as bigint) as n_used, "
     "cast(1 as bigint) as n_phone, cast(1 as bigint) as n_ip from conversations",
 )
 def mask_chat_requests(spark, sf_dir):
-    """Whole chat requests: contents come back in the form they had."""
+    """Whole chat requests: only texts change, in the form they had; all other fields stay."""
     masked = nested.mask_chat(_requests(spark, sf_dir), ["conv_id", "turn"])
-    first = "get_json_object(masked_body, if(turn % 2 = 0, '$.messages[0].content', '$.messages[0].content[0].text'))"
-    second = "get_json_object(masked_body, if(turn % 2 = 0, '$.messages[1].content', '$.messages[0].content[2].text'))"
     return masked.selectExpr(
-        "conv_id", "turn", f"{shape(first)} as first_shape", f"{shape(second)} as second_shape",
-        "get_json_object(masked_body, '$.messages[0].content[1].text') as untouched",
+        "conv_id", "turn", f"{shape('masked_body')} as masked_shape", "content_hash = sha2(masked_body, 256) as hashed",
         "cast(size(used) as bigint) as n_used", "stats['phone'] as n_phone", "stats['ip'] as n_ip",
     )
 
 
+@query(
+    "mask_chat_dry_run",
+    "select conv_id, turn, true as unchanged, cast(0 as bigint) as n_mappings, cast(1 as bigint) as n_phone, "
+    "cast(1 as bigint) as n_ip from conversations",
+)
+def mask_chat_dry_run(spark, sf_dir):
+    """A dry run counts what masking would find, and leaves the request alone."""
+    requests = _requests(spark, sf_dir)
+    masked = nested.mask_chat(requests.withColumn("sent", F.col("body")), ["conv_id", "turn", "sent"], dry_run=True)
+    return masked.selectExpr(
+        "conv_id", "turn", "masked_body = sent as unchanged", "cast(size(mappings) as bigint) as n_mappings",
+        "stats['phone'] as n_phone", "stats['ip'] as n_ip",
+    )
+
+
 _json = (
     "concat(chr(123), '\"mail\":\"u', cast(event_id as string), '@example.com\",\"list\":[\"ip 10.0.0.1\",',"
     " cast(event_id as string), ',null],\"13800000000\":', props, chr(125))"
@@ -275,14 +297,25 @@ _json_shape = (
 )
 
 
-@query("json_masked", f"select event_id, {_json_shape} as masked_shape, cast(2 as bigint) as n from events")
+@query(
+    "json_masked",
+    f"select event_id, case when event_id % 7 <> 0 then {_json_shape} end as masked_shape, "
+    "case when event_id % 7 <> 0 then cast(2 as bigint) else 0 end as n from events "
+    f"union all select 1 as event_id, {_json_shape} as masked_shape, cast(2 as bigint) as n from events where event_id % 5 = 1",
+)
 def json_masked(spark, sf_dir):
-    """String values of JSON are masked; keys, numbers and nulls stay."""
+    """String values of JSON are masked; keys, numbers and nulls stay.
+
+    Some documents are null, and some share their key with others.
+    """
     events = spread(table(spark, sf_dir, "events").select("event_id", "props"))
-    docs = events.selectExpr("event_id", f"{_json} as body")
-    masked = nested.mask_json(docs, ["event_id"], "body")
+    docs = events.selectExpr(f"""inline(if(event_id % 5 = 1,
+        array(struct(event_id as k, event_id % 7 <> 0 as there), struct(1L as k, true as there)),
+        array(struct(event_id as k, event_id % 7 <> 0 as there))))""", "event_id", "props")
+    docs = docs.selectExpr("k", f"if(there, {_json}, null) as body")
+    masked = nested.mask_json(docs, ["k"], "body")
     return masked.selectExpr(
-        "event_id", f"{shape('masked')} as masked_shape", "cast(size(mappings) as bigint) as n"
+        "k as event_id", f"{shape('masked')} as masked_shape", "cast(size(coalesce(mappings, array())) as bigint) as n"
     )
 
 
@@ -343,25 +376,27 @@ def restore_used_only(spark, sf_dir):
     return out.select("reply_id", "restored")
 
 
+_REPLY = (
+    '{"id":"r","object":"chat.completion","created":1.50,"choices":[{"index":0,"logprobs":{"content":["@P@"]},'
+    '"message":{"role":"assistant","content":"tel @V@","tool_calls":[{"id":"@P@"}]},"finish_reason":"stop"},'
+    '{"message":{"content":null}}],"usage":{"total_tokens":7}, "x":"@P@"}'
+)
+
+
 @query(
     "restore_reply",
-    D.with_tables("vault") + " select id as reply_id, case when id % 2 = 0 then "
-    "concat('tel ', real_value) else concat('not json ', placeholder) end as content from vault",
+    D.with_tables("vault") + f" select id as reply_id, case when id % 2 = 0 then replace(replace('{_REPLY}', "
+    "'@P@', placeholder), '@V@', real_value) else concat('not json ', placeholder) end as restored from vault",
 )
 def restore_reply(spark, sf_dir):
-    """Reply JSON is restored in its content field, other text passes."""
+    """Reply JSON is restored in its content fields only; all other text passes."""
     v = D.derived(spark, sf_dir, "vault")
     replies = v.selectExpr(
         "id as reply_id", "map(placeholder, real_value) as m",
-        """if(id % 2 = 0, to_json(named_struct('id', 'r', 'choices', array(named_struct(
-            'index', 0, 'message', named_struct('role', 'assistant', 'content',
-            concat('tel ', placeholder)))))), concat('not json ', placeholder)) as body""",
-    )
-    out = nested.restore_reply(replies, "body", "m")
-    return out.selectExpr(
-        "reply_id",
-        "coalesce(get_json_object(restored, '$.choices[0].message.content'), restored) as content",
+        f"if(id % 2 = 0, replace(replace('{_REPLY}', '@P@', placeholder), '@V@', placeholder), "
+        "concat('not json ', placeholder)) as body",
     )
+    return nested.restore_reply(replies, "body", "m").select("reply_id", "restored")
 
 
 # -- grades and cryptography ------------------------------------------------------------------
