@@ -57,23 +57,39 @@ def test_ordered_operators_cross_blocks(spark):
 
 
 def test_chain_equals_python(spark):
-    rows = [(i, "s%d" % (i % 3), "act", None if i % 4 else '{"a":1}', "2024-01-01 00:00:%02d" % i)
+    rows = [(i * 3, "s%d" % (i % 3), "act", None if i % 4 else '{"a":1}', "2024-01-01 00:00:%02d" % i)
             for i in range(30)]
     df = spark.createDataFrame(rows, "id bigint, session_id string, action string, detail_json string, created_at string")
-    got = {r.id: r.prev_hash for r in audit.build_chain(df, 10).collect()}
-    last = {}
+
+    def sha(*parts):
+        return hashlib.sha256("|".join(parts).encode()).hexdigest()
+
+    want, closes, segment, inner = {}, [], None, None
     for i, s, a, d, c in rows:
-        key = (s, i // 10)
-        assert got[i] == last.get(key)
-        content = "|".join([got[i] or "", s, a, d or "", c])
-        last[key] = hashlib.sha256(content.encode()).hexdigest()
+        if i // 10 != segment:
+            segment, first = i // 10, True
+            if inner:
+                closes.append(inner)
+            inner = None
+        else:
+            first = False
+        want[i] = (sha(closes[-2] if len(closes) > 1 else "", closes[-1]) if closes else None) if first else inner
+        inner = sha(inner or "", s, a, d or "", c)
     chain = audit.build_chain(df, 10)
+    assert {r.id: r.prev_hash for r in chain.collect()} == want
+    assert [i for i, h in want.items() if h is None] == [0]
     assert audit.chain_report(audit.verify_chain(chain)).filter("not intact").count() == 0
-    bad = chain.withColumn("detail_json", F.expr("if(id = 4, 'x', detail_json)"))
-    report = audit.chain_report(audit.verify_chain(bad)).filter("not intact").collect()
-    assert [(r.session_id, r.first_break) for r in report] == [("s1", 7)]
-    links = audit.segment_ledger(chain).count()
-    assert links == 9
+    ledger = audit.segment_ledger(chain)
+    assert audit.verify_ledger(chain, ledger).filter("problem is not null").count() == 0
+    for changed in (0, 27, 30, 57, 84):  # at and between the ends of segments
+        bad = chain.withColumn("detail_json", F.expr(f"if(id = {changed}, 'x', detail_json)")) if changed % 2 else \
+            chain.withColumn("session_id", F.expr(f"if(id = {changed}, 'x', session_id)"))
+        broken = [r.id for r in audit.verify_chain(bad).filter("broken").collect()]
+        # the last row of a segment counts in the links of two segments
+        assert broken == ([30, 42] if changed == 27 else [changed + 3])
+    lost = audit.verify_ledger(chain.filter("segment <> 4 and id <> 87"), ledger).filter("problem is not null")
+    assert {r.segment: r.problem for r in lost.collect()} == {
+        4: "dropped", 5: "follows another segment", 8: "rows lost or added"}
 
 
 def test_crypto(spark):

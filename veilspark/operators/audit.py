@@ -11,7 +11,7 @@ from veilspark.functions.text import fingerprint
 from veilspark.operators.compliance import placeholder_token
 from veilspark.operators.ordered import previous_row
 
-SEGMENT_IDS = 10_000
+SEGMENT_IDS = 1_000
 
 
 def row_hash(prev: str, session: str, action: str, detail: str, created: str) -> str:
@@ -22,96 +22,72 @@ def row_hash(prev: str, session: str, action: str, detail: str, created: str) ->
 
 
 def with_segment(audit: DataFrame, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Cut the log of a session into segments of at most ``segment_ids`` rows.
-
-    Ids are unique, so a range of ids bounds the rows of a segment, whatever the
-    share of one session.
-    """
+    """Cut the log into segments of at most ``segment_ids`` rows: ids are unique."""
     return audit.withColumn("segment", F.expr(f"id div {segment_ids}"))
 
 
 def build_chain(audit: DataFrame, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Add ``prev_hash``: the hash of the previous row of the same chain.
+    """Add ``prev_hash``: the hash of the row before, over the whole log in order of id.
 
-    Each row's hash needs the one before it, so a chain is folded in order
-    inside one group; chains are (session, segment), which bounds the group.
-    The first row of a chain has no hash.
+    Each row's hash needs the one before it, so rows are folded in order inside
+    their segment, which bounds the group whatever the share of a session.  The
+    first row of a segment gets the link of the segment before (see
+    ``segment_ledger``), so only the first row of the log has no hash.
     """
-    step = row_hash("acc.h", "session_id", "r.action", "r.detail_json", "r.created_at")
+    step = row_hash("acc.h", "r.session_id", "r.action", "r.detail_json", "r.created_at")
     fold = f"""aggregate(
         rows,
         named_struct('h', cast(null as string),
-                     'out', cast(array() as array<struct<id:bigint,action:string,
+                     'out', cast(array() as array<struct<id:bigint,session_id:string,action:string,
                             detail_json:string,created_at:string,prev_hash:string>>)),
         (acc, r) -> named_struct(
             'h', {step},
             'out', concat(acc.out, array(named_struct(
-                'id', r.id, 'action', r.action, 'detail_json', r.detail_json,
+                'id', r.id, 'session_id', r.session_id, 'action', r.action, 'detail_json', r.detail_json,
                 'created_at', r.created_at, 'prev_hash', acc.h)))),
         acc -> acc.out)"""
-    return (
+    inner = (
         with_segment(audit, segment_ids)
-        .groupBy("session_id", "segment")
+        .groupBy("segment")
         .agg(
             F.sort_array(
-                F.collect_list(F.struct("id", "action", "detail_json", "created_at"))
+                F.collect_list(F.struct("id", "session_id", "action", "detail_json", "created_at"))
             ).alias("rows")
         )
-        .selectExpr("session_id", "segment", f"inline({fold})")
-    )
-
-
-def verify_chain(chain: DataFrame, keys: list[str] = ("session_id", "segment")) -> DataFrame:
-    """Add ``broken``: the stored hash differs from the one of the previous row.
-
-    Only neighbouring rows are compared, so this runs in parallel.  Rows without
-    a hash are not judged, and nothing protects the last row of a chain.
-    """
-    cols = ["prev_hash", "session_id", "action", "detail_json", "created_at"]
-    expected = row_hash(
-        "prev.prev_hash", "prev.session_id", "prev.action", "prev.detail_json", "prev.created_at"
+        .selectExpr("segment", f"inline({fold})")
     )
+    seeds = _seeds(segment_ledger(inner))
     return (
-        previous_row(chain, list(keys), "id", cols)
-        .withColumn(
-            "broken",
-            F.expr(f"prev is not null and prev_hash is not null and prev_hash <> {expected}"),
-        )
-        .drop("prev")
-    )
-
-
-def chain_report(verified: DataFrame, keys: list[str] = ("session_id", "segment")) -> DataFrame:
-    """Per chain: rows, breaks, first break, intact or not."""
-    return verified.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.sum(F.col("broken").cast("long")).alias("n_breaks"),
-        F.min(F.when(F.col("broken"), F.col("id"))).alias("first_break"),
-        (~F.max("broken")).alias("intact"),
+        inner.join(seeds, "segment", "left")
+        .withColumn("prev_hash", F.coalesce("prev_hash", "seed"))
+        .select("id", "session_id", "segment", "action", "detail_json", "created_at", "prev_hash")
     )
 
 
 def segment_ledger(chain: DataFrame) -> DataFrame:
-    """Tie the segments of a session together.
+    """Tie the segments of the log together: segment, n_rows, close_hash, link_hash.
 
     A segment is closed by the hash of its last row; its link hashes that
     together with the close of the segment before, so dropping or exchanging a
     segment shows.  Each link needs two closes only and is computed in parallel.
+    Inside a segment the hashes begin anew: the hash of its first row leaves out
+    the link stored with it.
     """
-    last = row_hash("l.prev_hash", "session_id", "l.action", "l.detail_json", "l.created_at")
+    prev = "if(n_rows = 1, null, l.prev_hash)"
+    last = row_hash(prev, "l.session_id", "l.action", "l.detail_json", "l.created_at")
     closes = (
-        chain.groupBy("session_id", "segment")
+        chain.groupBy("segment")
         .agg(
             F.count(F.lit(1)).alias("n_rows"),
             F.max_by(
-                F.struct("prev_hash", "action", "detail_json", "created_at"), "id"
+                F.struct("prev_hash", "session_id", "action", "detail_json", "created_at"), "id"
             ).alias("l"),
         )
         .withColumn("close_hash", F.expr(last))
         .drop("l")
     )
     return (
-        previous_row(closes, ["session_id"], "segment", ["close_hash"])
+        previous_row(closes, [], "segment", ["close_hash"])
         .withColumn(
             "link_hash",
             F.expr("sha2(concat_ws('|', coalesce(prev.close_hash, ''), close_hash), 256)"),
@@ -120,10 +96,65 @@ def segment_ledger(chain: DataFrame) -> DataFrame:
     )
 
 
+def _seeds(ledger: DataFrame) -> DataFrame:
+    """For each segment the link of the one before."""
+    return previous_row(ledger, [], "segment", ["link_hash"]).selectExpr("segment", "prev.link_hash as seed")
+
+
+def verify_chain(chain: DataFrame) -> DataFrame:
+    """Add ``broken``: the stored hash is not the one that the rows before give.
+
+    Neighbouring rows are compared inside their segment, and the first row of a
+    segment with the link recomputed from the segments before, all in parallel.
+    Every row is judged; a change anywhere but in the last row of the log shows.
+    """
+    inside = Window.partitionBy("segment").orderBy("id")
+    before = F.lag(F.struct("prev_hash", "session_id", "action", "detail_json", "created_at")).over(inside)
+    expected = row_hash(
+        "if(__no = 2, null, __prev.prev_hash)", "__prev.session_id", "__prev.action", "__prev.detail_json",
+        "__prev.created_at")
+    return (
+        chain.withColumns({"__no": F.row_number().over(inside), "__prev": before})
+        .join(_seeds(segment_ledger(chain)), "segment", "left")
+        .withColumn("broken", F.expr(f"not (prev_hash <=> if(__no = 1, seed, {expected}))"))
+        .drop("__no", "__prev", "seed")
+    )
+
+
+def chain_report(verified: DataFrame, keys: list[str] = ("segment",)) -> DataFrame:
+    """Per segment, or other keys: rows, breaks, first break, intact or not."""
+    return verified.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.col("broken").cast("long")).alias("n_breaks"),
+        F.min(F.when(F.col("broken"), F.col("id"))).alias("first_break"),
+        (~F.max("broken")).alias("intact"),
+    )
+
+
+def verify_ledger(chain: DataFrame, stored: DataFrame) -> DataFrame:
+    """Compare the rows with the ledger kept apart from them: segment, problem (null if none).
+
+    Finds dropped and added segments, lost rows and changes up to the last row.
+    """
+    now = segment_ledger(chain).selectExpr("segment", "struct(n_rows, close_hash, link_hash) as now")
+    was = stored.selectExpr("segment", "struct(n_rows, close_hash, link_hash) as was")
+    return now.join(was, "segment", "full").selectExpr(
+        "segment",
+        """case when now is null then 'dropped' when was is null then 'added'
+                when now.n_rows <> was.n_rows then 'rows lost or added'
+                when now.close_hash <> was.close_hash then 'changed'
+                when now.link_hash <> was.link_hash then 'follows another segment' end as problem""",
+    )
+
+
 def mask_audit(
-    masked: DataFrame, session: str = "session_id", pack: RulePack = RulePack()
+    masked: DataFrame, session: str = "session_id", pack: RulePack = RulePack(),
+    team: str | None = None, dry_run: bool = False,
 ) -> DataFrame:
-    """Audit detail of masking: counters and value fingerprints, no plain text."""
+    """Audit detail of masking: counters and value fingerprints, no plain text.
+
+    ``team`` is a SQL expression for the team of a request.
+    """
     token = placeholder_token(pack, "m.placeholder")
     entity = (
         f"transform(mappings, m -> named_struct('entity_type', {token}, "
@@ -133,8 +164,8 @@ def mask_audit(
     return masked.selectExpr(
         f"{session} as session_id",
         "'mask_request' as action",
-        f"to_json(named_struct('entity_count', {total}, 'stats', stats, 'dry_run', false, "
-        f"'entity_detail', {entity})) as detail_json",
+        f"to_json(named_struct('entity_count', {total}, 'stats', stats, 'dry_run', {str(dry_run).lower()}, "
+        f"'entity_detail', {entity}{f", 'team_id', {team}" if team else ''})) as detail_json",
     )
 
 

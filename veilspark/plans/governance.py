@@ -128,42 +128,60 @@ def snapshot_manifest(spark, sf_dir):
 
 # -- audit chain ----------------------------------------------------------------------------
 _chain = (
-    "with recursive " + _tables("audit")[5:] + ", a as (select *, id // 10000 as segment, "
-    "row_number() over (partition by session_id, id // 10000 order by id) as rn from audit), "
+    "with recursive " + _tables("audit")[5:] + ", a as (select *, id // 1000 as segment, "
+    "row_number() over (partition by id // 1000 order by id) as rn from audit), "
     "c as (select session_id, segment, id, rn, action, detail_json, created_at, "
     "cast(null as varchar) as prev_hash from a where rn = 1 union all "
     "select a.session_id, a.segment, a.id, a.rn, a.action, a.detail_json, a.created_at, "
     "sha256(concat_ws('|', coalesce(c.prev_hash, ''), c.session_id, c.action, "
-    "coalesce(c.detail_json, ''), c.created_at)) from c join a on a.session_id = c.session_id "
-    "and a.segment = c.segment and a.rn = c.rn + 1) "
+    "coalesce(c.detail_json, ''), c.created_at)) from c join a on a.segment = c.segment and a.rn = c.rn + 1), "
+    "s as (select segment, count(*) as n_rows, max(rn) as m from c group by 1), "
+    "h as (select s.segment, s.n_rows, sha256(concat_ws('|', coalesce(prev_hash, ''), "
+    "c.session_id, action, coalesce(detail_json, ''), created_at)) as close_hash "
+    "from s join c on c.segment = s.segment and c.rn = s.m), "
+    "g as (select segment, n_rows, close_hash, sha256(concat_ws('|', coalesce(lag(close_hash) "
+    "over (order by segment), ''), close_hash)) as link_hash from h) "
 )
 
 
-@query("audit_chain_build", _chain + "select id, session_id, segment, prev_hash from c")
+@query(
+    "audit_chain_build",
+    _chain + ", l as (select segment, lag(link_hash) over (order by segment) as seed from g) "
+    "select id, session_id, segment, coalesce(prev_hash, seed) as prev_hash from c join l using (segment)",
+)
 def audit_chain_build(spark, sf_dir):
+    """Every row but the first of the log carries the hash of the one before."""
     return A.build_chain(_d(spark, sf_dir, "audit")).select("id", "session_id", "segment", "prev_hash")
 
 
+@query("audit_segments", _chain + "select segment, n_rows, close_hash, link_hash from g")
+def audit_segments(spark, sf_dir):
+    """Segments of the log, tied together."""
+    return A.segment_ledger(A.build_chain(_d(spark, sf_dir, "audit")))
+
+
 @query(
     "audit_chain_verify",
-    _tables("audit") + " select session_id, id // 10000 as segment, count(*) as n_rows, "
+    _tables("audit") + " select id // 1000 as segment, count(*) as n_rows, "
     "cast(0 as bigint) as n_breaks, cast(null as bigint) as first_break, true as intact "
-    "from audit group by 1, 2",
+    "from audit group by 1",
 )
 def audit_chain_verify(spark, sf_dir):
     return A.chain_report(A.verify_chain(A.build_chain(_d(spark, sf_dir, "audit"))))
 
 
+_breaks = (
+    "select id // 1000 as segment, count(*) as n_rows, count(*) filter (where {0}) as n_breaks, "
+    "min(case when {0} then id end) as first_break, count(*) filter (where {0}) = 0 as intact from l group by 1"
+)
+
+
 @query(
     "audit_chain_tampered",
-    _tables("audit") + ", l as (select *, id // 10000 as segment, lag(id) over "
-    "(partition by session_id, id // 10000 order by id) as p from audit) "
-    "select session_id, segment, count(*) as n_rows, count(*) filter (where p % 97 = 0) as n_breaks, "
-    "min(case when p % 97 = 0 then id end) as first_break, "
-    "count(*) filter (where p % 97 = 0) = 0 as intact from l group by 1, 2",
+    _tables("audit") + ", l as (select *, lag(id) over (order by id) as p from audit) " + _breaks.format("p % 97 = 0"),
 )
 def audit_chain_tampered(spark, sf_dir):
-    """Changing a row breaks the chain at the next one."""
+    """Changing a row breaks the chain at the next one, also across segments."""
     chain = A.build_chain(_d(spark, sf_dir, "audit")).withColumn(
         "action", F.expr("if(id % 97 = 0, 'tampered', action)")
     )
@@ -171,26 +189,30 @@ def audit_chain_tampered(spark, sf_dir):
 
 
 @query(
-    "audit_segments",
-    _tables("audit").replace("with ", "with recursive ", 1)
-    + ", a as (select *, id // 1000 as segment, "
-    "row_number() over (partition by session_id, id // 1000 order by id) as rn from audit), "
-    "c as (select session_id, segment, id, rn, action, detail_json, created_at, "
-    "cast(null as varchar) as prev_hash from a where rn = 1 union all "
-    "select a.session_id, a.segment, a.id, a.rn, a.action, a.detail_json, a.created_at, "
-    "sha256(concat_ws('|', coalesce(c.prev_hash, ''), c.session_id, c.action, "
-    "coalesce(c.detail_json, ''), c.created_at)) from c join a on a.session_id = c.session_id "
-    "and a.segment = c.segment and a.rn = c.rn + 1), "
-    "s as (select session_id, segment, count(*) as n_rows, max(rn) as m from c group by 1, 2), "
-    "h as (select s.session_id, s.segment, s.n_rows, sha256(concat_ws('|', coalesce(prev_hash, ''), "
-    "c.session_id, action, coalesce(detail_json, ''), created_at)) as close_hash "
-    "from s join c on c.session_id = s.session_id and c.segment = s.segment and c.rn = s.m) "
-    "select session_id, segment, n_rows, close_hash, sha256(concat_ws('|', coalesce(lag(close_hash) "
-    "over (partition by session_id order by segment), ''), close_hash)) as link_hash from h",
+    "audit_chain_sparse",
+    _tables("audit") + ", s as (select id * 10000 as id from audit), "
+    "l as (select *, lag(id) over (order by id) as p from s) " + _breaks.format("p is not null"),
 )
-def audit_segments(spark, sf_dir):
-    """Segments of a session's log, tied together."""
-    return A.segment_ledger(A.build_chain(_d(spark, sf_dir, "audit"), 1000))
+def audit_chain_sparse(spark, sf_dir):
+    """One row per segment, each of them changed: every row but the first shows it."""
+    chain = A.build_chain(_d(spark, sf_dir, "audit").withColumn("id", F.expr("id * 10000")))
+    return A.chain_report(A.verify_chain(chain.withColumn("action", F.lit("tampered"))))
+
+
+@query(
+    "audit_ledger_verify",
+    _tables("audit") + ", g as (select id // 1000 as segment, max(id) as last from audit group by 1), "
+    "p as (select *, lag(segment) over (order by segment) as before from g) select segment, case "
+    "when segment % 4 = 1 then 'dropped' when segment % 4 = 3 then 'changed' "
+    "when before % 4 in (1, 3) then 'follows another segment' end as problem from p",
+)
+def audit_ledger_verify(spark, sf_dir):
+    """The ledger finds dropped segments and a change of the last row of a segment."""
+    chain = A.build_chain(_d(spark, sf_dir, "audit"))
+    last = "id = max(id) over (partition by segment)"
+    harmed = chain.filter("segment % 4 <> 1").withColumn("last", F.expr(last)).withColumn(
+        "action", F.expr("if(last and segment % 4 = 3, 'tampered', action)")).drop("last")
+    return A.verify_ledger(harmed, A.segment_ledger(chain))
 
 
 _tier_days = "case tier when 'enterprise' then 3650 when 'team' then 90 else 7 end"

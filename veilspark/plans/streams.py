@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark.operators import stats
-from veilspark.plans import derived as D
 from veilspark.plans.governance import _lock, _streak
 from veilspark.plans.masking import SHAPE
 from veilspark.plans.registry import query
@@ -13,15 +12,22 @@ from veilspark.sources.tables import shared_folder, table
 from veilspark.streaming import events as E
 from veilspark.streaming import lines as L
 
-# one reply per message: the text on one line, with a placeholder put in
-_SPLIT_AT = 20
+# one reply per message: the text on one line, between two placeholders
 _FLAT = "replace(replace(text, chr(10), ' '), chr(13), ' ')"
 _SESSION = "concat('sess_', cast(conv_id as string), '_', cast(turn as string))"
 _HOLDER = ("concat('[PII_PHONE_', translate(cast(conv_id * 100 + turn as string), '0123456789', "
            "'ABCDEFGHIJ'), ']')")
 _VALUE = "cast(13000000000 + conv_id * 1000 + turn as string)"
-_REPLY = f"concat(substr({_FLAT}, 1, {_SPLIT_AT}), {{}}, substr({_FLAT}, {_SPLIT_AT + 1}))"
-_LIVE = f"substr({_FLAT}, 1, {_SPLIT_AT})"
+_REPLY = f"concat('to ', {{0}}, ' ', {_FLAT}, ' ', {{0}}, '.')"
+
+
+def _data(after: str) -> str:
+    """The whole text as data lines, one per line of it."""
+    return f"concat('data: ', replace(text, chr(10), concat({after}, 'data: ')))"
+
+
+_LINES = _data("chr(10)")
+_LINE_COUNT = "(length(text) - length(replace(text, chr(10), '')) + 1)"
 
 
 def _vault(spark, sf_dir):
@@ -39,10 +45,10 @@ def _stored(df, spark, name):
 
 
 def _whole_lines(spark, sf_dir):
-    """Pieces of three lines in which no placeholder is cut."""
+    """Whole texts as pieces of several lines in which no placeholder is cut."""
     return table(spark, sf_dir, "conversations").selectExpr(
         f"{_SESSION} as session_id", "0L as seq",
-        f"concat('event: x', chr(10), 'data: ', {_LIVE}, chr(10), ': note', chr(10), 'data: ', {_HOLDER}, "
+        f"concat('event: x', chr(10), {_LINES}, chr(10), ': note', chr(10), 'data: ', {_HOLDER}, "
         f"' end', chr(10), 'plain ', {_HOLDER}, chr(10), chr(10), 'data: [DONE]') as piece",
     )
 
@@ -58,13 +64,13 @@ def _cut_chunks(spark, sf_dir, width: int = 16):
         f"{_SESSION} as session_id", f"{reply} as reply"
     ).selectExpr(
         "session_id", f"posexplode(concat({chunks}, array('data: [DONE]'))) as (seq, piece)"
-    ).selectExpr("session_id", "cast(seq as bigint) as seq", "piece")
+    ).selectExpr("session_id", "cast(seq as bigint) as seq", "piece", "timestamp '2024-01-01 00:00:00' as ts")
 
 
 @query(
     "stream_parse",
-    f"select {_SESSION} as session_id, e.event, cast(e.n as bigint) as n from conversations, "
-    "(values ('message', 2), ('raw', 1), ('done', 1)) as e(event, n)",
+    f"select {_SESSION} as session_id, e.event, cast(case when event = 'message' then 1 + {_LINE_COUNT} else 1 end "
+    "as bigint) as n from conversations, (values ('message'), ('raw'), ('done')) as e(event)",
 )
 def stream_parse(spark, sf_dir):
     """Lines of event-stream pieces by kind."""
@@ -75,7 +81,7 @@ def stream_parse(spark, sf_dir):
 
 @query(
     "stream_restore",
-    f"select {_SESSION} as session_id, concat('data: ', {_LIVE}, chr(10), chr(10), 'data: ', {_VALUE}, "
+    f"select {_SESSION} as session_id, concat({_data('chr(10), chr(10)')}, chr(10), chr(10), 'data: ', {_VALUE}, "
     f"' end', chr(10), chr(10), 'plain ', {_HOLDER}, chr(10), 'data: [DONE]', chr(10), chr(10)) as sent "
     "from conversations",
 )
@@ -101,9 +107,12 @@ def stream_restore(spark, sf_dir):
 def stream_restore_split(spark, sf_dir):
     """Placeholders cut in two by the framing are restored as well."""
     chunks = _stored(_cut_chunks(spark, sf_dir), spark, "chunks")
-    messages = L.reassemble(L.parse_lines(chunks, ["session_id", "seq"])).filter("event = 'message'")
-    parts = L.restore_stream(messages, _vault(spark, sf_dir), ["session_id", "idx"])
-    out = E.run_to_end(parts, spark, "stream_restore_split")
+    messages = L.reassemble(L.parse_lines(chunks, ["session_id", "seq", "ts"])).filter("event = 'message'")
+    vault = _vault(spark, sf_dir)
+    out = E.run_to_end(
+        messages, spark, "stream_restore_split",
+        transform=lambda batch: L.restore_messages(batch, vault, ["session_id", "idx"]),
+    )
     return out.groupBy("session_id").agg(
         F.expr("array_join(transform(sort_array(collect_list(struct(idx, part, text))), x -> x.text), '')")
         .alias("restored")
@@ -112,10 +121,14 @@ def stream_restore_split(spark, sf_dir):
 
 @query(
     "stream_done_summary",
-    f"select {_SESSION} as session_id, 'masked' as event, 1 as n, 'phone' as types from conversations",
+    f"select {_SESSION} as session_id, concat({_data('chr(10), chr(10)')}, chr(10), chr(10), 'data: ', {_HOLDER}, "
+    f"' end', chr(10), chr(10), 'plain ', {_HOLDER}, chr(10), 'event: masked', chr(10), "
+    f"'data: {{\"count\":1,\"types\":[\"phone\"],\"session_id\":\"', {_SESSION}, '\"}}', chr(10), chr(10), "
+    "'data: [DONE]', chr(10), chr(10)) as sent from conversations",
 )
 def stream_done_summary(spark, sf_dir):
-    """Before the end of a reply the client is told what was masked."""
+    """Right before the end of a reply the client is told what was masked."""
+    keys = ["session_id", "seq"]
     pieces = _stored(_whole_lines(spark, sf_dir), spark, "pieces")
     counts = _vault(spark, sf_dir).groupBy("session_id").agg(
         F.map_from_arrays(F.array(F.lit("phone")), F.array(F.count(F.lit(1)))).alias("stats")
@@ -123,18 +136,18 @@ def stream_done_summary(spark, sf_dir):
     total, types = stats.transparency("stats")
     told = counts.selectExpr("session_id", f"{total} as total", f"split({types}, ',') as types")
     out = E.run_to_end(
-        L.parse_lines(pieces, ["session_id", "seq"]), spark, "stream_done_summary",
-        transform=lambda batch: L.done_summary(told, batch),
+        L.parse_lines(pieces, keys), spark, "stream_done_summary",
+        transform=lambda batch: L.with_summary(batch, told, keys),
     )
-    return out.selectExpr(
-        "session_id", "event", "cast(get_json_object(data, '$.count') as int) as n",
-        "get_json_object(data, '$.types[0]') as types",
+    return out.groupBy("session_id").agg(
+        F.expr("array_join(transform(sort_array(collect_list(struct(seq, line_no, part, out))), x -> x.out), '')")
+        .alias("sent")
     )
 
 
 @query(
     "stream_flush",
-    f"select {_SESSION} as session_id, concat('data: ', {_LIVE}, chr(10), 'data: ', {_HOLDER}, ' end', "
+    f"select {_SESSION} as session_id, concat({_LINES}, chr(10), 'data: ', {_HOLDER}, ' end', "
     f"chr(10), 'plain ', {_HOLDER}, chr(10), 'data: [DONE]') as text from conversations",
 )
 def stream_flush(spark, sf_dir):
@@ -210,8 +223,7 @@ def stream_health(spark, sf_dir):
 def stream_lockout(spark, sf_dir):
     """Login lockout, live."""
     out = E.run_to_end(E.streaks(_outcomes(spark, sf_dir)), spark, "stream_lockout")
-    when = D.derived(spark, sf_dir, "outcomes").filter("failed").select("id", "ts")
-    return E.lockout(out.join(when, "id")).selectExpr(
+    return E.lockout(out.filter("streak > 0")).selectExpr(
         "node", "id", "cast(remaining as bigint) as remaining",
         "cast(date_trunc('second', locked_until) as string) as locked_until",
     )
@@ -234,7 +246,13 @@ def stream_audit_feed(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-@query("stream_expired_sessions")
+@query(
+    "stream_expired_sessions",
+    "with s as (select concat('sess_', user_id) as session_id, epoch_us(ts) // 1000 as ms from events), "
+    "g as (select session_id, ms, lead(ms) over (partition by session_id order by ms) as next, "
+    "max(ms) over () - 60000 as mark from s) "
+    "select session_id, ms as last_seen_ms from g where next - ms > 3600000 or (next is null and mark > ms + 3600000)",
+)
 def stream_expired_sessions(spark, sf_dir):
     """Sessions whose mappings outlived their time to live, as the stream moves on."""
     seen = _events(spark, sf_dir).selectExpr("concat('sess_', user_id) as session_id", "ts")

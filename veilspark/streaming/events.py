@@ -91,7 +91,7 @@ def _streaks(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         run = (fails - at_success.fillna(0)).astype("int64")
         run = run.where(at_success.notna(), run + streak)
         streak = int(run.iloc[-1])
-        yield pd.DataFrame({"node": key[0], "id": rows["id"], "streak": run})
+        yield pd.DataFrame({"node": key[0], "id": rows["id"], "ts": rows["ts"], "streak": run})
     state.update((streak,))
 
 
@@ -102,9 +102,9 @@ def _by_id(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def streaks(outcomes: DataFrame) -> DataFrame:
-    """Failures in a row per node, kept as one number of state per node."""
+    """Failures in a row per node with the time of each outcome, kept as one number of state per node."""
     return outcomes.groupBy("node").applyInPandasWithState(
-        _streaks, "node string, id long, streak long", _STREAK_STATE, "append", "NoTimeout"
+        _streaks, "node string, id long, ts timestamp, streak long", _STREAK_STATE, "append", "NoTimeout"
     )
 
 
@@ -131,18 +131,26 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Da
         state.remove()
         yield pd.DataFrame({"session_id": [key[0]], "last_seen_ms": [last]})
         return
-    (last,) = state.get if state.exists else (0,)
-    ttl = 0
-    for rows in frames:
-        last = max(last, int(rows["seen_ms"].max()))
-        ttl = int(rows["ttl_ms"].iloc[0])
+    rows = pd.concat(list(frames))
+    ttl = int(rows["ttl_ms"].iloc[0])
+    seen = rows["seen_ms"].sort_values()
+    if state.exists:
+        seen = pd.concat([pd.Series(state.get), seen]).sort_values()
+    # a gap above the time to live ends the session, also inside a batch
+    ended = seen[(seen.shift(-1) - seen) > ttl]
+    last = int(seen.iloc[-1])
     state.update((last,))
     state.setTimeoutTimestamp(max(last + ttl, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"session_id": key[0], "last_seen_ms": ended.astype("int64")})
 
 
 def expired_sessions(mappings: DataFrame, ttl_seconds: int, ts: str = "ts",
                      late: str = "1 minute") -> DataFrame:
-    """Sessions whose latest mapping is older than the time to live, as they expire."""
+    """Each time a session goes without a mapping for longer than the time to live: its last mapping before.
+
+    Gaps count whether or not a micro-batch ends in them, so the result does not
+    depend on how the stream is cut.
+    """
     return (
         mappings.withWatermark(ts, late)
         .select("session_id", ts, F.unix_millis(ts).alias("seen_ms"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import PLACEHOLDER, lit
-from veilspark.operators.restore import restore_from_vault
+from veilspark.operators.restore import needed_values, restore_from_vault
 
 _EVENT = """case
     when line = 'data: [DONE]' then 'done'
@@ -64,6 +64,8 @@ def flush_text(parsed: DataFrame, session: str = "session_id", order: list[str]
 
 _STATE = "idx long, tail string, done boolean"
 _OUT = "session_id string, idx long, event string, data string"
+#: How long after its last line a reply without an end counts as over.
+QUIET = "10 minutes"
 
 
 def _held_back(text: str) -> int:
@@ -84,48 +86,74 @@ def _held_back(text: str) -> int:
 
 
 def _join_pieces(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        idx, tail, _ = state.get
+        state.remove()
+        if tail:
+            yield pd.DataFrame({"session_id": [key[0]], "idx": [idx], "event": ["message"], "data": [tail]})
+        return
     idx, tail, done = state.get if state.exists else (0, "", False)
-    end_seq = None
     rows = pd.concat(list(frames)).sort_values(["seq", "line_no"])
-    out = []
-    for seq, event, data in zip(rows["seq"], rows["event"], rows["data"]):
-        if done and seq != end_seq:  # lines after the end count only inside its own piece
-            break
+    until = int(rows["until_ms"].max())
+    if done:
+        rows = rows.iloc[:0]
+    ends = rows.loc[rows["event"] == "done", "seq"]
+    if len(ends):  # lines after the end count only inside its own piece
+        rows = rows[rows["seq"] <= ends.iloc[0]]
+    # messages in a row become one, so the loop is over runs and not over lines
+    message = rows["event"] == "message"
+    runs = rows.assign(run=(~message | (message != message.shift())).cumsum()).groupby("run", sort=True).agg(
+        event=("event", "first"), data=("data", "".join))
+    events, texts = [], []
+    for event, data in zip(runs["event"], runs["data"]):
         if event == "message":
-            text = tail + data
-            cut = _held_back(text)
-            text, tail = text[:cut], text[cut:]
-            out.append((key[0], idx, event, text))
-            idx += 1
-        else:
-            if event == "done":
-                done, end_seq = True, seq
-                if tail:
-                    out.append((key[0], idx, "message", tail))
-                    idx, tail = idx + 1, ""
-            out.append((key[0], idx, event, data))
-    state.update((idx, tail, done))
-    yield pd.DataFrame(out, columns=["session_id", "idx", "event", "data"])
-
-
-def reassemble(parsed: DataFrame) -> DataFrame:
+            data = tail + data
+            cut = _held_back(data) if not done else len(data)
+            data, tail = data[:cut], data[cut:]
+        elif event == "done":
+            done = True
+            if tail:
+                events.append("message")
+                texts.append(tail)
+                tail = ""
+        events.append(event)
+        texts.append(data)
+    if done:
+        tail = ""
+    state.update((idx + len(events), tail, done))
+    state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame({"session_id": key[0], "idx": range(idx, idx + len(events)), "event": events, "data": texts})
+
+
+def reassemble(parsed: DataFrame, ts: str = "ts", quiet: str = QUIET, late: str = "1 minute") -> DataFrame:
     """Messages of a stream re-cut so that no placeholder is split.
 
     State per reply: the next message number, the text held back and whether the
-    reply has ended; input after the end is not consumed.
+    reply has ended; input after the end is not consumed.  Once no line has come
+    for the quiet time, by event time, what is held back is sent and the state removed.
     """
-    return parsed.groupBy("session_id").applyInPandasWithState(
-        _join_pieces, _OUT, _STATE, "append", "NoTimeout"
+    return (
+        parsed.withWatermark(ts, late)
+        .withColumn("until_ms", F.unix_millis(F.col(ts) + F.expr(f"interval {quiet}")))
+        .groupBy("session_id")
+        .applyInPandasWithState(_join_pieces, _OUT, _STATE, "append", "EventTimeTimeout")
     )
 
 
-def done_summary(stats_by_session: DataFrame, parsed: DataFrame) -> DataFrame:
-    """The line sent before the end of a reply: how much was masked, and which types."""
-    ends = parsed.filter("event = 'done'").select("session_id").distinct()
-    return ends.join(stats_by_session, "session_id").selectExpr(
-        "session_id", "'masked' as event",
-        "to_json(named_struct('count', total, 'types', types, 'session_id', session_id)) as data",
-    )
+def with_summary(parsed: DataFrame, stats_by_session: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines as they are sent on, with a summary right before the end: how much was masked, and which types.
+
+    Columns: keys, line_no, part (0 for the summary, 1 for the line), out.
+    """
+    told = stats_by_session.selectExpr(
+        "session_id",
+        "concat('event: masked\\ndata: ', to_json(named_struct('count', total, 'types', types, "
+        "'session_id', session_id)), '\\n\\n') as summary")
+    line = framed("event", "data", "raw")
+    return parsed.join(told, "session_id", "left").selectExpr(
+        *keys, "line_no",
+        f"""posexplode(if(event = 'done' and summary is not null, array(summary, {line}), array('', {line}))) as (part, out)"""
+    ).filter("out <> ''")
 
 
 def cut_at_placeholders(messages: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,15 +171,13 @@ def cut_at_placeholders(messages: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "part", "x.before", "x.placeholder")
 
 
-def restore_stream(messages: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
-    """Restore a stream of messages against the stored mappings, part by part."""
+def restore_messages(messages: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
+    """Restore a batch of messages against the stored mappings, part by part.
+
+    Only the mappings that the batch asks for are read together.
+    """
     on = ["session_id", "placeholder"]
-    known = vault.groupBy(*on).agg(F.min_by("real_value", "id").alias("real_value"))
-    return (
-        cut_at_placeholders(messages, keys)
-        .join(known, on, "left")
-        .withColumn(
-            "text", F.expr("concat(before, coalesce(real_value, placeholder, ''))")
-        )
-        .select(*keys, "part", "text")
-    )
+    parts = cut_at_placeholders(messages, keys)
+    return parts.join(needed_values(vault, parts, on), on, "left").withColumn(
+        "text", F.expr("concat(before, coalesce(real_value, placeholder, ''))")
+    ).select(*keys, "part", "text")
