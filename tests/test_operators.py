@@ -4,11 +4,13 @@ import hashlib
 import json
 import os
 import random
+import re
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
-from veilspark import RulePack
+from veilspark import RulePack, mask
 from veilspark.functions.text import alpha_id, placeholders_in
 from veilspark.operators import audit, compliance, keywords, nested, ordered, quality, vault
 from veilspark.sources import rules, store
@@ -30,9 +32,36 @@ def test_keyword_matches_equal_brute_force(spark):
     }
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     kw = spark.createDataFrame([(w,) for w in words], "keyword string")
-    for inline in (2000, 3):
-        got = [tuple(r) for r in keywords.keyword_matches(df, ["id"], kw, inline=inline).collect()]
-        assert set(got) == want and len(got) == len(want)
+    got = [tuple(r) for r in keywords.keyword_matches(df, ["id"], kw).collect()]
+    assert set(got) == want and len(got) == len(want)
+    long = [(1, "x" * 1000 + "needle" + "y" * 250 + "needle"), (2, None), (3, "")]
+    got = keywords.keyword_matches(spark.createDataFrame(long, "id int, text string"), ["id"],
+                                   spark.createDataFrame([("needle",), ("",), ("y" * 250,)], "keyword string"))
+    assert sorted((r.id, r.keyword[:2], r.start) for r in got.collect()) == [(1, "ne", 1000), (1, "ne", 1256), (1, "yy", 1006)]
+    none = spark.createDataFrame([], "keyword string")
+    assert keywords.keyword_matches(df, ["id"], none).count() == 0
+    ranked = keywords.ranked_matches(keywords.keyword_matches(df, ["id"], kw), ["id"]).first().matches
+    order = [(-len(m.keyword), m.start, m.keyword) for m in ranked]
+    assert order == sorted(order)
+
+
+def test_masking_cost_is_near_linear(spark):
+    def seconds(n):
+        text = "".join("u%d@example.com, 1381234%04d; " % (i, i % 10000) for i in range(n // 2))
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.time()
+        assert mask(df).selectExpr("size(mappings)").first()[0] == n
+        return time.time() - start
+
+    seconds(400)
+    assert min(seconds(8000), seconds(8000)) < 2.5 * max(1.0, seconds(4000))
+
+
+def test_one_scan_per_pattern(spark):
+    df = spark.createDataFrame([("text",)], "text string")
+    plan = mask(df)._jdf.queryExecution().optimizedPlan().toString()
+    scans = re.findall(r"regexp_replace\(__scan#\d+, ([^\n]*?), \ue001", plan)
+    assert len(scans) > 10
 
 
 def test_ordered_operators_cross_blocks(spark):
@@ -95,6 +124,8 @@ def test_chain_equals_python(spark):
 def test_crypto(spark):
     df = spark.createDataFrame([("abc",), ("",), ("中文",)], "real_value string")
     enc = vault.encrypt_values(df, "k" * 32)
+    spelled = vault.decrypt_values(enc, "k" * 32)._jdf.queryExecution().toString()
+    assert "k" * 32 not in spelled and ("k" * 32).encode().hex() not in spelled.lower()
     sizes = enc.selectExpr("octet_length(unbase64(real_value)) as n").collect()
     assert sorted(r.n for r in sizes) == [28, 31, 34]
     assert sorted(r[0] for r in vault.decrypt_values(enc, "k" * 32).collect()) == sorted(["abc", "", "中文"])

@@ -6,13 +6,12 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
 
-MAX_RULE_ROWS = 10_000
-
 CATALOG_SCHEMA = (
     "key string, name_zh string, name_en string, detector string, enabled boolean, "
     "compliance_tag string, placeholder_token string, pattern string"
@@ -59,13 +58,24 @@ def java_pattern(pattern: str) -> str:
 
 
 def compiles(pattern: str) -> bool:
+    """Whether the JVM, which runs the rules, takes a pattern; without a session Python is asked."""
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+    except (re.error, Py4JJavaError):
         return False
     return True
 
 
+def compiles_sql(pattern: str) -> str:
+    """The same test as an expression."""
+    named = f"""regexp_replace(regexp_replace({pattern}, r'\(\?P<(\w+)>', r'(?<$1>'), r'\(\?P=(\w+)\)', r'\\k<$1>')"""
+    return f"try_reflect('java.util.regex.Pattern', 'compile', concat('(?U)', {named})) is not null"
+
+
 @dataclass(frozen=True)
 class RulePack:
     """Catalog entities, user keywords and user rules, plus two switches.
@@ -153,7 +163,7 @@ class RulePack:
     @staticmethod
     def from_catalog(df: DataFrame | None) -> RulePack:
         """Pack from a catalog table; an absent or empty table gives the built-in rules."""
-        rows = _bounded_rows(df.filter("key is not null")) if df is not None else []
+        rows = df.filter("key is not null").collect() if df is not None else []
         if not rows:
             return RulePack(entities=FALLBACK_ENTITIES)
         kept = []
@@ -167,11 +177,14 @@ class RulePack:
         return RulePack(entities=tuple(kept))
 
     def with_tables(self, keywords: DataFrame, rules: DataFrame) -> RulePack:
-        """Add the stored keyword and rule tables; unusable rules are left out."""
-        words = [r["keyword"] for r in _bounded_rows(keywords.select("keyword"))]
-        rows = _bounded_rows(
-            rules.orderBy("id").select("name", "pattern", "entity_type", "enabled")
-        )
+        """Add the stored keyword and rule tables; unusable rules are left out.
+
+        The rules become part of the plan, so they come to the driver.  A
+        dictionary that is data in its own right stays a table in
+        ``operators.keywords.mask_with_dictionary``.
+        """
+        words = [r["keyword"] for r in keywords.select("keyword").distinct().orderBy("keyword").collect()]
+        rows = rules.orderBy("id").select("name", "pattern", "entity_type", "enabled").collect()
         usable = [
             CustomRule(r["name"], r["pattern"], r["entity_type"], bool(r["enabled"]))
             for r in rows
@@ -196,10 +209,3 @@ class RulePack:
             F.coalesce("compliance_tag", F.lit("personal_info")).alias("compliance_tag"),
         )
 
-
-def _bounded_rows(df: DataFrame) -> list[Row]:
-    """Bring a rule table to the driver, refusing one that is not small."""
-    rows = df.limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"rule table has more than {MAX_RULE_ROWS} rows")
-    return rows

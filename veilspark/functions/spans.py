@@ -25,6 +25,8 @@ FILL = "\ue000"
 # Mark the ends of a match while a text is cut into pieces.
 OPEN = "\ue001"
 CLOSE = "\ue002"
+# Elements that a fold appends one by one before they are put together.
+BLOCK = 64
 
 
 def make_span(start: str, length: str, ord_: int, rank: int, key: str, value: str) -> str:
@@ -43,23 +45,41 @@ def scan_text(text: str) -> str:
 
 
 def marked_pieces(text: str, pattern: str) -> str:
-    """The text cut before every match, null without a match.
+    """The text cut before every match; a single piece without one.
 
     One scan marks both ends of each match; cutting at a mark needs no pattern.
     """
     marked = f"regexp_replace({text}, {pattern}, {lit(OPEN + '$0' + CLOSE)})"
-    return f"split(nullif({marked}, {text}), {lit(OPEN)}, -1)"
+    return f"split({marked}, {lit(OPEN)}, -1)"
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """Compute a value once and use it by name in an expression."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def fold(items: str, out: str, first: str, value: str, after: str, keep: str = "true") -> str:
+    """Walk over an array with a running position and collect one value per element kept.
+
+    ``value``, ``after`` and ``keep`` see the element as ``x`` and the position
+    before it as ``a.pos``.  Appending copies an array, so values are appended
+    inside blocks of BLOCK elements, and blocks to each other: cost is near linear.
+    """
+    inner = f"""aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<{out}>)),
+        (a, x) -> if({keep}, named_struct('pos', {after}, 'out', concat(a.out, array({value}))), a))"""
+    step = bind(inner, "b", "named_struct('pos', b.pos, 'out', concat(acc.out, array(b.out)))")
+    blocks = f"transform(sequence(0, greatest(size(it) - 1, 0) div {BLOCK}), k -> slice(it, k * {BLOCK} + 1, {BLOCK}))"
+    walk = f"""aggregate({blocks}, named_struct('pos', {first}, 'out', cast(array() as array<array<{out}>>)),
+        (acc, blk) -> {step}, acc -> flatten(acc.out))"""
+    return bind(items, "it", walk)
 
 
 def regex_spans(pieces: str, key: str, ord_: int, rank: int) -> str:
     """Spans of the matches in marked pieces; the lengths of the pieces give the offsets."""
-    span = make_span("acc.pos", "length(p.hit)", ord_, rank, key, "p.hit")
-    return f"""aggregate(
-        transform(slice({pieces}, 2, size({pieces})), x -> named_struct(
-            'hit', substring_index(x, {lit(CLOSE)}, 1), 'n', length(x) - 1)),
-        named_struct('pos', length({pieces}[0]), 'out', {NO_SPANS}),
-        (acc, p) -> named_struct('pos', acc.pos + p.n, 'out', concat(acc.out, array({span}))),
-        acc -> acc.out)"""
+    hits = f"""transform(slice({pieces}, 2, size({pieces})), x -> named_struct(
+            'hit', substring_index(x, {lit(CLOSE)}, 1), 'n', length(x) - 1))"""
+    span = make_span("a.pos", "length(x.hit)", ord_, rank, key, "x.hit")
+    return fold(hits, SPAN, f"length({pieces}[0])", span, "a.pos + x.n")
 
 
 def keep_values(spans: str, test: Callable[[str], str]) -> str:
@@ -75,13 +95,7 @@ def first_occurrences(text: str, words: Iterable[str], key: str, ord_: int, rank
 
 def leftmost_longest(spans: str) -> str:
     """Greedy choice without overlaps; the result is sorted by position."""
-    return f"""aggregate(
-        array_sort({spans}),
-        named_struct('end', 0, 'out', {NO_SPANS}),
-        (acc, s) -> if(s.start >= acc.end,
-            named_struct('end', s.start - s.neglen, 'out', concat(acc.out, array(s))),
-            acc),
-        acc -> acc.out)"""
+    return fold(f"array_sort({spans})", SPAN, "0", "x", "x.start - x.neglen", "x.start >= a.pos")
 
 
 def by_rank(spans: str) -> str:
@@ -90,15 +104,12 @@ def by_rank(spans: str) -> str:
     Spans are first cut into runs that touch no other run, so the pairwise test
     only ever sees the few spans of one run.
     """
-    runs = f"""aggregate(
-        array_sort({spans}),
-        named_struct('end', 0, 'run', {NO_SPANS}, 'runs', cast(array() as array<{SPANS}>)),
-        (acc, s) -> if(s.start >= acc.end,
-            named_struct('end', s.start - s.neglen, 'run', array(s),
-                         'runs', concat(acc.runs, array(acc.run))),
-            named_struct('end', greatest(acc.end, s.start - s.neglen),
-                         'run', concat(acc.run, array(s)), 'runs', acc.runs)),
-        acc -> concat(acc.runs, array(acc.run)))"""
+    marked = fold(
+        f"array_sort({spans})", f"struct<new:boolean,s:{SPAN}>", "0",
+        "named_struct('new', x.start >= a.pos, 's', x)", "greatest(a.pos, x.start - x.neglen)")
+    runs = bind(marked, "m", bind(
+        "filter(sequence(0, size(m) - 1), i -> m[i].new)", "f",
+        "transform(f, (i, k) -> slice(m.s, i + 1, coalesce(try_element_at(f, k + 2), size(m)) - i))"))
     pick = f"""aggregate(
         array_sort(transform(run, s -> named_struct('rank', s.rank, 'start', s.start, 's', s))),
         {NO_SPANS},
@@ -110,20 +121,26 @@ def by_rank(spans: str) -> str:
 
 
 def splice(text: str, spans: str, replacement: str) -> str:
-    """Text with every span ``s`` (sorted, disjoint) replaced by an expression."""
-    return f"""aggregate(
-        {spans},
-        named_struct('pos', 0, 'parts', cast(array() as array<string>)),
-        (acc, s) -> named_struct(
-            'pos', s.start - s.neglen,
-            'parts', concat(acc.parts,
-                            array(substr({text}, acc.pos + 1, s.start - acc.pos), {replacement}))),
-        acc -> concat(array_join(acc.parts, ''), substr({text}, acc.pos + 1)))"""
+    """Text with every span ``x`` (sorted, disjoint) replaced by an expression.
+
+    A substring is counted from the start of the text, so the text is cut once
+    for each block of spans, and then inside that part.
+    """
+    inner = f"""aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<string>)),
+        (a, x) -> named_struct('pos', x.start - x.neglen, 'out', concat(a.out, array(
+            concat(substr(part, a.pos - acc.pos + 1, x.start - a.pos), {replacement})))))"""
+    last = "(element_at(blk, -1).start - element_at(blk, -1).neglen)"
+    step = bind(f"substr({text}, acc.pos + 1, {last} - acc.pos)", "part", bind(
+        inner, "b", "named_struct('pos', b.pos, 'out', concat(acc.out, array(array_join(b.out, ''))))"))
+    blocks = f"transform(sequence(0, greatest(size(it) - 1, 0) div {BLOCK}), k -> slice(it, k * {BLOCK} + 1, {BLOCK}))"
+    return bind(spans, "it", f"""if(size(it) = 0, {text}, aggregate({blocks},
+        named_struct('pos', 0, 'out', cast(array() as array<string>)), (acc, blk) -> {step},
+        acc -> concat(array_join(acc.out, ''), substr({text}, acc.pos + 1))))""")
 
 
 def blank(text: str, spans: str) -> str:
     """Text of the same length in which the spans are filled in."""
-    return splice(text, spans, f"repeat({lit(FILL)}, -s.neglen)")
+    return splice(text, spans, f"repeat({lit(FILL)}, -x.neglen)")
 
 
 def original_values(spans: str, text: str) -> str:

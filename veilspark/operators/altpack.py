@@ -35,22 +35,21 @@ def mask_numbered(df: DataFrame, text: str = "text", masked: str = "masked") ->
         for h, m in zip(hits, ms)
     }
     parts = ", ".join(
-        f"if(size({h}) > 0, {regex_spans(h, m.key, 0, m.rank)}, {NO_SPANS})"
+        f"if(size({h}) > 1, {regex_spans(h, m.key, 0, m.rank)}, {NO_SPANS})"
         for h, m in zip(hits, ms)
     )
     types = list(dict.fromkeys(m.key for m in ms))
     quoted = ", ".join(lit(k) for k, _, q in C.ALT_PACK if q)
-    per_type = ", ".join(
-        f"""transform(
-            array_sort(transform(filter(__spans, s -> s.key = {lit(k)}), s -> named_struct(
-                'rank', s.rank, 'start', s.start, 'neglen', s.neglen, 'value', s.value))),
-            (s, i) -> named_struct('start', s.start, 'neglen', s.neglen, 'key', {lit(k)},
-                'value', s.value,
-                'placeholder', concat(if({lit(k)} in ({quoted}), '"', ''),
-                    format_string('[%s_%04d]', {lit(k)}, i + 1),
-                    if({lit(k)} in ({quoted}), '"', ''))))"""
-        for k in types
-    )
+    listed = "array(" + ", ".join(lit(k) for k in types) + ")"
+    # one sort by type, rule and place; a type's numbers begin where the types before it end
+    ranked = f"""array_sort(transform(__spans, s -> named_struct(
+        't', array_position({listed}, s.key), 'rank', s.rank, 'start', s.start, 'neglen', s.neglen,
+        'key', s.key, 'value', s.value)))"""
+    before = f"transform(sequence(1, {len(types)}), t -> size(filter(__ranked, r -> r.t < t)))"
+    quote = f"if(s.key in ({quoted}), '\"', '')"
+    labelled = f"""array_sort(transform(__ranked, (s, i) -> named_struct(
+        'start', s.start, 'neglen', s.neglen, 'key', s.key, 'value', s.value,
+        'placeholder', concat({quote}, format_string('[%s_%04d]', s.key, i - __before[cast(s.t - 1 as int)] + 1), {quote}))))"""
     done = (
         df.withColumn("__scan", F.expr(scan_text(text)))
         .withColumns({f"__guard_{g}": F.expr(GUARDS[g](text)) for g in guards})
@@ -58,14 +57,16 @@ def mask_numbered(df: DataFrame, text: str = "text", masked: str = "masked") ->
         .withColumn("__cand", F.expr(f"concat({parts})"))
         .withColumn("__spans", F.expr(
             f"if(size(__cand) > 0, {original_values(by_rank('__cand'), text)}, __cand)"))
-        .withColumn("__labelled", F.expr(f"array_sort(concat({per_type}))"))
+        .withColumn("__ranked", F.expr(ranked))
+        .withColumn("__before", F.expr(before))
+        .withColumn("__labelled", F.expr(labelled))
         .withColumn(masked, F.expr(
-            f"if(size(__spans) = 0, {text}, {splice(text, '__labelled', 's.placeholder')})"))
+            f"if(size(__spans) = 0, {text}, {splice(text, '__labelled', 'x.placeholder')})"))
         .withColumn("mappings", F.expr(
             "transform(__labelled, s -> named_struct('placeholder', s.placeholder, "
             "'value', s.value, 'entity_type', s.key))"))
         .withColumn("stats", F.expr(count_by_key("__spans")))
-        .drop("__scan", "__cand", "__spans", "__labelled", *hits, *[f"__guard_{g}" for g in guards])
+        .drop("__scan", "__cand", "__spans", "__ranked", "__before", "__labelled", *hits, *[f"__guard_{g}" for g in guards])
     )
     return fence(done, masked, "mappings", "stats")
 

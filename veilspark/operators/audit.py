@@ -204,13 +204,17 @@ def team_audit(audit: DataFrame, team: str) -> DataFrame:
     return audit.filter(F.get_json_object("detail_json", "$.team_id") == team)
 
 
-def session_audit(audit: DataFrame, vault: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest audit rows of every session that has mappings.
+def session_audit(
+    audit: DataFrame, vault: DataFrame, limit: int = 100, team: str | None = None
+) -> DataFrame:
+    """Newest audit rows of every session that has mappings, or has them for one team.
 
     The vault only decides which sessions count, so it is a semi join;
     ``copies`` tells how often a plain join would repeat the row.  The group
     limit runs before the shuffle, so a busy session sends few rows.
     """
+    if team is not None:
+        vault = vault.filter(F.col("team_id") == team)
     per_session = vault.groupBy("session_id").agg(F.count(F.lit(1)).alias("copies"))
     newest = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("id"))
     top = (

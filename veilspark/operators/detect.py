@@ -112,7 +112,7 @@ def _stage(
         beside = " and __beside" if tested and m.seen_before else ""
         return f"case when __guard_{m.guard}{beside} then {value} end"
 
-    found, parts = {}, []
+    found, parts, some = {}, [], []
     for m, hit in zip(matchers, hits):
         if m.pattern is None:
             found[hit] = guarded(m, first_occurrences(_SCAN, m.words, m.key, m.ord, m.rank))
@@ -122,8 +122,10 @@ def _stage(
             spans = regex_spans(hit, m.key, m.ord, m.rank)
             if m.keep is not None:
                 spans = keep_values(spans, m.keep)
-        parts.append(f"if(size({hit}) > 0, {spans}, {NO_SPANS})")
-    some = " or ".join(f"size({hit}) > 0" for hit in hits)
+        # pieces of a text without a match are one, spans are none
+        some.append(f"size({hit}) > {0 if m.pattern is None else 1}")
+        parts.append(f"if({some[-1]}, {spans}, {NO_SPANS})")
+    some = " or ".join(some)
     chosen = choose("__cand")
     if off:
         chosen = f"filter({chosen}, s -> s.key not in ({', '.join(map(lit, off))}))"
@@ -171,7 +173,7 @@ def matches(df: DataFrame, keys: list[str], text: str, matcher: M.Matcher) -> Da
         work = work.withColumn(
             "__hit", F.expr(marked_pieces(_SCAN, matcher.pattern))
         )
-        spans = f"if(size(__hit) > 0, {regex_spans('__hit', matcher.key, 0, 0)}, {NO_SPANS})"
+        spans = f"if(size(__hit) > 1, {regex_spans('__hit', matcher.key, 0, 0)}, {NO_SPANS})"
         if matcher.keep is not None:
             spans = keep_values(spans, matcher.keep)
     work = work.withColumn("spans", F.expr(spans))

@@ -6,69 +6,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.matchers import Matcher, trie_pattern
+from veilspark.functions.rulepack import RulePack
 from veilspark.functions.text import lit
 from veilspark.operators.detect import matches
-from veilspark.operators.requests import small_side
+from veilspark.operators.mask import mask
+from veilspark.sources.tables import shared_folder
 
-# A dictionary up to this size is compiled into one pattern; a larger one is joined.
-INLINE_KEYWORDS = 2_000
+# Characters of a keyword that are looked up first, and of a text that are cut at once.
+ANCHOR, CUT = 4, 256
 
 
 def keyword_matches(
     df: DataFrame, keys: list[str], keywords: DataFrame, text: str = "text",
-    inline: int = INLINE_KEYWORDS,
 ) -> DataFrame:
-    """All occurrences of all keywords, overlapping ones too: keys, keyword, start, end."""
-    words = keywords.select("keyword").filter("length(keyword) > 0").distinct()
-    few = [r["keyword"] for r in words.limit(inline + 1).collect()]
-    if not few:
+    """All occurrences of all keywords, overlapping ones too: keys, keyword, start, end.
+
+    One way for dictionaries of any size: every place of a text is joined with
+    the keywords by their first characters, and what follows is compared.  A place
+    makes one row for each anchor length in use (ANCHOR at most).  The
+    dictionary is written first, so Spark knows its size and broadcasts it if
+    that allows, else both sides are shuffled by anchor.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "keywords")
+    keywords.select("keyword").filter("length(keyword) > 0").distinct().selectExpr(
+        "keyword", f"substr(keyword, 1, {ANCHOR}) as anchor", "length(keyword) as n").write.parquet(path)
+    words = spark.read.parquet(path)
+    longest, lengths = words.selectExpr("max(n)", "collect_set(length(anchor))").first()
+    if not longest:
         return df.select(*keys, F.lit("").alias("keyword"), F.lit(0).cast("long").alias("start"),
                          F.lit(0).cast("long").alias("end")).filter("false")
-    if len(few) <= inline:
-        return _by_pattern(df, keys, few, text)
-    return _by_join(df, keys, words, text)
-
+    # parts of CUT characters with what a keyword that begins in them may need beyond
+    parts = df.select(*keys, F.col(text).alias("__t")).filter("length(__t) > 0").select(*keys, F.expr(f"""inline(transform(
+        sequence(0, (length(__t) - 1) div {CUT}),
+        k -> named_struct('__from', k * {CUT}, '__part', substr(__t, k * {CUT} + 1, {CUT + longest - 1}))))"""))
+    places = parts.select(*keys, F.expr(f"""inline(transform(sequence(1, least({CUT}, length(__part))),
+        i -> named_struct('__at', __from + i - 1, '__rest', substr(__part, i, {longest}))))"""))
+    sizes = f"array({', '.join(map(str, sorted(lengths)))})"
+    anchored = places.select(*keys, "__at", "__rest", F.expr(f"explode(filter({sizes}, n -> n <= length(__rest)))").alias("__n"))
+    found = anchored.join(
+        words, (F.expr("substr(__rest, 1, __n)") == F.col("anchor")) & F.expr("startswith(__rest, keyword)"))
+    return found.selectExpr(
+        *keys, "keyword", "cast(__at as bigint) as start", "cast(__at + n as bigint) as end")
 
-def _by_pattern(df: DataFrame, keys: list[str], words: list[str], text: str) -> DataFrame:
-    """One pass finds the longest keyword at every position; shorter ones are its prefixes."""
-    pattern = lit(f"(?s)(?=({trie_pattern(words)})).")
-    listed = "array(" + ", ".join(lit(w) for w in sorted(words)) + ")"
-    starts = f"""aggregate(
-        zip_with(slice(split(__t, {pattern}, -1), 1, size(__hit)), __hit,
-                 (g, h) -> named_struct('gap', length(g), 'word', h)),
-        named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,word:string>>)),
-        (acc, p) -> named_struct(
-            'pos', acc.pos + p.gap + 1,
-            'out', concat(acc.out, array(named_struct('start', acc.pos + p.gap, 'word', p.word)))),
-        acc -> acc.out)"""
-    return (
-        df.select(*keys, F.col(text).alias("__t"))
-        .withColumn("__hit", F.expr(f"regexp_extract_all(__t, {pattern}, 1)"))
-        .filter("size(__hit) > 0")
-        .select(*keys, F.expr(f"inline({starts})"))
-        .select(*keys, "start", F.expr(f"explode(filter({listed}, k -> startswith(word, k)))")
-                .alias("keyword"))
-        .selectExpr(*keys, "keyword", "cast(start as bigint) as start",
-                    "cast(start + length(keyword) as bigint) as end")
-    )
 
+def mask_with_dictionary(
+    df: DataFrame, keys: list[str], keywords: DataFrame, text: str = "text", pack: RulePack = RulePack(),
+) -> DataFrame:
+    """``mask`` with a keyword table of any size; ``keys`` identify a text.
 
-def _by_join(df: DataFrame, keys: list[str], words: DataFrame, text: str) -> DataFrame:
-    """Pieces of the texts, of each length that occurs among the keywords, joined by value."""
-    lengths = [r[0] for r in words.select(F.length("keyword")).distinct().collect()]
-    sizes = "array(" + ", ".join(str(n) for n in sorted(lengths)) + ")"
-    pieces = (
-        df.select(*keys, F.split(text, "").alias("__c"))
-        .select(*keys, "__c", F.explode(F.expr(sizes)).alias("__n"))
-        .filter("size(__c) >= __n")
-        .select(*keys, F.posexplode(F.expr(
-            "transform(sequence(1, size(__c) - __n + 1), i -> array_join(slice(__c, i, __n), ''))"
-        )).alias("start", "keyword"))
-    )
-    return pieces.join(small_side(words), "keyword").selectExpr(
-        *keys, "keyword", "cast(start as bigint) as start",
-        "cast(start + length(keyword) as bigint) as end",
-    )
+    Each text gets the keywords that occur in it, which the text itself bounds,
+    as keywords of its own.
+    """
+    found = keyword_matches(df, keys, keywords, text).groupBy(*keys).agg(F.collect_set("keyword").alias("__own"))
+    on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+    joined = df.alias("__l").join(found.alias("__r"), on, "left").select("__l.*", "__r.__own")
+    return mask(joined, text, pack, row_keywords="__own").drop("__own")
 
 
 def longest_keywords(df: DataFrame, keys: list[str], words: list[str], text: str = "text") -> DataFrame:

@@ -53,7 +53,7 @@ def mask(
         .withColumns(
             {
                 masked: F.expr(
-                    f"if({none}, {text}, {splice(text, '__labelled', 's.placeholder')})"
+                    f"if({none}, {text}, {splice(text, '__labelled', 'x.placeholder')})"
                 ),
                 "mappings": F.expr(f"if({none}, cast(array() as {MAPPINGS}), {entries})"),
                 "stats": F.expr(

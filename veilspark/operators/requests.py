@@ -7,17 +7,6 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
 
-BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table only after counting that it is small.
-
-    The count stops at the limit.  Larger tables are left to the shuffle join
-    that Spark plans by itself.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
 
 def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("endpoint", "method", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -63,12 +52,13 @@ def latest_health(outcomes: DataFrame, node: str = "node") -> DataFrame:
 
 def route(log: DataFrame, routes: DataFrame, default: str) -> DataFrame:
     """Destination of a model: its own route, else the one for ``*``, else the default."""
-    star = routes.filter("model = '*'").agg(F.min("target")).first()[0]  # one value
+    star = routes.agg(F.min(F.expr("if(model = '*', target, null)")).alias("__star"))
     exact = routes.filter("model <> '*'").groupBy("model").agg(F.min("target").alias("__own"))
     return (
-        log.join(small_side(exact), "model", "left")
-        .withColumn("target", F.coalesce("__own", F.lit(star), F.lit(default)))
-        .drop("__own")
+        log.join(exact, "model", "left")
+        .withColumn("__one", F.lit(1)).join(star.withColumn("__one", F.lit(1)), "__one")  # a single row
+        .withColumn("target", F.coalesce("__own", "__star", F.lit(default)))
+        .drop("__own", "__star", "__one")
     )
 
 
@@ -77,7 +67,7 @@ def with_team(log: DataFrame, keys: DataFrame, raw_key: str = "api_key") -> Data
     active = keys.filter("is_active").groupBy("key_hash").agg(F.min("team_id").alias("__team"))
     return (
         log.withColumn("key_hash", F.sha2(F.col(raw_key), 256))
-        .join(small_side(active), "key_hash", "left")
+        .join(active, "key_hash", "left")
         .withColumn("accepted", F.col("__team").isNotNull())
         .withColumn("team_id", F.coalesce("__team", F.lit("default")))
         .drop("__team")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import lit
@@ -66,27 +66,26 @@ def vault_key(secret: str) -> bytes:
     return raw if len(raw) == 32 else hashlib.sha256(raw).digest()
 
 
-def _key_sql(secret: str) -> str:
-    return f"unhex('{vault_key(secret).hex()}')"
+def _key(df: DataFrame, secret: str) -> Column:
+    """The key as a value read from a one-row table, so that no plan or event log spells it out."""
+    rows = df.sparkSession.createDataFrame([(bytearray(vault_key(secret)),)], "k binary")
+    return rows.select("k").scalar()
 
 
 def encrypt_values(df: DataFrame, secret: str, column: str = "real_value") -> DataFrame:
     """base64(nonce, cipher text, tag) by AES-256-GCM, random nonce per value."""
-    sql = f"base64(aes_encrypt({column}, {_key_sql(secret)}, 'GCM'))"
-    return df.withColumn(column, F.expr(sql))
+    return df.withColumn(column, F.base64(F.aes_encrypt(F.col(column), _key(df, secret), F.lit("GCM"))))
 
 
 def decrypt_values(df: DataFrame, secret: str, column: str = "real_value") -> DataFrame:
     """Decrypt; values that are not valid cipher text come back as stored."""
-    return df.withColumn(column, F.expr(f"coalesce({decrypted(column, secret)}, {column})"))
+    return df.withColumn(column, F.coalesce(decrypted(df, column, secret), F.col(column)))
 
 
-def decrypted(column: str, secret: str) -> str:
+def decrypted(df: DataFrame, column: str, secret: str) -> Column:
     """Plain text of a cipher column, null when it cannot be decrypted."""
-    return (
-        f"cast(try_aes_decrypt(try_to_binary({column}, 'base64'), {_key_sql(secret)}, 'GCM') "
-        "as string)"
-    )
+    raw = F.try_to_binary(F.col(column), F.lit("base64"))
+    return F.try_aes_decrypt(raw, _key(df, secret), F.lit("GCM")).cast("string")
 
 
 def retention_hours(hours: int | None, ttl_seconds: int) -> int:

@@ -10,6 +10,7 @@ from veilspark.functions.rulepack import CustomRule, RulePack
 from veilspark.functions.text import lit
 from veilspark.operators import altpack, keywords, quality, requests
 from veilspark.operators.detect import count_spans, detect, match_values, span_rows
+from veilspark.operators.restore import restore
 from veilspark.plans import derived as D
 from veilspark.plans.registry import query
 from veilspark.sources.tables import spread, table
@@ -288,6 +289,57 @@ def keyword_matches_longest(spark, sf_dir):
     return joined(match_values(docs, ["doc_id"], "text", matcher))
 
 
+# more than 10,000 keywords at the scale of the checks: parts of words of the texts themselves
+_DICTIONARY = "regexp_extract_all(text, '[a-z]{8,9}', 0)"
+_dictionary_hits = (
+    "with k as (select distinct unnest(regexp_extract_all(text, '[a-z]{8,9}')) as w from documents), "
+    "p as (select doc_id, text, unnest(range(1, length(text) + 1)) as i from documents), "
+    "j as (select doc_id, i, substr(text, i, n) as w from p, (values (8), (9)) as l(n) where i + n - 1 <= length(text)) "
+)
+
+
+def _dictionary(docs):
+    return docs.select(F.explode(F.expr(_DICTIONARY)).alias("keyword")).distinct()
+
+
+@query(
+    "keyword_dictionary",
+    _dictionary_hits + "select doc_id, count(*) as n, cast(sum(i - 1) as bigint) as places from j join k using (w) group by 1",
+)
+def keyword_dictionary(spark, sf_dir):
+    """Every occurrence of every keyword of a large dictionary."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = keywords.keyword_matches(docs, ["doc_id"], _dictionary(docs))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("places"))
+
+
+@query(
+    "mask_dictionary",
+    _dictionary_hits + ", h as (select distinct doc_id from j join k using (w)) "
+    "select d.doc_id, h.doc_id is not null as hit, true as restored from documents d left join h on d.doc_id = h.doc_id",
+)
+def mask_dictionary(spark, sf_dir):
+    """The same dictionary through masking: texts with a keyword have one masked, and all come back."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    masked = keywords.mask_with_dictionary(docs, ["doc_id"], _dictionary(docs))
+    return restore(masked).selectExpr(
+        "doc_id", "exists(mappings, m -> m.entity_type = 'custom') as hit", "restored = text as restored")
+
+
+@query(
+    "keyword_matches_ranked",
+    f"with m as ({' union all '.join(_per_word(w) for w in WORDS)}), "
+    "r as (select *, row_number() over (partition by doc_id order by -length(keyword), first_start, keyword) as k from m) "
+    "select doc_id, keyword as longest, cast(first_start as int) as first_start from r where k = 1",
+)
+def keyword_matches_ranked(spark, sf_dir):
+    """Matches of a text in order: the longest keyword first, then by place."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = spark.createDataFrame([(w,) for w in WORDS], "keyword string")
+    ranked = keywords.ranked_matches(keywords.keyword_matches(docs, ["doc_id"], words), ["doc_id"])
+    return ranked.selectExpr("doc_id", "matches[0].keyword as longest", "cast(matches[0].start as int) as first_start")
+
+
 US_PHONE = r"\(\d{3}\) \d{3}-\d{4}"
 TOKEN = r'token = "[0-9a-f]+"'
 

@@ -494,11 +494,14 @@ def request_counts(spark, sf_dir):
     _tables("requests") + " select endpoint, " + ", ".join(
         f"count(*) filter (where latency <= {b if b != float('inf') else 1e300}) as {requests.bucket_name(b)}"
         for b in C.LATENCY_BUCKETS
-    ) + ", round(sum(latency), 4) as latency_sum, count(*) as n from requests group by 1",
+    ) + ", round(sum(latency), 4) as latency_sum, count(*) as n, " + ", ".join(
+        f"quantile_disc(latency, {q}) as p{int(q * 100)}" for q in (0.5, 0.95, 0.99)
+    ) + " from requests group by 1",
 )
 def latency_histogram(spark, sf_dir):
     h = requests.latency_histogram(_d(spark, sf_dir, "requests"))
-    return h.withColumn("latency_sum", F.round("latency_sum", 4)).drop("quantiles")
+    named = {f"p{n}": F.expr(f"quantiles[{i}]") for i, n in enumerate((50, 95, 99))}
+    return h.withColumn("latency_sum", F.round("latency_sum", 4)).withColumns(named).drop("quantiles")
 
 
 @query("error_counts", _tables("requests") + " select error_type, count(*) as n from requests "
@@ -578,7 +581,7 @@ def team_names(spark, sf_dir):
 # -- rule tables ----------------------------------------------------------------------------
 _incoming = """
 select c_custkey as pos, concat(' rule_', cast(c_custkey % 300 as string), ' ') as name,
-       case when c_custkey % 13 = 0 then '(' when c_custkey % 17 = 0 then ' '
+       case when c_custkey % 13 = 0 then '(' when c_custkey % 11 = 0 then '(a)?(?(1)b|c)' when c_custkey % 17 = 0 then ' '
             else concat('[A-Z]', cast(c_custkey as string)) end as pattern,
        case when c_custkey % 7 = 0 then 'Bogus' else ' PHONE' end as entity_type
 from {customer}
@@ -587,7 +590,7 @@ _checked = (
     "with i as (" + _incoming.replace("{customer}", "customer") + "), c as (select pos, trim(name) as name, "
     "trim(pattern) as pattern, lower(trim(entity_type)) as entity_type, case when trim(pattern) = '' "
     "then 'name or pattern missing' when lower(trim(entity_type)) <> 'phone' then 'unknown entity type' "
-    "when pattern = '(' then 'pattern does not compile' end as error from i) "
+    "when pattern in ('(', '(a)?(?(1)b|c)') then 'pattern does not compile' end as error from i) "
 )
 
 

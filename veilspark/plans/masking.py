@@ -14,7 +14,8 @@ from veilspark.operators.restore import restore, restore_from_vault
 from veilspark.plans import derived as D
 from veilspark.plans.detection import DIGITS, PATTERN, VALUES, luhn, where
 from veilspark.plans.registry import query
-from veilspark.sources.tables import spread, table
+from veilspark.sources import store
+from veilspark.sources.tables import shared_folder, spread, table
 
 PACK = RulePack()
 # placeholders without their letters, so that a check does not depend on numbering
@@ -333,6 +334,20 @@ def restore_roundtrip(spark, sf_dir):
     return quality.round_trip(restore(mask(docs)))
 
 
+@query("vault_path", "select count(*) as n, cast(0 as bigint) as n_different, true as hidden from documents")
+def vault_path(spark, sf_dir):
+    """Mask, store the encrypted mappings, load them and restore every text from there."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    masked = mask(docs).selectExpr("doc_id", "concat('sess_', doc_id) as session_id", "text", "masked", "mappings")
+    rows = vault.mapping_rows(masked, created_at="timestamp '2024-01-01 00:00:00'")
+    path = shared_folder(spark, "vault")
+    store.save_mappings(vault.encrypt_values(rows, "correct horse"), path)
+    stored = store.load(spark, path)
+    back = restore_from_vault(masked, vault.decrypt_values(stored, "correct horse"), ["doc_id"])
+    hidden = stored.agg((F.count_if(F.expr("real_value rlike '[@.]'")) == 0).alias("hidden")).withColumn("one", F.lit(1))
+    return quality.round_trip(back).withColumn("one", F.lit(1)).join(hidden, "one").drop("one")
+
+
 @query("leak_check", "select count(*) as n, cast(0 as bigint) as n_leaks from documents")
 def leak_check(spark, sf_dir):
     """No masked value can be read in the masked text."""
@@ -425,12 +440,12 @@ def crypto_roundtrip(spark, sf_dir):
     v = D.derived(spark, sf_dir, "vault").select("data_type", "real_value")
     enc = vault.encrypt_values(v.withColumn("plain", F.col("real_value")), "correct horse")
     enc = enc.withColumnRenamed("real_value", "cipher")
-    return enc.selectExpr(
+    return enc.select(
         "data_type", "plain", "cipher",
-        f"coalesce({vault.decrypted('cipher', 'correct horse')}, cipher) as back",
-        f"coalesce({vault.decrypted('plain', 'correct horse')}, plain) as kept",
-        f"{vault.decrypted('cipher', 'another key')} as wrong",
-        "octet_length(unbase64(cipher)) as size",
+        F.coalesce(vault.decrypted(enc, "cipher", "correct horse"), "cipher").alias("back"),
+        F.coalesce(vault.decrypted(enc, "plain", "correct horse"), "plain").alias("kept"),
+        vault.decrypted(enc, "cipher", "another key").alias("wrong"),
+        F.octet_length(F.unbase64("cipher")).alias("size"),
     ).groupBy("data_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.expr("back = plain")).alias("n_back"),

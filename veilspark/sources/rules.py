@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.functions import catalog as C
-from veilspark.functions.rulepack import CATALOG_SCHEMA, RulePack
+from veilspark.functions.rulepack import CATALOG_SCHEMA, RulePack, compiles_sql
 from veilspark.functions.text import lit
 
 BUNDLE = "keywords array<string>, regex_rules array<struct<name:string,pattern:string,entity_type:string>>"
@@ -55,28 +51,14 @@ def keyword_reject_reason(keyword: str) -> str:
     )
 
 
-@F.pandas_udf(T.BooleanType())
-def compiles(patterns: pd.Series) -> pd.Series:
-    """Whether each pattern compiles (rule tables are small; data never passes here)."""
-
-    def ok(p: str | None) -> bool:
-        try:
-            re.compile(p or "")
-        except re.error:
-            return False
-        return True
-
-    return patterns.map(ok)
-
-
 def rule_reject_reason(pack: RulePack = RulePack()) -> str:
-    """Why a rule row is refused; expects the column ``compiles``."""
+    """Why a rule row is refused; the JVM, which will run it, judges the pattern."""
     known = ", ".join(lit(e.key) for e in pack.entities)
     return (
         "case when coalesce(name, '') = '' or coalesce(pattern, '') = '' then 'name or pattern missing' "
         f"when length(name) > {C.MAX_RULE_NAME_CHARS} then 'name too long' "
         f"when entity_type not in ({known}) then 'unknown entity type' "
-        "when not compiles then 'pattern does not compile' end"
+        f"when not {compiles_sql('pattern')} then 'pattern does not compile' end"
     )
 
 
@@ -101,9 +83,7 @@ def checked_rules(incoming: DataFrame, pack: RulePack = RulePack()) -> DataFrame
             "pos", "trim(name) as name", "trim(pattern) as pattern",
             "lower(trim(entity_type)) as entity_type",
         )
-        .withColumn("compiles", compiles("pattern"))
         .withColumn("error", F.expr(rule_reject_reason(pack)))
-        .drop("compiles")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.sources.tables import shared_folder
+from veilspark.sources.tables import remove, shared_folder
 
 VAULT_PARTITIONS = ["team_id", "dt"]
 
@@ -13,13 +13,16 @@ VAULT_PARTITIONS = ["team_id", "dt"]
 def save_mappings(rows: DataFrame, path: str, day: str = "created_at") -> None:
     """Append vault rows, partitioned by team and day.
 
-    No shuffle comes before the write, so one busy team does not end up in one
-    task.  ``day`` may coarsen the partitions, for example to the first of the
-    month for a long history.
+    Rows of a partition are brought together before the write, so that a task
+    does not write a file for each team and day it meets; a rebalance by
+    Spark splits the large ones, so one busy team does not end up in one task.
+    ``day`` may coarsen the partitions, for example to the first of the month
+    for a long history.
     """
     (
         rows.withColumn("team_id", F.coalesce("team_id", F.lit("default")))
         .withColumn("dt", F.expr(f"cast(cast({day} as date) as string)"))
+        .hint("rebalance", *VAULT_PARTITIONS)
         .write.mode("append").partitionBy(*VAULT_PARTITIONS).parquet(path)
     )
 
@@ -49,6 +52,7 @@ def delete_rows(
     if deleted:
         in_touched = stored.join(touched.select(*partitions), partitions, "left_semi")
         _replace(spark, path, in_touched.join(keys, on, "left_anti"), touched, partitions)
+    remove(spark, touched_path)
     return deleted
 
 
@@ -67,6 +71,7 @@ def purge_before(
     if deleted:
         in_touched = old_days.join(touched.select(*partitions), partitions, "left_semi")
         _replace(spark, path, in_touched.filter(~expired), touched, partitions)
+    remove(spark, touched_path)
     return deleted
 
 
@@ -81,6 +86,7 @@ def _replace(spark, path, kept: DataFrame, touched: DataFrame, partitions: list[
         spark, path,
         touched.join(staged.select(*partitions).distinct(), partitions, "left_anti"), partitions,
     )
+    remove(spark, staging)  # it holds plain values of the rows kept
 
 
 def _drop_partitions(spark, path, empty: DataFrame, partitions: list[str]) -> None:
