@@ -166,3 +166,14 @@ def transparency(stats: str) -> tuple[str, str]:
 def negative_totals(long: DataFrame) -> DataFrame:
     """Sanity check: totals below zero, of which there should be none."""
     return long.filter((F.col("entity_type") == "total") & (F.col("n") < 0))
+
+
+def history(long: DataFrame, first: str, last: str) -> DataFrame:
+    """Total per team and day of a range of days: team_id, date, n."""
+    return long.filter((F.col("entity_type") == "total") & F.col("date").between(first, last)).select("team_id", "date", "n")
+
+
+def types_of_day(long: DataFrame, day: str) -> DataFrame:
+    """Counts by type of every team on one day, without zeros: team_id, entity_type, n."""
+    return long.filter((F.col("date") == day) & (F.col("entity_type") != "total") & (F.col("n") > 0)).select(
+        "team_id", "entity_type", "n")

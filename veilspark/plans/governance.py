@@ -258,6 +258,19 @@ def session_audit(spark, sf_dir):
     return A.session_audit(a, v, 20).selectExpr("id", "session_id", "cast(rn as bigint) as rn", "copies")
 
 
+@query(
+    "session_audit_team",
+    _tables("audit", "vault") + ", r as (select *, row_number() over (partition by session_id "
+    "order by created_at desc, id desc) as rn from audit), c as (select session_id, count(*) as copies "
+    "from vault where team_id = 'team_1' group by 1) select id, session_id, rn, copies from r join c using "
+    "(session_id) where rn <= 20",
+)
+def session_audit_team(spark, sf_dir):
+    """The same for the sessions of one team."""
+    a, v = _d(spark, sf_dir, "audit", "vault")
+    return A.session_audit(a, v, 20, team="team_1").selectExpr("id", "session_id", "cast(rn as bigint) as rn", "copies")
+
+
 @query(
     "session_detail",
     _tables("audit") + ", r as (select *, row_number() over (partition by session_id order by "
@@ -435,6 +448,24 @@ def team_detail(spark, sf_dir):
     )
 
 
+@query(
+    "team_history",
+    _stats + f"select team_id, date, n from st where entity_type = 'total' and date between '2024-01-08' and '{TODAY}'",
+)
+def team_history(spark, sf_dir):
+    """Masked entities of each team per day of the last week."""
+    return stats.history(_long(spark, sf_dir), "2024-01-08", TODAY)
+
+
+@query(
+    "team_types",
+    _stats + f"select team_id, entity_type, n from st where date = '{TODAY}' and entity_type <> 'total' and n > 0",
+)
+def team_types(spark, sf_dir):
+    """Masked entities of each team by type, today."""
+    return stats.types_of_day(_long(spark, sf_dir), TODAY)
+
+
 @query("stats_migrate", _stats + _wide_sql("date, ", "st where entity_type not in ('ip', 'org')",
                                            "group by date"))
 def stats_migrate(spark, sf_dir):
