@@ -12,7 +12,7 @@ from veilspark.llm.common import staged
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 8_192, 1_024
 #: Neighbours of a node; nodes kept by a search while building and while querying.
-DEGREE, BUILD_BEAM, QUERY_BEAM = 48, 96, 256
+DEGREE, BUILD_BEAM, QUERY_BEAM = 48, 96, 192
 #: How much nearer a kept neighbour must be before it makes another one superfluous.
 ALPHA = 1.2
 #: Nodes of a beam that are expanded at once, and points inserted at once at most.
@@ -37,7 +37,7 @@ class Graph:
         norms = np.einsum("ij,ij->i", points, points, dtype=np.float64)
         extra = np.sqrt(np.maximum(norms.max() - norms, 0))
         scale = 1 / np.sqrt(norms.max())
-        self.x = np.concatenate([points * scale, (extra * scale)[:, None]], axis=1)
+        self.x = np.concatenate([points * scale, (extra * scale)[:, None]], axis=1).astype(np.float32)
         self.edges = np.full((len(points), DEGREE), -1, np.int32)
         self.entry = int(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1).argmin())
 
@@ -45,7 +45,7 @@ class Graph:
         """Nodes in the beam of each query, nearest first, their distances, and all nodes expanded."""
         n = len(q)
         ids = np.full((n, beam), -1, np.int32)
-        far = np.full((n, beam), np.inf)
+        far = np.full((n, beam), np.inf, np.float32)
         open_ = np.zeros((n, beam), bool)
         seen = np.zeros((n, len(self.x)), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
@@ -70,7 +70,7 @@ class Graph:
             nodes = near[a, b]
             seen[live[a], nodes] = True
             gap = self.x[nodes] - q[live[a]]
-            reach = np.full(near.shape, np.inf)
+            reach = np.full(near.shape, np.inf, np.float32)
             reach[a, b] = np.einsum("ij,ij->i", gap, gap)
             all_far = np.concatenate([far[live], reach], axis=1)
             all_ids = np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1)
@@ -97,10 +97,10 @@ class Graph:
             c = np.sort(candidates[s:s + step], axis=1)
             alive = (c >= 0) & (c != p[s:s + step, None])
             alive[:, 1:] &= c[:, 1:] != c[:, :-1]
-            x = self.x[c]
+            # seen from the point itself, so that distances are exact at the scale of its neighbourhood
+            x = self.x[c] - self.x[p[s:s + step], None]
             sq = np.einsum("ijk,ijk->ij", x, x)
-            own = self.x[p[s:s + step]]
-            d = np.where(alive, ((x - own[:, None]) ** 2).sum(axis=2), np.inf)
+            d = np.where(alive, sq, np.float32(np.inf))
             between = np.maximum(sq[:, :, None] + sq[:, None, :] - 2 * (x @ x.transpose(0, 2, 1)), 0)
             rows = np.arange(len(c))
             for k in range(DEGREE):
@@ -251,7 +251,7 @@ def nearest(
             some = q[s:s + 256]
             # the length of a query does not change the order of what it is compared with
             unit = some / np.sqrt(np.einsum("ij,ij->i", some, some))[:, None]
-            found, _, _ = graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1), beam)
+            found, _, _ = graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], axis=1).astype(np.float32), beam)
             score = np.einsum("ik,ijk->ij", some, points[found])
             for i in range(len(some)):
                 hits = []
