@@ -72,7 +72,7 @@ def compiles(pattern: str) -> bool:
 
 def compiles_sql(pattern: str) -> str:
     """The same test as an expression."""
-    named = f"""regexp_replace(regexp_replace({pattern}, r'\(\?P<(\w+)>', r'(?<$1>'), r'\(\?P=(\w+)\)', r'\\k<$1>')"""
+    named = rf"""regexp_replace(regexp_replace({pattern}, r'\(\?P<(\w+)>', r'(?<$1>'), r'\(\?P=(\w+)\)', r'\\k<$1>')"""
     return f"try_reflect('java.util.regex.Pattern', 'compile', concat('(?U)', {named})) is not null"
 
 

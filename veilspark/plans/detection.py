@@ -413,13 +413,20 @@ _ALT = {
         f"'[{k}_' || lpad(cast(len(v) as varchar), 4, '0') || ']' as last_placeholder "
         f"from (select doc_id, {v} as v from t) q where len(v) > 0"
         for k, v in _ALT.items()
-    ),
+    )
+    + " union all select -1000000000 - doc_id as doc_id, e.entity_type, cast(e.n as bigint) as n, e.last_placeholder "
+    "from documents, (values ('APIKEY', 2, '[APIKEY_0002]'), ('TOKEN', 1, '\"[TOKEN_0001]\"')) "
+    "as e(entity_type, n, last_placeholder)",
 )
 def alt_rule_pack(spark, sf_dir):
     """The second rule pack: per text and type, how many and the highest number given."""
     rich = D.derived(spark, sf_dir, "pii_text").selectExpr("-1 - doc_id as doc_id", "text")
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(rich)
-    masked = altpack.mask_numbered(docs)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    letters = "translate(md5(cast(doc_id as string)), '0123456789', 'ghijklmnop')"
+    keys = docs.selectExpr(
+        "-1000000000 - doc_id as doc_id",
+        f"""concat('use sk-', {letters}, ' or sk-ant-', {letters}, ', send "Bearer ', {letters}, '" too') as text""")
+    masked = altpack.mask_numbered(spread(docs.unionByName(rich).unionByName(keys)))
     per_type = F.expr("""transform(map_entries(stats), e -> named_struct(
         'entity_type', e.key, 'n', e.value,
         'last_placeholder', array_max(transform(
