@@ -3,6 +3,7 @@
 import pytest
 
 from veilspark import CustomRule, RulePack, mask, restore
+from veilspark.functions import rulepack
 
 PHONE = "13812345678"
 # (text, {entity: value that must be masked})
@@ -136,3 +137,11 @@ def test_same_rows_however_split(spark):
 def test_filter_on_result_does_not_explode_plan(spark):
     df = mask(spark.createDataFrame([("x 13812345678",), ("y",)], "text string"))
     assert df.filter("size(mappings) > 0 and masked like 'x%'").count() == 1
+
+
+def test_patterns_are_judged_by_the_jvm(spark):
+    cases = {"(?P<a>x)(?P=a)": True, "(?P<a>x)(?P=b)": False, "(": False, "a+": True, "(a)?(?(1)b|c)": False,
+             r"\d{3}(?<!x)": True, "[": False}
+    df = spark.createDataFrame([(p,) for p in cases], "p string")
+    got = {r.p: r.ok for r in df.selectExpr("p", rulepack.compiles_sql("p") + " as ok").collect()}
+    assert got == cases == {p: rulepack.compiles(p) for p in cases}

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def compiles(pattern: str) -> bool:
             re.compile(pattern)
         else:
             spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
-    except (re.error, Py4JJavaError):
+    except (re.error, Py4JJavaError, PySparkException):
         return False
     return True
 
