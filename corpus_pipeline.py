@@ -31,7 +31,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, with their slot and position."""
-    return mixing.interleaved(docs)
+    return mixing.mix(docs, in_order=True)
 
 
 STAGES = [

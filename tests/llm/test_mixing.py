@@ -86,10 +86,17 @@ def test_odd_rows(spark):
     assert mixed(spark, []) == []
 
 
-def test_output_is_in_order_and_native(spark):
-    rows = [(i, "x", f"s{i % 3}") for i in range(300)]
-    out = mixing.interleaved(documents(spark, rows))
+def test_output_is_in_order_and_native(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 64)
+    rows = [(i, "x", f"s{i % 3}" if i % 2 else "big") for i in range(2000)]
+    docs = documents(spark, rows)
+    out = mixing.mix(docs, {"big": 3.0, "s0": 1.0, "s1": 1.0, "s2": 1.0}, block=4, in_order=True)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
-    got = [r.mix_pos for r in out.collect()]
-    assert got == sorted(got)
+    parts = [[r.mix_pos for r in p] for p in out.rdd.glom().collect()]
+    assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 2000
+    flat = [x for p in parts if p for x in p]
+    place = {x: i for i, x in enumerate(sorted(flat))}
+    assert max(abs(place[x] - i) for i, x in enumerate(flat)) < 400  # only neighbours change places
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixing.mix(
+        docs, {"big": 3.0, "s0": 1.0, "s1": 1.0, "s2": 1.0}, block=4).collect()}

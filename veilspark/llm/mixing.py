@@ -13,10 +13,8 @@ BLOCK = 32
 PARTS = 1_000
 #: Without given weights, a source weighs as its size to this power.
 TEMPER = 0.7
-#: Rows that one numbering group holds on average, at most.
-GROUP = 50_000
-
-_HEX = 4  # digits of the ordering hash that choose the group
+#: Rows of a numbering group, about.
+GROUP = 8_192
 
 
 def period(share: list[int]) -> list[int]:
@@ -69,6 +67,7 @@ def phases(blocks: list[int], weights: list[float], parts: int = PARTS) -> list[
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, id: str = "doc_id", source: str = "source",
     block: int = BLOCK, parts: int = PARTS, slot: str = "mix_slot", position: str = "mix_pos",
+    in_order: bool = False,
 ) -> DataFrame:
     """Add the slot of each row's block and its position in the mixture.
 
@@ -78,9 +77,14 @@ def mix(
     one's blocks are less than one block away from its weight, at any point; a
     source that is used up leaves, and the others share by their weights.
 
-    Ordering works in groups of a source by leading digits of the hash, so a
-    source that holds a third of all rows is spread over many tasks.  Only one
-    count per source comes to the driver; sources are a dimension, not data.
+    Numbers are given in groups of about GROUP rows: the hash of an id tells, but
+    for chance, where in the mixture a row will come, and rows with neighbouring
+    places form a group.  So a source that holds a third of all rows is spread over
+    many tasks, and with ``in_order`` the same single shuffle brings the rows into
+    the order of the mixture: partitions follow each other but for neighbours
+    at their ends, and rows ascend in each.  Only one count per source comes to
+    the driver; sources are a dimension, not data.
+
     Sources without a weight (or one that is not positive) run after all others,
     by size.  A null source is a source of its own; null ids order first; rows
     with equal ids follow each other in any order.  Input columns with the
@@ -115,30 +119,30 @@ def mix(
     names = ", ".join(f"({j}, {'cast(null as string)' if s is None else _quoted(s)})" for j, (s, _) in enumerate(sizes))
     ranges = ranges.join(spark.sql(f"select * from values {names} as n(j, name)"), "j")
 
-    groups = 1
-    while groups < 16 ** _HEX and groups * GROUP < sum(count):
-        groups *= 2
+    # where a row will come, from its place among all hashes alone: its group, without knowing its number
+    rows_of = spark.sql("select * from values " + ", ".join(
+        f"({'cast(null as string)' if s is None else _quoted(s)}, {n}L)" for s, n in sizes) + " as c(source_name, rows)")
     keyed = docs.select(
         F.struct("*").alias("doc"), F.col(id).alias("id"), F.col(source).cast("string").alias("source"),
         F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))).alias("md5"))
-    keyed = keyed.withColumn("part", F.expr(f"cast(conv(substr(md5, 1, {_HEX}), 16, 10) as int) div {16 ** _HEX // groups}"))
+    keyed = keyed.join(rows_of, F.col("source").eqNullSafe(F.col("source_name"))).withColumn("guess", F.expr(
+        f"cast(floor(cast(conv(substr(md5, 1, 8), 16, 10) as double) / 4294967296 * rows) as bigint) div {block}"))
+    near = ranges.selectExpr("name", "phase", "q", "a", "lo", "hi")
+    keyed = keyed.join(near, F.col("source").eqNullSafe(F.col("name")) & F.expr("guess >= lo and guess < hi")).selectExpr(
+        "doc", "id", "source", "md5", f"(phase + (guess - lo) * q div a) div {max(1, GROUP // block)} as part")
     before = keyed.groupBy(F.col("source").alias("s"), F.col("part").alias("g")).agg(F.count(F.lit(1)).alias("n")).selectExpr(
         "s", "g", "coalesce(sum(n) over (partition by s order by g rows between unbounded preceding and 1 preceding), 0) skip")
+    if in_order:
+        keyed = keyed.repartitionByRange("part")
     ranked = keyed.withColumn("i", F.expr("row_number() over (partition by source, part order by md5, id) - 1"))
     ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("g"))).selectExpr(
         "doc", "source", "skip + i as i", f"(skip + i) div {block} as b")
     placed = ranked.join(ranges, F.col("source").eqNullSafe(F.col("name")) & F.expr("b >= lo and b < hi"))
     placed = placed.withColumn("nth", F.expr("cast((b - lo) % a as int)")).join(slots, ["phase", "j", "nth"])
-    return placed.withColumn("slot", F.expr("phase + ((b - lo) div a) * q + t")).select(
+    placed = placed.withColumn("slot", F.expr("phase + ((b - lo) div a) * q + t")).select(
         "doc.*", F.col("slot").alias(slot), F.expr(f"slot * {block} + i % {block}").alias(position))
+    return placed.sortWithinPartitions(position) if in_order else placed
 
 
 def _quoted(text: object) -> str:
     return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def interleaved(docs: DataFrame, weights: dict[str, float] | None = None, **names) -> DataFrame:
-    """The mixture in its order: partitions hold ranges of positions, rows ascend."""
-    out = mix(docs, weights, **names)
-    position = names.get("position", "mix_pos")
-    return out.repartitionByRange(position).sortWithinPartitions(position)
