@@ -5,7 +5,7 @@ import xxhash
 from data import documents, lower
 from veilspark.llm import simhash
 
-LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(120_000))  # over a megabyte would be cut into parts
+LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(1_500))  # is cut into parts
 HUGE = LONG + "\n" + LONG.upper()
 
 

@@ -44,6 +44,14 @@ def remainder(column: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(schema: T.StructType, *added: T.StructField) -> T.StructType:
     """The schema with columns added at its end; one of the same name is replaced."""
     names = {f.name.lower() for f in added}

@@ -141,4 +141,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     """Drop contaminated documents; everything else stays as it is, rows with null ids too."""
     bad = staged(
         contamination(docs, benchmark, id, text).where("contaminated").select(F.col(id).alias("__bad")).distinct(), "bad")
-    return docs.join(bad, docs[id] == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs[id] == bad["__bad"], "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, remainder, thinned_by
+from veilspark.llm.common import extended, remainder, thinned_by, unused
 from veilspark.llm.octets import LOWER, pieces, text_buffers
 
 #: Longest context in bytes.
@@ -66,7 +66,7 @@ def fit(texts: dict[str, list[str]]) -> dict | None:
     # contexts of each order that occur, and a row for each; row 0 is the empty context
     contexts = [np.zeros(1, np.int64)]
     for k in range(1, ORDER + 1):
-        contexts.append(np.unique(np.concatenate([_grams(s, k, size)[:-1] for s in streams])))
+        contexts.append(np.unique(np.concatenate([_grams(s, k + 1, size) // size for s in streams])))
     base = np.cumsum([0] + [len(c) for c in contexts])
     table = np.zeros((int(base[-1]), size, len(names)), np.float32)
     for i, s in enumerate(streams):
@@ -125,7 +125,8 @@ def score(
     language that sorts first.  Input columns with the output's names are replaced.
     """
     spec = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
-    docs = docs.withColumn("__letter", has_letter(F.col(text)))
+    lettered = unused(docs, "__letter")
+    docs = docs.withColumn(lettered, has_letter(F.col(text)))
     schema = extended(docs.schema, T.StructField(out, T.StringType()), T.StructField(probability, T.DoubleType()))
     kept = schema.names[:-2]
 
@@ -133,7 +134,7 @@ def score(
         model = spec.value
         for batch in batches:
             n = batch.num_rows
-            letter = batch.column(batch.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(batch.schema.get_field_index(lettered)).to_numpy(zero_copy_only=False).astype(bool)
             names, value = np.full(n, UNKNOWN, object), np.zeros(n)
             if model and letter.any():
                 data, ends = text_buffers(batch.column(batch.schema.get_field_index(text)))
@@ -148,7 +149,7 @@ def score(
                 [batch.column(batch.schema.get_field_index(c)) for c in kept]
                 + [pa.array(names, pa.string()), pa.array(value)], names=schema.names)
 
-    return docs.mapInArrow(run, schema).drop("__letter")
+    return docs.mapInArrow(run, schema).drop(lettered)
 
 
 def _add(model: dict, data: np.ndarray, ends: np.ndarray, held: list[tuple[int, int, int]], bits: np.ndarray) -> None:
@@ -196,5 +197,6 @@ def trained(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 def accepted(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """The documents whose language is known and clear, columns as they were."""
-    return score(docs, model, text, "__lang", "__score").where(
-        (F.col("__lang") != UNKNOWN) & (F.col("__score") >= THRESHOLD)).drop("__lang", "__score")
+    name, value = unused(docs, "__lang"), unused(docs, "__score")
+    return score(docs, model, text, name, value).where(
+        (F.col(name) != UNKNOWN) & (F.col(value) >= THRESHOLD)).drop(name, value)

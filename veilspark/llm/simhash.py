@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, staged
+from veilspark.llm.common import extended, staged, unused
 from veilspark.llm.octets import pieces, text_buffers
 
 SHINGLE = 3
@@ -245,15 +245,16 @@ def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     """
     found = staged(near_duplicates(docs, id, text, "__f", "__component"), "groups")
     if found.where(F.col(id).isNull()).limit(1).count():
-        keyed = fingerprints(docs, text, "__f")
-        lost = found.where(F.col(id).isNull() & F.col("__component").isNull()).select("__f").distinct()
-        nameless = keyed.where(F.col(id).isNull()).join(lost, "__f", "left_semi").dropDuplicates(["__f"]).drop("__f")
+        mark = unused(docs, "__f")
+        keyed = fingerprints(docs, text, mark)
+        lost = found.where(F.col(id).isNull() & F.col("__component").isNull()).select(F.col("__f").alias(mark)).distinct()
+        nameless = keyed.where(F.col(id).isNull()).join(lost, mark, "left_semi").dropDuplicates([mark]).drop(mark)
     else:
         nameless = None
     kept = found.where(F.col(id) == F.col("__component")).groupBy(F.col(id).alias("__keep")).agg(
         F.count(F.lit(1)).alias("__copies"))
     kept = staged(kept, "kept")
-    out = docs.join(kept.select("__keep"), docs[id] == F.col("__keep"), "left_semi")
+    out = docs.join(kept, docs[id] == kept["__keep"], "left_semi")
     if kept.where("__copies > 1").limit(1).count():
         out = out.dropDuplicates([id])
     return out if nameless is None else out.unionByName(nameless.select(*out.columns))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm.common import extended, fitted
+from veilspark.llm.common import extended, fitted, unused
 from veilspark.llm.octets import LOWER, WORD, Rolling, joined, mixed, pieces, text_buffers, word_spans
 
 #: Clean and toxic training texts at most, and the longest text used for training.
@@ -250,4 +250,5 @@ def trained(docs: DataFrame, labels: DataFrame) -> dict | None:
 
 def accepted(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """The documents below the threshold, columns as they were."""
-    return score(docs, model, text, "__toxic", "__spans").where(F.col("__toxic") < THRESHOLD).drop("__toxic", "__spans")
+    value, spans = unused(docs, "__toxic"), unused(docs, "__spans")
+    return score(docs, model, text, value, spans).where(F.col(value) < THRESHOLD).drop(value, spans)

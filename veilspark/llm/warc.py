@@ -50,14 +50,14 @@ def records(
     p = p.withColumn("d", digest).withColumn("b", F.octet_length("h").cast("long"))
     p = p.join(firsts, (F.col("d") == F.col("fd")) & (F.col("b") >= least), "left").withColumn(
         "refers", F.expr("if(i <=> first, null, first)"))
-    parts = F.expr(f"""if(refers is not null, array(''),
-        transform(sequence(0, greatest(0, (char_length(h) - 1) div {chunk})),
-                  k -> substring(h, cast(k * {chunk} + 1 as int), {chunk})))""")
+    p = p.withColumn("n", F.expr(f"if(refers is null, greatest(0, (char_length(h) - 1) div {chunk}), 0) + 1"))
+    parts = F.expr(f"""if(refers is not null, array(''), transform(sequence(0, n - 1),
+        k -> substring(h, cast(k * {chunk} + 1 as int), {chunk})))""")
     p = p.select(
         F.coalesce(F.concat(F.lit("Page-Id: "), F.col("i").cast("string"), F.lit("\r\n")), F.lit("")).alias("page"),
         F.coalesce(F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers").cast("string"), F.lit(">\r\n")), F.lit("")).alias("refers"),
         _line(F.col("u")).alias("u"), "d", "b", F.md5(F.concat_ws("|", F.col("i").cast("string"), "d")).alias("name"),
-        F.posexplode(parts).alias("k", "part"), F.size(parts).alias("n"))
+        "n", parts.alias("parts")).select("page", "refers", "u", "d", "b", "name", "n", F.posexplode("parts").alias("k", "part"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("b"), F.lit("\r\n\r\n"))
     block = F.when(F.col("k") == 0, F.concat(http, "part")).otherwise(F.col("part"))
     p = p.withColumn("block", block)
