@@ -7,6 +7,8 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.llm.common import staged
+
 #: Rows of a block, the unit that is scheduled.
 BLOCK = 32
 #: Weights are whole parts of about so many; a period has that many slots.
@@ -104,24 +106,23 @@ def mix(
         # sources with weights are used up by then
         plan.append((share, order, [b if w > 0 else u for b, u, w in zip(blocks, before, given)], length))
 
-    # one row per phase, and one per phase and source: the blocks it serves there
+    # one row per phase, and one per phase and source: the blocks it serves there; plain
+    # values, whose size Spark knows, so that documents need no shuffle to meet them
     rows, serves, at = [], [], 0
     for k, (share, order, before, length) in enumerate(plan):
-        rows.append(f"({at}L, {len(order)}, '{','.join(map(str, order))}')")
+        rows.append(f"({at}L, '{','.join(map(str, order))}')")
         after = plan[k + 1][2] if k + 1 < len(plan) else blocks
-        serves += [f"({at}L, {j}, {a}, {before[j]}L, {after[j]}L)" for j, a in enumerate(share) if a]
+        serves += [f"({at}L, {j}, {a}, {before[j]}L, {after[j]}L, {len(order)}, {_quoted(sizes[j][0])})"
+                   for j, a in enumerate(share) if a]
         at += length
-    each = spark.sql(f"select * from values {', '.join(rows)} as p(phase, q, picked)")
-    slots = each.selectExpr("phase", "posexplode(split(picked, ',')) as (t, j)").selectExpr(
+    slots = spark.sql(f"select * from values {', '.join(rows)} as p(phase, picked)").selectExpr(
+        "phase", "posexplode(split(picked, ',')) as (t, j)").selectExpr(
         "phase", "t", "cast(j as int) as j", "row_number() over (partition by phase, j order by t) - 1 as nth")
-    ranges = spark.sql(f"select * from values {', '.join(serves)} as s(phase, j, a, lo, hi)").join(
-        each.select("phase", "q"), "phase")
-    names = ", ".join(f"({j}, {'cast(null as string)' if s is None else _quoted(s)})" for j, (s, _) in enumerate(sizes))
-    ranges = ranges.join(spark.sql(f"select * from values {names} as n(j, name)"), "j")
+    ranges = spark.sql(f"select * from values {', '.join(serves)} as s(phase, j, a, lo, hi, q, name)")
 
     # where a row will come, from its place among all hashes alone: its group, without knowing its number
     rows_of = spark.sql("select * from values " + ", ".join(
-        f"({'cast(null as string)' if s is None else _quoted(s)}, {n}L)" for s, n in sizes) + " as c(source_name, rows)")
+        f"({_quoted(s)}, {n}L)" for s, n in sizes) + " as c(source_name, rows)")
     keyed = docs.select(
         F.struct("*").alias("doc"), F.col(id).alias("id"), F.col(source).cast("string").alias("source"),
         F.md5(F.coalesce(F.col(id).cast("string"), F.lit(""))).alias("md5"))
@@ -132,6 +133,7 @@ def mix(
         "doc", "id", "source", "md5", f"(phase + (guess - lo) * q div a) div {max(1, GROUP // block)} as part")
     before = keyed.groupBy(F.col("source").alias("s"), F.col("part").alias("g")).agg(F.count(F.lit(1)).alias("n")).selectExpr(
         "s", "g", "coalesce(sum(n) over (partition by s order by g rows between unbounded preceding and 1 preceding), 0) skip")
+    before = staged(before, "counts")
     if in_order:
         keyed = keyed.repartitionByRange("part")
     ranked = keyed.withColumn("i", F.expr("row_number() over (partition by source, part order by md5, id) - 1"))
@@ -145,4 +147,6 @@ def mix(
 
 
 def _quoted(text: object) -> str:
+    if text is None:
+        return "cast(null as string)"
     return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
