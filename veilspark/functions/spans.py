@@ -65,13 +65,15 @@ def fold(items: str, out: str, first: str, value: str, after: str, keep: str = "
     before it as ``a.pos``.  Appending copies an array, so values are appended
     inside blocks of BLOCK elements, and blocks to each other: cost is near linear.
     """
-    inner = f"""aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<{out}>)),
-        (a, x) -> if({keep}, named_struct('pos', {after}, 'out', concat(a.out, array({value}))), a))"""
+    append = f"(a, x) -> if({keep}, named_struct('pos', {after}, 'out', concat(a.out, array({value}))), a)"
+    short = f"""aggregate(it, named_struct('pos', {first}, 'out', cast(array() as array<{out}>)),
+        {append}, a -> a.out)"""
+    inner = f"aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<{out}>)), {append})"
     step = bind(inner, "b", "named_struct('pos', b.pos, 'out', concat(acc.out, array(b.out)))")
     blocks = f"transform(sequence(0, greatest(size(it) - 1, 0) div {BLOCK}), k -> slice(it, k * {BLOCK} + 1, {BLOCK}))"
     walk = f"""aggregate({blocks}, named_struct('pos', {first}, 'out', cast(array() as array<array<{out}>>)),
         (acc, blk) -> {step}, acc -> flatten(acc.out))"""
-    return bind(items, "it", walk)
+    return bind(items, "it", f"if(size(it) <= {BLOCK}, {short}, {walk})")
 
 
 def regex_spans(pieces: str, key: str, ord_: int, rank: int) -> str:
