@@ -11,12 +11,12 @@ SCHEMA = "page_id long, url string, html string, value string, k int, d string,
 
 
 def rows():
-    long = "".join(f"<p>{i} é \r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n</p>" for i in range(400))
+    long = "".join(f"<p>{i} é \r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n</p>" for i in range(60))
     same = "same page " * 20
     out = [(1, "http://a/", same), (2, "http://b/", same), (3, None, same), (4, "http://c/", "x" * 99), (5, "http://d/", "x" * 99),
            (6, "http://e/", None), (7, "http://f/", ""), (8, "http://g/\r\nWARC-Type: x\n", long), (9, "http://h/", long),
            (10, "http://i/", "\r\n" * 60), (11, "", "ends with a line end\r\n" * 9), (12, "u", "\r" * 120 + "\n"),
-           (None, "http://n/", "no id " * 30), (None, "http://n/", same), (1, "http://a/", same), (13, "u", "é" * 5000)]
+           (None, "http://n/", "no id " * 30), (None, "http://n/", same), (1, "http://a/", same), (13, "u", "é" * 900)]
     return [(i, u, h, "v", 1, "d", 2) for i, u, h in out]
 
 
