@@ -100,3 +100,30 @@ def test_output_is_in_order_and_native(spark, monkeypatch):
     assert max(abs(place[x] - i) for i, x in enumerate(flat)) < 400  # only neighbours change places
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in mixing.mix(
         docs, {"big": 3.0, "s0": 1.0, "s1": 1.0, "s2": 1.0}, block=4).collect()}
+
+
+@pytest.mark.parametrize("total", [3_000, 60_000])
+def test_deviation_does_not_grow_with_the_run(total):
+    blocks = [total // 3] + [total * 2 * (19 + i) // (3 * 19 * 28) for i in range(19)]
+    weights = [n ** mixing.TEMPER for n in blocks]
+    _, slots, _, length = mixing.phases(blocks, weights)[0]
+    done, whole = [0] * len(blocks), sum(weights)
+    for t in range(length):
+        done[slots[t % len(slots)]] += 1
+        if t % 97 == 0 or t > length - 200:
+            assert all(abs(n - (t + 1) * w / whole) < 1 for n, w in zip(done, weights))
+    assert length > total / 4
+
+
+def test_small_weights_stay_small():
+    blocks, weights = [6_000] + [4] * 2_000, [0.5] + [0.00025] * 2_000
+    _, slots, _, length = mixing.phases(blocks, weights)[0]
+    done = sum(slots[t % len(slots)] == 0 for t in range(4_000))
+    assert length >= 4_000 and abs(done - 2_000) < 1
+
+
+def test_slots_are_handed_over_in_parts(spark, monkeypatch):
+    rows = [(i, "x", None if i % 7 == 0 else "ab"[i % 5 == 0]) for i in range(800)]
+    one = {(r.doc_id, r.mix_slot, r.mix_pos) for r in mixed(spark, rows, block=4)}
+    monkeypatch.setattr(mixing, "SLOTS", 33)
+    assert {(r.doc_id, r.mix_slot, r.mix_pos) for r in mixed(spark, rows, block=4)} == one
