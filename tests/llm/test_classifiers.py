@@ -216,3 +216,42 @@ def test_training_leaves_held_out_rows_alone(spark):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     known = docs.withColumn("lang", F.when(held, "xz").otherwise(F.when(F.col("doc_id") % 2 == 0, "xa").otherwise("xb")))
     assert langid.trained(known)["names"] == ["xa", "xb"]
+
+
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any list held, with few texts each, also beside a large one."""
+    names = [f"y{a}{b}" for a in "abcdefghij" for b in "abcdefgh"]
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("kstmn") + rng.choice("ui") for _ in range(20)), "big") for i in range(400)]
+    rows += [(1000 + 10 * k + i, f"{n} {n}{n} {n}x {n}", n) for k, n in enumerate(names) for i in range(6)]
+    model = langid.trained(labelled(spark, rows))
+    assert model["names"] == sorted(names + ["big"])
+    got = langid.score(labelled(spark, [(i, f"{n} {n}{n} {n}x {n}", None) for i, n in enumerate(names)]), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == names
+
+
+def test_long_texts_teach_too(spark):
+    rows = [(i, "balo kitu mane " * 20, "xa") for i in range(9)]
+    rows += [(20 + i, "12 " * 5_000 + "schrum plotz dachs " * 3_000, "xb") for i in range(9)]
+    rows += [(40 + i, None if i < 3_000 else "vy vyx yvyx", "xc") for i in range(3_006)]
+    rows += [(7, "orra orr", "xd")] * 2_000
+    model = langid.trained(labelled(spark, rows))
+    assert model["names"] == ["xa", "xb", "xc", "xd"]
+    got = langid.score(labelled(spark, [(1, "plotz dachs", None), (2, "vyx vy", None), (3, "mane balo", None), (4, "orr", None)]), model)
+    assert [r.lang_pred for r in sorted(got.collect())] == ["xb", "xc", "xa", "xd"]
+
+
+def test_tables_in_parts_are_the_same(monkeypatch):
+    texts = TONGUES | {"xc": ["kitu plotz 12 é"], "xd": ["sane sane"]}
+    data, ends = text_buffers(pa.array(["balo plotz 9 schrum"]))
+    found = []
+    for n in (8, 3, 1):
+        monkeypatch.setattr(langid, "TOGETHER", n)
+        bits = np.zeros((1, 4))
+        langid._add(langid.fit(texts), data, ends, [(0, 0, int(ends[1]))], bits)
+        found.append(bits)
+    assert np.array_equal(found[0], found[1]) and np.array_equal(found[0], found[2])
