@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import ann, chat, decontam, langid, licenses, mixing, quality, repair, simhash, toxicity, warc
+from veilspark.llm import ann, chat, decontam, langid, licenses, mixing, quality, repair, simhash, substrings, toxicity, warc
 from veilspark.llm.common import remainder, shared_path, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,8 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_repair")
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@query("op11_substrings")
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents")).drop("removed")
