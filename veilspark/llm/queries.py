@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import ann, chat, decontam, langid, licenses, mixing, quality, repair, simhash, substrings, toxicity, warc
+from veilspark.llm import alignment, ann, chat, decontam, langid, licenses, mixing, quality, repair, simhash, substrings, toxicity, warc
 from veilspark.llm.common import remainder, shared_path, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +156,24 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))))
 
 
-@query("op11_substrings")
+OP11_CHECK = r"""
+with docs as (select row_number() over () r, doc_id,
+    [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] w from documents),
+runs as (select r, doc_id, i, array_to_string(w[i:i + 12], ' ') s from (
+    select r, doc_id, w, unnest(range(1, len(w) - 11)) i from docs where len(w) >= 13)),
+firsts as (select s, min(doc_id) least from runs group by s),
+gone as (select distinct r, j from (select r, unnest(range(i, i + 13)) j from runs join firsts using (s) where least < doc_id)),
+kept as (select r, count(*) n, string_agg(x, ' ' order by j) t from (
+    select r, unnest(range(1, len(w) + 1)) j, unnest(w) x from docs) anti join gone using (r, j) group by r)
+select doc_id, len(w) n_words, len(w) - coalesce(n, 0) n_removed, sha256(coalesce(t, '')) kept_sha256
+from docs left join kept using (r)"""
+
+
+@query("op11_substrings", OP11_CHECK)
 def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))[0]

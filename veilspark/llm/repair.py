@@ -170,44 +170,58 @@ def _blocks(turns: DataFrame) -> DataFrame:
 
 
 def _ends(blocks: DataFrame) -> DataFrame:
-    """(first, end, cost): the vector behind each block; one small row per block goes through a conversation's task."""
+    """(first, end, cost, opens): the vector behind each block, the cost from its start, whether it opens a conversation.
+
+    One small row per block goes through the task of a conversation.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, v = None, FINAL
-        started = False
+        held, now, v = None, None, FINAL
         for b in batches:
-            firsts, ends, costs = [], [], []
+            out = []
             for conv, first, m in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not started or conv != now:
-                    now, v, started = conv, FINAL, True
-                firsts.append(first)
-                ends.append(list(v))
-                v = tuple(min(m[4 * q + e] + v[e] for e in range(4)) for q in range(4))
-                costs.append(v[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(firsts, pa.int64()), pa.array(ends, pa.list_(pa.int64())), pa.array(costs, pa.int64())],
-                names=["first", "end", "cost"])
+                if held is None or conv != now:
+                    out += [(*held, True)] if held else []
+                    now, v = conv, FINAL
+                else:
+                    out.append((*held, False))
+                end, v = v, tuple(min(m[4 * q + e] + v[e] for e in range(4)) for q in range(4))
+                held = first, list(end), v[0]
+            if out:
+                yield _batch(out, types, names)
+        if held:
+            yield _batch([(*held, True)], types, names)
 
+    names, types = ["first", "end", "cost", "opens"], [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.bool_()]
     return blocks.select("conv", "first", "costs").repartition("conv").sortWithinPartitions(
-        "conv", F.desc("first")).mapInArrow(run, "first long, end array<long>, cost long")
+        "conv", F.desc("first")).mapInArrow(run, "first long, end array<long>, cost long, opens boolean")
 
 
 def _walked(blocks: DataFrame, ends: DataFrame) -> DataFrame:
     """(conv, at, codes, edits, cost): the edits of each block for every state it may be entered with."""
-    joined = blocks.drop("costs").join(ends, "first").select("conv", "first", "codes", "times", "end", "cost")
+    joined = blocks.drop("costs").join(ends, "first").select("conv", "first", "codes", "times", "end", "cost", "opens")
     kind = blocks.schema["conv"].dataType
     schema = T.StructType([
         T.StructField("conv", kind), T.StructField("at", T.LongType()), T.StructField("codes", T.ArrayType(T.IntegerType())),
         T.StructField("edits", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("cost", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
         for b in batches:
-            for at in range(b.num_rows):  # one block at a time: four walks of it are held
-                codes, times, end = (b.column(i)[at].as_py() for i in (2, 3, 4))
-                ways = [walk(codes, times, tuple(end), q) for q in range(4)]
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(at, 1), b.column(1).slice(at, 1), pa.array([codes], pa.list_(pa.int32())),
-                    pa.array([ways], pa.list_(pa.list_(pa.string()))), b.column(5).slice(at, 1)], names=schema.names)
+            for at in range(b.num_rows):
+                conv, first, codes, times, end, cost, opens = (c[at].as_py() for c in b.columns)
+                ways = [walk(codes, times, tuple(end), q) for q in range(1 if opens else 4)]
+                out.append((conv, first, codes, ways, cost))
+                size += len(codes) * len(ways)
+                if size >= 1 << BLOCK_BITS:
+                    yield _batch(out, types(b), schema.names)
+                    out, size = [], 0
+            if out:
+                yield _batch(out, types(b), schema.names)
+                out, size = [], 0
+
+    def types(b: pa.RecordBatch) -> list[pa.DataType]:
+        return [b.schema.field(0).type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.string())), pa.int64()]
 
     return joined.mapInArrow(run, schema)
 
