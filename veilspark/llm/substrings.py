@@ -31,8 +31,8 @@ SPAN = 13
 #: A perfect difference set, and the words of an anchor: PERIOD + ANCHOR - 1 = SPAN.
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = SPAN + 1 - PERIOD
-#: Bytes of text in a chunk (a longer text is a chunk by itself), and for each bucket of hashes.
-CHUNK, BUCKET = 8 << 20, 64 << 20
+#: Bytes of text and documents in a chunk (a longer text is a chunk by itself), bytes of text for each bucket of hashes.
+CHUNK, DOCUMENTS, BUCKET = 8 << 20, 1 << 16, 64 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -106,13 +106,15 @@ def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at]
 
 
-def _bucketed(chunk: int, codes: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple]:
-    """Sorted codes cut by bucket, and what goes with them; the top bits of a code name its bucket."""
+def _edges(codes: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
+    """Where each bucket lies in sorted codes; the top bits of a code name its bucket."""
     bucket = ((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        part = slice(edges[b], edges[b + 1])
-        yield (b, chunk, codes[part], *(c[part] for c in columns))
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(codes) else []
+    return [(int(bucket[a]), slice(a, b)) for a, b in zip(first, [*first[1:], len(codes)])]
+
+
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8))[:n].astype(bool)
 
 
 def _repeated(codes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
                 words = normal(data[ends[i]:ends[i + 1]])
                 held.append((one, words))
                 size += len(words) + 16
-                if size >= CHUNK:
+                if size >= CHUNK or len(held) == DOCUMENTS:
                     yield flush()
                     number, held, size = number + 1, [], 0
         if held:
@@ -164,39 +166,43 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
             yield number, Chunk(ids, packed, sizes)
 
 
+def _anchor_codes(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors of the documents of a chunk in order, with the first and last document that has each."""
+    codes = [_anchors(words)[1] for _, words in found]
+    return _repeated(np.concatenate(codes), np.repeat([i for i, _ in found], [len(c) for c in codes]))
+
+
 def anchors(parts: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, codes): sorted hashes of covered windows in that chunk which another document shares.
+    """(chunk, bucket, shared): one bit per distinct anchor of the chunk, in order: another document has it.
 
     Inside a bucket 32 bits tell hashes apart; a chance agreement only costs a comparison.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in _opened(batches):
-            found = [(i, _anchors(words)[1]) for i, words in chunk.runs()]
+            found = list(chunk.runs())
             if not found:
                 continue
-            codes, least, most = _repeated(
-                np.concatenate([c for _, c in found]), np.repeat([i for i, _ in found], [len(c) for _, c in found]))
-            rows = list(_bucketed(number, codes, buckets, chunk.known[least] != chunk.known[most]))
+            codes, least, most = _anchor_codes(found)
+            twice, edges = chunk.known[least] != chunk.known[most], _edges(codes, buckets)
             yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([r[2].astype(np.uint32).tobytes() for r in rows], pa.binary()),
-                pa.array([np.packbits(r[3]).tobytes() for r in rows], pa.binary())], names=["bucket", "chunk", "codes", "twice"])
+                pa.array([b for b, _ in edges], pa.int32()), pa.array([number] * len(edges), pa.int64()),
+                pa.array([codes[x].astype(np.uint32).tobytes() for _, x in edges], pa.binary()),
+                pa.array([np.packbits(twice[x]).tobytes() for _, x in edges], pa.binary())],
+                names=["bucket", "chunk", "codes", "twice"])
 
     def answer(part: pa.Table) -> pa.Table:
-        bucket = part.column("bucket")[0].as_py()
         codes = [np.frombuffer(c.as_py(), np.uint32) for c in part.column("codes")]
-        twice = [np.frombuffer(c.as_py(), np.uint8) for c in part.column("twice")]
-        own = [c[np.unpackbits(t)[:len(c)].astype(bool)] for c, t in zip(codes, twice)]
+        own = [c[_bits(t.as_py(), len(c))] for c, t in zip(codes, part.column("twice"))]
         every = np.sort(np.concatenate(codes + own))
         shared = np.unique(every[1:][every[1:] == every[:-1]])
         del every
-        out = [c[_within(c, shared)] for c in codes]
-        return pa.table([part.column("chunk"), pa.array([bucket] * len(out), pa.int32()),
-                         pa.array([c.tobytes() for c in out], pa.binary())], names=["chunk", "bucket", "codes"])
+        return pa.table([part.column("chunk"), part.column("bucket"),
+                         pa.array([np.packbits(_within(c, shared)).tobytes() for c in codes], pa.binary())],
+                        names=["chunk", "bucket", "shared"])
 
     sent = parts.mapInArrow(send, "bucket int, chunk long, codes binary, twice binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, codes binary").where("octet_length(codes) > 0")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, shared binary")
 
 
 def _within(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -207,16 +213,10 @@ def _within(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == codes
 
 
-def _through(words: np.ndarray, shared: dict[int, np.ndarray], buckets: int) -> np.ndarray:
+def _through(words: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Which 13-word windows of a document contain a shared anchor."""
     at, codes = _anchors(words)
-    bucket = (((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-    hit = np.zeros(len(codes), bool)
-    short = codes.astype(np.uint32)
-    for b in np.unique(bucket).tolist():
-        if b in shared:
-            mine = bucket == b
-            hit[mine] = _within(short[mine], shared[b])
+    hit = _within(codes, shared)
     windows = len(words) - SPAN + 1
     edge = np.zeros(windows + 1, np.int64)
     np.add.at(edge, np.maximum(0, at[hit] - PERIOD + 1), 1)
@@ -243,23 +243,27 @@ def _suspects(parts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
 
     Chunks and their anchors meet by number, sorted so that anchors come first.
     """
-    both = shared.selectExpr("chunk", "0 as kind", "bucket", "codes").unionByName(
+    both = shared.selectExpr("chunk", "0 as kind", "bucket", "shared").unionByName(
         parts.selectExpr("chunk", "1 as kind", "ids", "packed", "sizes"), allowMissingColumns=True).select(
-        "chunk", "kind", "bucket", "codes", "ids", "packed", "sizes")
+        "chunk", "kind", "bucket", "shared", "ids", "packed", "sizes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                number, kind, bucket, codes, ids, packed, sizes = (c[i].as_py() for c in batch.columns)
+                number, kind, bucket, bits, ids, packed, sizes = (c[i].as_py() for c in batch.columns)
                 if number != now:
                     now, known = number, {}
                 if kind == 0:
-                    known[bucket] = np.sort(np.frombuffer(codes, np.uint32))
+                    known[bucket] = bits
                     continue
                 chunk, held, marks = Chunk(ids, packed, sizes), [], {}
-                for k, words in chunk.runs():
-                    through = _through(words, known, buckets)
+                found = list(chunk.runs())
+                codes = _anchor_codes(found)[0] if found else np.zeros(0, np.uint64)
+                common = [codes[x][_bits(known[b], x.stop - x.start)] for b, x in _edges(codes, buckets)]
+                common = np.concatenate(common) if common else codes
+                for k, words in found:
+                    through = _through(words, common)
                     if through.any():
                         marks[k] = np.packbits(through).tobytes()
                         held.append((ids[k], chunk.of(k).tobytes()))
@@ -288,73 +292,75 @@ def _windows(chunk: Chunk, marks: list[bytes]) -> Iterator[tuple[int, int, np.nd
         yield k, len(words), at, hashes[at]
 
 
+def _window_codes(chunk: Chunk, marks: list[bytes]) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """The windows in question, their distinct hashes in order and the first document of the chunk that has each."""
+    found = list(_windows(chunk, marks))
+    codes, least, _ = _repeated(
+        np.concatenate([w[3] for w in found]), np.repeat([w[0] for w in found], [len(w[3]) for w in found]))
+    return found, codes, least
+
+
 def _first_owners(suspects: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, codes, first): windows that occur under a smaller id than the largest of the chunk, and the smallest id."""
+    """(chunk, bucket, earlier, first): of the windows of a chunk, in order, which occur under a smaller id elsewhere, and that id."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 number, ids, packed, sizes, marks = (c[i].as_py() for c in batch.columns)
                 chunk = Chunk(ids, packed, sizes)
-                found = [(k, hashes) for k, _, _, hashes in _windows(chunk, marks)]
-                codes, least, most = _repeated(
-                    np.concatenate([c for _, c in found]), np.repeat([k for k, _ in found], [len(c) for _, c in found]))
-                rows = list(_bucketed(number, codes, buckets, least.astype(np.uint32), most.astype(np.uint32)))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                    *(pa.array([r[j].tobytes() for r in rows], pa.binary()) for j in (2, 3, 4)),
-                    pa.array([chunk.known.tobytes() for _ in rows], pa.binary())],
-                    names=["bucket", "chunk", "codes", "least", "most", "ids"])
+                _, codes, least = _window_codes(chunk, marks)
+                rows = []
+                for b, x in _edges(codes, buckets):
+                    used, owner = np.unique(least[x], return_inverse=True)
+                    rows.append((b, number, codes[x].tobytes(), owner.astype(np.uint16).tobytes(), chunk.known[used].tobytes()))
+                kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "chunk", "codes", "owner", "ids"])
 
     def answer(part: pa.Table) -> pa.Table:
-        def column(name: str, kind: type) -> list[np.ndarray]:
-            return [np.frombuffer(c.as_py(), kind) for c in part.column(name)]
-
-        codes, least, most = column("codes", np.uint64), column("least", np.uint32), column("most", np.uint32)
-        ids = column("ids", np.int64)
-        every = np.concatenate(codes)
-        owner = np.concatenate([i[x] for i, x in zip(ids, least)])
-        known, first, _ = _repeated(every, owner)
+        codes = [np.frombuffer(c.as_py(), np.uint64) for c in part.column("codes")]
+        owners = [np.frombuffer(i.as_py(), np.int64)[np.frombuffer(o.as_py(), np.uint16)]
+                  for o, i in zip(part.column("owner"), part.column("ids"))]
+        known, first, _ = _repeated(np.concatenate(codes), np.concatenate(owners))
         back = []
-        for c, x, i in zip(codes, most, ids):
+        for c, own in zip(codes, owners):
             smallest = first[np.searchsorted(known, c)]
-            later = smallest < i[x]  # the last document of the chunk that holds it loses it
-            back.append((c[later].tobytes(), smallest[later].tobytes()))
-        return pa.table([part.column("chunk"), pa.array([b[0] for b in back], pa.binary()),
-                         pa.array([b[1] for b in back], pa.binary())], names=["chunk", "codes", "first"])
+            earlier = smallest < own
+            back.append((np.packbits(earlier).tobytes(), smallest[earlier].tobytes()))
+        return pa.table([part.column("chunk"), part.column("bucket"), pa.array([b[0] for b in back], pa.binary()),
+                         pa.array([b[1] for b in back], pa.binary())], names=["chunk", "bucket", "earlier", "first"])
 
     sent = suspects.select("chunk", "ids", "packed", "sizes", "marks").mapInArrow(
-        send, "bucket int, chunk long, codes binary, least binary, most binary, ids binary")
-    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, codes binary, first binary").where("octet_length(codes) > 0")
+        send, "bucket int, chunk long, codes binary, owner binary, ids binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "chunk long, bucket int, earlier binary, first binary")
 
 
-def _removed(suspects: DataFrame, owners: DataFrame) -> DataFrame:
-    both = owners.selectExpr("chunk", "0 as kind", "codes", "first").unionByName(
+def _removed(suspects: DataFrame, owners: DataFrame, buckets: int) -> DataFrame:
+    both = owners.selectExpr("chunk", "0 as kind", "bucket", "earlier", "first").unionByName(
         suspects.selectExpr("chunk", "1 as kind", "ids", "packed", "sizes", "marks"), allowMissingColumns=True).select(
-        "chunk", "kind", "codes", "first", "ids", "packed", "sizes", "marks")
+        "chunk", "kind", "bucket", "earlier", "first", "ids", "packed", "sizes", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, codes, first = None, [], []
+        now, known = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                number, kind, c, f, ids, packed, sizes, marks = (x[i].as_py() for x in batch.columns)
+                number, kind, bucket, earlier, first, ids, packed, sizes, marks = (x[i].as_py() for x in batch.columns)
                 if number != now:
-                    now, codes, first = number, [], []
+                    now, known = number, {}
                 if kind == 0:
-                    codes.append(np.frombuffer(c, np.uint64))
-                    first.append(np.frombuffer(f, np.int64))
+                    known[bucket] = earlier, first
                     continue
-                known = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
-                order = np.argsort(known)
-                known, least = known[order], (np.concatenate(first) if first else np.zeros(0, np.int64))[order]
                 chunk, rows = Chunk(ids, packed, sizes), []
-                for k, n, at, hashes in _windows(chunk, marks):
+                found, codes, least = _window_codes(chunk, marks)
+                smallest = chunk.known[least]
+                for b, x in _edges(codes, buckets):
+                    there = x.start + np.flatnonzero(_bits(known[b][0], x.stop - x.start))
+                    smallest[there] = np.frombuffer(known[b][1], np.int64)
+                for k, n, at, hashes in found:
+                    at = at[smallest[np.searchsorted(codes, hashes)] < ids[k]]
                     gone = np.zeros(n + 1, np.int64)
-                    if len(known):
-                        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                        at = at[(known[place] == hashes) & (least[place] < ids[k])]
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + SPAN, -1)
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + SPAN, -1)
                     rows.append(_without(ids[k], chunk.of(k), np.cumsum(gone[:n]) > 0))
                 yield pa.RecordBatch.from_arrays(_results(rows), names=_NAMES)
 
@@ -391,7 +397,7 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     parts = staged(chunks(docs, id, text), "chunks")
     suspects = staged(_suspects(parts, staged(anchors(parts, buckets), "anchors"), buckets), "suspects")
     held = suspects.where("ids is not null")
-    done = suspects.where("ids is null").select(*_NAMES).unionByName(_removed(held, _first_owners(held, buckets)))
+    done = suspects.where("ids is null").select(*_NAMES).unionByName(_removed(held, _first_owners(held, buckets), buckets))
     return done.withColumnRenamed("id", id)
 
 
