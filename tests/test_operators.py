@@ -121,6 +121,19 @@ def test_chain_equals_python(spark):
         4: "dropped", 5: "follows another segment", 8: "rows lost or added"}
 
 
+def test_chain_is_linear(spark):
+    """A row costs the same in long segments as in short ones."""
+    df = spark.range(20_000).selectExpr(
+        "id", "concat('s', id % 7) as session_id", "'act' as action", "repeat('x', 100) as detail_json", "'now' as created_at")
+    best = {}
+    for _ in range(3):
+        for size in (250, 4_000):
+            start = time.time()
+            audit.build_chain(df.coalesce(1), size).write.format("noop").mode("overwrite").save()
+            best[size] = min(best.get(size, 1e9), time.time() - start)
+    assert best[4_000] <= 1.2 * best[250] + 0.3, best
+
+
 def test_crypto(spark):
     df = spark.createDataFrame([("abc",), ("",), ("中文",)], "real_value string")
     enc = vault.encrypt_values(df, "k" * 32)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack
+from veilspark.functions.spans import fold
 from veilspark.functions.text import fingerprint
 from veilspark.operators.compliance import placeholder_token
 from veilspark.operators.ordered import previous_row
+from veilspark.sources.tables import shared_folder
 
 SEGMENT_IDS = 1_000
 
@@ -31,37 +33,29 @@ def build_chain(audit: DataFrame, segment_ids: int = SEGMENT_IDS) -> DataFrame:
 
     Each row's hash needs the one before it, so rows are folded in order inside
     their segment, which bounds the group whatever the share of a session.  The
-    first row of a segment gets the link of the segment before (see
-    ``segment_ledger``), so only the first row of the log has no hash.
+    fold keeps hashes only and appends them in blocks, so a row costs the same in
+    segments of any length.  The first row of a segment gets the link of the
+    segment before (see ``segment_ledger``), so only the first row of the log has
+    no hash.  Segments are written once to the shared folder, since both
+    the rows and the links are made from them.
     """
-    step = row_hash("acc.h", "r.session_id", "r.action", "r.detail_json", "r.created_at")
-    fold = f"""aggregate(
-        rows,
-        named_struct('h', cast(null as string),
-                     'out', cast(array() as array<struct<id:bigint,session_id:string,action:string,
-                            detail_json:string,created_at:string,prev_hash:string>>)),
-        (acc, r) -> named_struct(
-            'h', {step},
-            'out', concat(acc.out, array(named_struct(
-                'id', r.id, 'session_id', r.session_id, 'action', r.action, 'detail_json', r.detail_json,
-                'created_at', r.created_at, 'prev_hash', acc.h)))),
-        acc -> acc.out)"""
-    inner = (
+    columns = ["id", "session_id", "action", "detail_json", "created_at"]
+    hashed = fold("rows", "string", "cast(null as string)", "a.pos", row_hash("a.pos", *(f"x.{c}" for c in columns[1:])))
+    last = row_hash("element_at(hashes, -1)", *(f"element_at(rows, -1).{c}" for c in columns[1:]))
+    folded = (
         with_segment(audit, segment_ids)
         .groupBy("segment")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("id", "session_id", "action", "detail_json", "created_at"))
-            ).alias("rows")
-        )
-        .selectExpr("segment", f"inline({fold})")
-    )
-    seeds = _seeds(segment_ledger(inner))
-    return (
-        inner.join(seeds, "segment", "left")
-        .withColumn("prev_hash", F.coalesce("prev_hash", "seed"))
-        .select("id", "session_id", "segment", "action", "detail_json", "created_at", "prev_hash")
+        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+        .withColumn("hashes", F.expr(hashed))
+        .selectExpr("segment", "rows", "hashes", f"{last} as close_hash")
     )
+    path = shared_folder(audit.sparkSession, "chain")
+    folded.write.parquet(path)
+    folded = audit.sparkSession.read.schema(folded.schema).parquet(path)
+    seeds = _seeds(_linked(folded.select("segment", "close_hash"))).withColumnRenamed("segment", "of")
+    rows = folded.selectExpr("segment", "inline(arrays_zip(rows, hashes))").selectExpr("segment", "rows.*", "hashes")
+    return rows.join(seeds, F.col("segment") == F.col("of"), "left").selectExpr(
+        "id", "session_id", "segment", "action", "detail_json", "created_at", "coalesce(hashes, seed) as prev_hash")
 
 
 def segment_ledger(chain: DataFrame) -> DataFrame:
@@ -86,6 +80,11 @@ def segment_ledger(chain: DataFrame) -> DataFrame:
         .withColumn("close_hash", F.expr(last))
         .drop("l")
     )
+    return _linked(closes)
+
+
+def _linked(closes: DataFrame) -> DataFrame:
+    """Add the hash of each close with the one before."""
     return (
         previous_row(closes, [], "segment", ["close_hash"])
         .withColumn(
