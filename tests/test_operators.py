@@ -178,6 +178,61 @@ def test_chat_forms(spark):
     assert out["messages"][0]["content"].startswith("hi [PII_PHONE_")
 
 
+def plain_parts(body):
+    """(message, block, text) of a request as the standard parser reads it."""
+    try:
+        parsed = json.loads(body)
+    except (TypeError, ValueError):
+        return []
+    out = []
+    messages = parsed.get("messages") if isinstance(parsed, dict) else None
+    for i, message in enumerate(messages if isinstance(messages, list) else []):
+        content = message.get("content") if isinstance(message, dict) else None
+        if isinstance(content, str):
+            out.append((i, 0, content))
+        for k, block in enumerate(content if isinstance(content, list) else []):
+            if isinstance(block, dict) and block.get("type") == "text" and isinstance(block.get("text"), str):
+                out.append((i, k, block["text"]))
+    return [(i, k, re.sub("[\ud800-\udfff]", "?", t)) for i, k, t in out]
+
+
+def test_chat_bodies_of_chance(spark):
+    """Raw bodies put together at random, many of them broken, against the standard parser."""
+    rng = random.Random(11)
+
+    def value(depth):
+        kind = rng.randrange(9 if depth < 5 else 5)
+        if kind < 3:
+            return rng.choice(['"text"', '"a@b.com"', r'"\ud800 x"', r'"q\"\\ \u00e9"', '"é,]}"', '"user"'])
+        if kind < 5:
+            return rng.choice(["1", "-0.5e3", "true", "null", "NaN", "01", "tru", "'x'", '"open'][: 5 if rng.random() < .97 else 9])
+        pad = rng.choice(["", " ", "\n\t"])
+        if kind < 7:
+            return "[" + f"{pad},".join(value(depth + 1) for _ in range(rng.randrange(4))) + ("," if rng.random() < .02 else "") + "]"
+        keys = ["messages", "content", "role", "type", "text", r"me\u0073sages", "x"]
+        return "{" + ",".join(f'{pad}"{rng.choice(keys)}"{pad}:{pad}{value(depth + 1)}' for _ in range(rng.randrange(5))) + "}"
+
+    def body():
+        blocks = ",".join(rng.choice([value(4), '{"type":"text","text":' + value(5) + "}"]) for _ in range(rng.randrange(4)))
+        content = rng.choice([value(3), f"[{blocks}]", '"hi a@b.com"'])
+        message = '{"role":"user","content":' + content + rng.choice(["", ',"content":' + value(3)]) + "}"
+        lists = [f'"messages":[{message},{value(2)},{message}]', f'"x":{value(1)}'] + [f'"messages":{value(1)}'] * (rng.random() < .2)
+        return " {" + ",".join(rng.sample(lists, len(lists))) + "}" + rng.choice(["", " ", "\n", "x"][: 3 if rng.random() < .95 else 4])
+
+    bodies = [body() for _ in range(1500)] + [value(0) for _ in range(200)] + [None, "", "{", '{"messages":[]}']
+    bodies += ['{"a":' + "[" * 5000 + "]" * 5000 + ',"messages":[{"content":"a@b.com"}]}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, body string")
+    got = {r.id: [] for r in df.select("id").collect()}
+    for r in nested.chat_texts(df, ["id"]).collect():
+        got[r.id].append((r.msg, r.block, r.text))
+    want = {i: plain_parts(b) for i, b in enumerate(bodies[:-1])}
+    want[len(bodies) - 1] = [(0, 0, "a@b.com")]
+    assert got == want and sum(map(len, want.values())) > 1000
+    for r in nested.mask_chat(df, ["id"]).collect():
+        body = bodies[r.id]
+        assert (r.masked_body == body) if not r.mappings else ("[PII_EMAIL_A]" in r.masked_body)
+
+
 def test_store(spark):
     path = tempfile.mkdtemp() + "/vault"
     rows = spark.range(40).selectExpr(

@@ -58,14 +58,18 @@ def bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def fold(items: str, out: str, first: str, value: str, after: str, keep: str = "true") -> str:
+def fold(items: str, out: str, first: str, value: str, after: str, keep: str = "true", emit: str = "true") -> str:
     """Walk over an array with a running position and collect one value per element kept.
 
-    ``value``, ``after`` and ``keep`` see the element as ``x`` and the position
-    before it as ``a.pos``.  Appending copies an array, so values are appended
-    inside blocks of BLOCK elements, and blocks to each other: cost is near linear.
+    ``value``, ``after``, ``keep`` and ``emit`` see the element as ``x`` and the
+    position before it as ``a.pos``, which may be a struct.  An element not kept
+    leaves the position; one not emitted moves it but gives no value.  Appending
+    copies an array, so values are appended inside blocks of BLOCK elements, and
+    blocks to each other: cost is near linear.
     """
-    append = f"(a, x) -> if({keep}, named_struct('pos', {after}, 'out', concat(a.out, array({value}))), a)"
+    more = f"concat(a.out, array({value}))"
+    more = more if emit == "true" else f"if({emit}, {more}, a.out)"
+    append = f"(a, x) -> if({keep}, named_struct('pos', {after}, 'out', {more}), a)"
     short = f"""aggregate(it, named_struct('pos', {first}, 'out', cast(array() as array<{out}>)),
         {append}, a -> a.out)"""
     inner = f"aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<{out}>)), {append})"

@@ -231,21 +231,26 @@ def session_stats(spark, sf_dir):
     )
 
 
-# One request per message, plain or as blocks, with fields that masking must leave alone.
+# One request per message, plain or as blocks, with fields that masking must leave alone, half of a
+# surrogate pair, keys that repeat and deep nesting.
+_DEEP = '{"d":[' * 60 + '"13900000004"' + "]}" * 60
 _REQUESTS = (
-    '{"model":"m","temperature":0.70,"messages":[{"role":"user","name":"n 13900000000","content":@T@},'
-    '{"role":"tool","tool_call_id":"call 13900000001","content":"ip 10.0.0.1"},{"role":"assistant","content":null,'
+    '{"model":"m","temperature":0.70,"x":' + _DEEP + ',"messages":[{"role":"user","name":"n 13900000000","content":null,"content":@T@},'
+    '{"role":"tool","tool_call_id":"call 13900000001","content":"\\ud800 ip 10.0.0.1"},{"role":"assistant","content":null,'
     '"tool_calls":[{"id":"c","arguments":"{\\"tel\\":13900000002}"}]}],'
     '"tools":[{"type":"function","function":{"name":"f","strict":true}}], "stream":false}',
-    '{"messages":[{"content":[{"type":"text","text":@T@,"cache_control":{"type":"ephemeral"}},'
+    '{"messages":"none","messages":[{"content":[{"type":"text","text":@T@,"cache_control":{"type":"ephemeral"}},'
+    '{"type":"text","text":"half \\uDC00 a pair"},'
     '{"type":"image","source":{"data":"13900000000","n":1e2}},{"text":"ip 10.0.0.1","type":"text"}],"role":"user"}],'
     '"stream":true,"model":"m","max_tokens":64}',
 )
 
 
 def _request_sql(text: str, ip: str) -> str:
+    """The request in Spark, or what masking makes of it for the checking engine: a text that changes has ? for the half pair."""
     plain, blocks = (lit(r.replace("10.0.0.1", ip)) if ip.startswith("1") else
-                     "'" + r.replace("10.0.0.1", ip).replace("'", "''") + "'" for r in _REQUESTS)
+                     "'" + r.replace("\\ud800 ip 10.0.0.1", "? ip " + ip).replace("10.0.0.1", ip).replace("'", "''") + "'"
+                     for r in _REQUESTS)
     return f"replace(case when turn % 2 = 0 then {plain} else {blocks} end, '@T@', {text})"
 
 
@@ -392,15 +397,19 @@ def restore_used_only(spark, sf_dir):
 
 
 _REPLY = (
-    '{"id":"r","object":"chat.completion","created":1.50,"choices":[{"index":0,"logprobs":{"content":["@P@"]},'
-    '"message":{"role":"assistant","content":"tel @V@","tool_calls":[{"id":"@P@"}]},"finish_reason":"stop"},'
-    '{"message":{"content":null}}],"usage":{"total_tokens":7}, "x":"@P@"}'
+    '{"id":"r","object":"chat.completion","created":1.50,"choices":0,"choices":[{"index":0,"logprobs":{"content":["@P@"]},'
+    '"message":{"role":"assistant","content":"@P@","content":"tel @V@","tool_calls":[{"id":"@P@"}]},"finish_reason":"stop"},'
+    '{"message":{"content":"@H@ @V@"}},{"message":{"content":"@S@"}},{"message":{"content":null}}],"usage":{"total_tokens":7}, "x":"@P@",'
+    '"deep":' + _DEEP + "}"
 )
+# half of a surrogate pair, as sent; a text that changes gets a question mark for it
+_SENT = _REPLY.replace("@H@", r"\\ud800").replace("@S@", r"\\udc00")
+_BACK = _REPLY.replace("@H@", "?").replace("@S@", r"\udc00")
 
 
 @query(
     "restore_reply",
-    D.with_tables("vault") + f" select id as reply_id, case when id % 2 = 0 then replace(replace('{_REPLY}', "
+    D.with_tables("vault") + f" select id as reply_id, case when id % 2 = 0 then replace(replace('{_BACK}', "
     "'@P@', placeholder), '@V@', real_value) else concat('not json ', placeholder) end as restored from vault",
 )
 def restore_reply(spark, sf_dir):
@@ -408,7 +417,7 @@ def restore_reply(spark, sf_dir):
     v = D.derived(spark, sf_dir, "vault")
     replies = v.selectExpr(
         "id as reply_id", "map(placeholder, real_value) as m",
-        f"if(id % 2 = 0, replace(replace('{_REPLY}', '@P@', placeholder), '@V@', placeholder), "
+        f"if(id % 2 = 0, replace(replace('{_SENT}', '@P@', placeholder), '@V@', placeholder), "
         "concat('not json ', placeholder)) as body",
     )
     return nested.restore_reply(replies, "body", "m").select("reply_id", "restored")
