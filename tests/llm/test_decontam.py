@@ -61,10 +61,28 @@ def test_clean_keeps_the_rest(spark):
     docs, items = data()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = documents(spark, docs, True)
-    out = decontam.clean(df, bench)
-    assert out.columns == df.columns
-    bad = {r[0] for r in plain(docs, items) if r[5] and r[0] is not None}
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(str(d) for d, _ in docs if d not in bad)
+    assert decontam.clean(df, bench).columns == df.columns
+    docs += [(80, docs[6][1]), (81, items[3][1]), (81, "a clean text"), (None, "another clean text")]
+    out = decontam.clean(documents(spark, docs, True), bench)
+    kept = [d for d in docs if not plain([d], items)[0][5]]
+    assert len(kept) < len(docs) and (81, "a clean text") in kept and (None, items[1][1]) not in kept
+    assert sorted(map(str, kept)) == sorted(str((r.doc_id, r.text)) for r in out.collect())
+
+
+@pytest.mark.parametrize("part", [20, 64])
+def test_long_texts_in_parts(spark, monkeypatch, part):
+    """Hits at every place across the cuts between parts."""
+    monkeypatch.setattr(decontam, "PART", part)
+    items = [(1, " ".join(f"q{i}" for i in range(15))), (2, "short one"), (3, "solo"), (4, " ".join(f"p{i}" for i in range(12)))]
+    docs = []
+    for shift in range(2 * part):
+        filler = [f"x{i}" for i in range(shift)]
+        for k, (_, text) in enumerate(items):
+            docs.append((10 * shift + k, " - ".join(filler + words(text.upper()) + ["tail"] * 7 + words(text) + filler)))
+    docs += [(9000, "y " * (3 * part)), (9001, "... " + "q0 " * part), (9002, None), (9000, "y " * (3 * part))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontam.contamination(documents(spark, docs), bench).collect()]
+    assert sorted(got, key=lambda r: (r[0] is not None, r)) == plain(docs, items)
 
 
 def test_empty(spark):

@@ -75,6 +75,15 @@ def test_first_of_each(spark):
     assert got.count(None) == 1  # the nameless text that nobody else has
 
 
+def test_first_of_each_by_id_and_text(spark):
+    """Different texts under one id both stay, copies and near copies go, also without an id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(2, a), (2, b), (3, a), (2, a), (2, a), (None, c), (None, c), (None, b), (5, None), (6, ""), (1, "one"), (1, "one")]
+    got = simhash.first_of_each(documents(spark, data, True))
+    want = [(2, a), (2, b), (None, c), (5, None), (1, "one")]
+    assert sorted(map(str, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(str, want))
+
+
 def test_pairs_around_anchors():
     import numpy as np
 

@@ -212,6 +212,21 @@ def components(edges: DataFrame) -> DataFrame:
             return now.selectExpr("u node", "v root")
 
 
+def _marked(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(__id, __key, __f) of every row: its id, the hash of its text, its fingerprint."""
+    keyed = docs.select(F.col(id).alias("__id"), F.xxhash64(text).alias("__key"), F.col(text).alias("__text"))
+    return staged(fingerprints(keyed, "__text", "__f").select("__id", "__key", "__f"), "prints")
+
+
+def _roots(marked: DataFrame) -> DataFrame:
+    """(__f, __least, __root) of every fingerprint: its smallest id, and the group that it belongs to."""
+    classes = marked.groupBy("__f").agg(F.min("__id").alias("__least"))
+    roots = components(links(classes, "__f"))
+    named = classes.join(roots, classes["__f"] == roots["node"], "left").select(
+        "__f", "__least", F.coalesce("root", "__f").alias("__root"))
+    return staged(named, "classes")
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text",
     fingerprint: str = "fingerprint", component: str = "component_id",
@@ -224,13 +239,8 @@ def near_duplicates(
     like the others but never names a component (null if no row has an id).
     Repeated rows stay, each with the same label.
     """
-    marked = staged(
-        fingerprints(docs.select(F.col(id), F.col(text)), text, "__f").select(F.col(id).alias("__id"), "__f"), "prints")
-    classes = marked.groupBy("__f").agg(F.min("__id").alias("__least"))
-    roots = components(links(classes, "__f"))
-    named = classes.join(roots, classes["__f"] == roots["node"], "left").select(
-        "__f", "__least", F.coalesce("root", "__f").alias("__root"))
-    named = staged(named, "classes")
+    marked = _marked(docs, id, text)
+    named = _roots(marked)
     least = named.groupBy("__root").agg(F.min("__least").alias("__component"))
     labels = named.join(least, "__root").select("__f", "__component")
     return marked.join(labels, "__f").select(
@@ -240,21 +250,31 @@ def near_duplicates(
 def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Keep one row of each near-duplicate group: the one with the smallest id.
 
-    Rows with a null id are kept only if their group has no id at all, and then
-    one of them for each fingerprint.  Columns and other rows stay as they are.
+    Rows are told apart by their id and the hash of their text, so texts of
+    different groups that share an id stay both.  In a group without any id, and among
+    texts of a group that share its smallest id, the smallest hash stays.
+    Rows that repeat a kept one go.  Columns and other rows stay as they are.
+
+    Only the rows to be removed, and those that repeat, meet the texts.
     """
-    found = staged(near_duplicates(docs, id, text, "__f", "__component"), "groups")
-    if found.where(F.col(id).isNull()).limit(1).count():
-        mark = unused(docs, "__f")
-        keyed = fingerprints(docs, text, mark)
-        lost = found.where(F.col(id).isNull() & F.col("__component").isNull()).select(F.col("__f").alias(mark)).distinct()
-        nameless = keyed.where(F.col(id).isNull()).join(lost, mark, "left_semi").dropDuplicates([mark]).drop(mark)
-    else:
-        nameless = None
-    kept = found.where(F.col(id) == F.col("__component")).groupBy(F.col(id).alias("__keep")).agg(
-        F.count(F.lit(1)).alias("__copies"))
-    kept = staged(kept, "kept")
-    out = docs.join(kept, docs[id] == kept["__keep"], "left_semi")
-    if kept.where("__copies > 1").limit(1).count():
-        out = out.dropDuplicates([id])
-    return out if nameless is None else out.unionByName(nameless.select(*out.columns))
+    marked = _marked(docs, id, text)
+    named = _roots(marked).select("__f", "__root")
+    own = marked.groupBy("__f", "__id", "__key").agg(F.count(F.lit(1)).alias("__copies")).join(named, "__f")
+    own = staged(own.select("__root", "__id", "__key", "__copies"), "members")
+    # nulls last: a row without an id is kept only where no row has one
+    first = own.groupBy("__root").agg(F.min(F.struct(F.isnull("__id"), "__id", "__key")).alias("__first")).selectExpr(
+        "__root as __of", "__first.__id as __keep", "__first.__key as __keepkey")
+    same = (F.col("__root") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__key") == F.col("__keepkey"))
+    gone = staged(own.join(first, same, "left").where("__of is null or __copies > 1").selectExpr(
+        "__id", "__key", "__of is not null as __again"), "gone")
+
+    def among(rows: DataFrame, kind: str) -> DataFrame:
+        chosen = rows.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"))
+        return docs.join(chosen, docs[id].eqNullSafe(chosen["__i"]) & (F.xxhash64(docs[text]) == chosen["__k"]), kind)
+
+    out = among(gone, "left_anti")
+    again = gone.where("__again")
+    if not again.isEmpty():
+        key = unused(docs, "__key")
+        out = out.unionByName(among(again, "left_semi").withColumn(key, F.xxhash64(text)).dropDuplicates([id, key]).drop(key))
+    return out
