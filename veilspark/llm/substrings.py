@@ -90,7 +90,7 @@ class Chunk:
 def pack(docs: list[tuple[object, bytes]]) -> tuple[list, bytes, bytes]:
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
     sizes = np.array([len(t) for _, t in docs], np.int64).tobytes()
-    return [i for i, _ in docs], zstandard.ZstdCompressor(level=1).compress(b"".join(t for _, t in docs)), sizes
+    return [i for i, _ in docs], zstandard.ZstdCompressor(level=3).compress(b"".join(t for _, t in docs)), sizes
 
 
 def _covered(n: int) -> np.ndarray:
