@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.spans import bind
 from veilspark.llm.common import staged
 
 #: Words that must agree in a row.
@@ -92,9 +93,10 @@ def _prints(df: DataFrame, short: list[int]) -> DataFrame:
     df = _winnowed(df.withColumn("__h", F.expr("transform(__words, w -> xxhash64(w))")))
     pos = "cast(v & 2147483647L as int)"
     lists = [
-        f"""transform(__kept, v -> named_struct('kind', {SPAN}, 'fp', shiftright(v, 31), 'pos', {pos},
+        # bound, so that the optimizer does not move its making into the inner function
+        bind("__span", "span", f"""transform(__kept, v -> named_struct('kind', {SPAN}, 'fp', shiftright(v, 31), 'pos', {pos},
               'lo', greatest({pos} - {WINDOW - 1}, 0),
-              'around', slice(__span, greatest({pos} - {WINDOW - 1}, 0) + 1, {pos} + 1 - greatest({pos} - {WINDOW - 1}, 0))))"""
+              'around', slice(span, greatest({pos} - {WINDOW - 1}, 0) + 1, {pos} + 1 - greatest({pos} - {WINDOW - 1}, 0))))""")
     ] + [
         f"""transform(if(size(__h) >= {m}, sequence(0, size(__h) - {m}), array()),
               i -> named_struct('kind', {m}, 'fp', xxhash64(slice(__h, i + 1, {m})), 'pos', i, 'lo', i,
