@@ -31,12 +31,14 @@ def lowered(text: Column) -> Column:
 
 def _words(text: str) -> str:
     """The array of words of a text, as SQL."""
-    return f"filter(split({text}, '{NOT_WORD}+'), w -> w <> '')"
+    cut = f"split({text}, '{NOT_WORD}+')"
+    # only the first and the last can be empty
+    return bind(cut, "c", "slice(c, if(c[0] = '', 2, 1), greatest(0, size(c) - if(c[0] = '', 1, 0) - if(element_at(c, -1) = '', 1, 0)))")
 
 
 def _parts(text: str) -> str:
     """A text in parts of PART words each, but for the last; a short one is a single part."""
-    pattern = f"\\\\G{NOT_WORD}*+(?:{A_WORD}++{NOT_WORD}*+){{1,{PART}}}"
+    pattern = f"\\\\G{NOT_WORD}*+(?:{A_WORD}++{NOT_WORD}*+){{1,{PART}}}+"
     return f"if(octet_length({text}) < {2 * PART}, array({text}), regexp_extract_all({text}, '{pattern}', 0))"
 
 
@@ -46,7 +48,7 @@ def with_words(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     A part holds the first SPAN - 1 words of the next one as well, so every run of
     SPAN words lies whole in the part where it begins.  Null has one part without words.
     """
-    head = f"regexp_extract(__parts[p + 1], '^{NOT_WORD}*+(?:{A_WORD}++{NOT_WORD}*+){{1,{SPAN - 1}}}', 0)"
+    head = f"regexp_extract(__parts[p + 1], '^{NOT_WORD}*+(?:{A_WORD}++{NOT_WORD}*+){{1,{SPAN - 1}}}+', 0)"
     cut = df.selectExpr(*keys, f"coalesce({text}, '') as __text").selectExpr(*keys, f"{_parts('__text')} as __parts")
     cut = cut.selectExpr(*keys, f"""posexplode(if(size(__parts) < 2, __parts, transform(__parts, (x, p) ->
         if(p = size(__parts) - 1, x, concat(x, ' ', {head}))))) as (__part, __piece)""")
@@ -56,9 +58,9 @@ def with_words(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def _winnowed(df: DataFrame) -> DataFrame:
-    """From ``__h`` (word hashes) to ``__kept``, hash bits and position of each selected gram, and ``__span``, hashes of whole spans.
+    """From ``__h`` (word hashes) to ``__kept``: hash bits and position of each selected gram.
 
-    Grams of 2, 4, 6 and 12 words and minima over 2, 4 and 8 grams are built by
+    Grams of 2, 4 and 6 words and minima over 2, 4 and 8 grams are built by
     pairing an array with itself shifted.  The position in the low bits makes
     the leftmost of equal hashes the smallest, on either side alike.
     """
@@ -76,34 +78,29 @@ def _winnowed(df: DataFrame) -> DataFrame:
     for name, step in steps.items():
         df = df.withColumn(name, F.expr(step))
     whole = f"slice(__m8, 1, greatest({n} - {SPAN - 1}, 0))"
-    # a span is known by its first and its last six words and the one between
-    span = f"""transform(sequence(0, {n} - {SPAN}), i -> xxhash64(__g6[i], __h[i + 6], __g6[i + 7]))"""
-    return df.withColumn("__kept", F.expr(f"array_distinct({whole})")).withColumn(
-        "__span", F.expr(f"if({n} >= {SPAN}, {span}, cast(array() as array<bigint>))")).drop(*steps)
+    return df.withColumn("__kept", F.expr(f"array_distinct({whole})")).drop(*steps)
 
 
 def _prints(df: DataFrame, short: list[int]) -> DataFrame:
-    """From ``__words`` to ``__prints``: selected grams with what must agree around them.
+    """From ``__words`` to ``__prints``: selected grams with the word hashes around them, from ``lo`` on.
 
-    ``kind`` is SPAN for winnowed grams; ``around`` holds the hashes of the spans
-    through the gram, the first of them beginning at ``lo``.  An item of fewer
-    words is found by its first two (``kind`` 2, or 1 if it is a single word), and
-    ``around`` holds the words from there on.
+    ``kind`` is SPAN for winnowed grams.  An item of fewer words is found by its
+    first two (``kind`` 2, or 1 if it is a single word), and ``around`` holds the
+    words from there on.
     """
     df = _winnowed(df.withColumn("__h", F.expr("transform(__words, w -> xxhash64(w))")))
     pos = "cast(v & 2147483647L as int)"
     lists = [
-        # bound, so that the optimizer does not move its making into the inner function
-        bind("__span", "span", f"""transform(__kept, v -> named_struct('kind', {SPAN}, 'fp', shiftright(v, 31), 'pos', {pos},
+        f"""transform(__kept, v -> named_struct('kind', {SPAN}, 'fp', shiftright(v, 31), 'pos', {pos},
               'lo', greatest({pos} - {WINDOW - 1}, 0),
-              'around', slice(span, greatest({pos} - {WINDOW - 1}, 0) + 1, {pos} + 1 - greatest({pos} - {WINDOW - 1}, 0))))""")
+              'around', slice(__h, greatest({pos} - {WINDOW - 1}, 0) + 1, {pos} + {SPAN} - greatest({pos} - {WINDOW - 1}, 0))))"""
     ] + [
         f"""transform(if(size(__h) >= {m}, sequence(0, size(__h) - {m}), array()),
               i -> named_struct('kind', {m}, 'fp', xxhash64(slice(__h, i + 1, {m})), 'pos', i, 'lo', i,
                                 'around', slice(__h, i + 1, {min(max(short), SPAN - 1)})))"""
         for m in sorted({min(m, 2) for m in short})
     ]
-    return df.withColumn("__prints", F.expr(f"concat({', '.join(lists)})")).drop("__h", "__kept", "__span")
+    return df.withColumn("__prints", F.expr(f"concat({', '.join(lists)})")).drop("__h", "__kept")
 
 
 def contamination(
@@ -115,7 +112,7 @@ def contamination(
     A word is hit if it lies in 13 words in a row that occur in an item (or in
     the whole of a shorter item).  Selected grams of documents are joined with
     those of the items; each match is extended to all spans through it by
-    comparing what is around them.  Documents are read once and not shuffled:
+    comparing the words around it.  Documents are read once and not shuffled:
     per document only matches and count rows leave the scan.  The item side
     is a written table, so Spark broadcasts it if its size allows and joins by
     a shuffle beyond that.
@@ -150,7 +147,9 @@ def _judged(docs: DataFrame, benchmark: DataFrame, id: str, text: str, item: str
     joined = rows.join(marks, (F.col("kind") == F.col("ikind")) & (F.col("fp") == F.col("ifp")), "left")
     # starts of the spans through the gram that agree, relative to it: always neighbours
     agree = f"""case when ikind = {SPAN} then filter(
-        sequence(greatest(lo - pos, ilo - ipos), 0), o -> get(around, pos + o - lo) = get(iaround, ipos + o - ilo))
+        sequence(greatest(lo - pos, ilo - ipos), 0),
+        o -> size(slice(around, pos + o - lo + 1, {SPAN})) = {SPAN}
+             and slice(around, pos + o - lo + 1, {SPAN}) = slice(iaround, ipos + o - ilo + 1, {SPAN}))
       when ikind is not null and slice(around, 1, size) = iaround then array(0) end"""
     hits = joined.where("kind = 0 or ikind is not null").select("*", F.expr(agree).alias("__o")).where(
         "kind = 0 or size(__o) > 0").selectExpr(
