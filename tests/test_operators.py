@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspark import RulePack, mask
 from veilspark.functions.text import alpha_id, placeholders_in
-from veilspark.operators import audit, compliance, keywords, nested, ordered, quality, vault
+from veilspark.operators import audit, compliance, keywords, nested, ordered, quality, requests, stats, vault
 from veilspark.sources import rules, store
 
 
@@ -134,6 +134,31 @@ def test_chain_is_linear(spark):
     assert best[4_000] <= 1.2 * best[250] + 0.3, best
 
 
+def test_exact_quantiles(spark):
+    """More distinct latencies than the sketch can tell apart, ties, nulls and tiny endpoints."""
+    rng = random.Random(4)
+    rows = [("many", rng.random() ** 3) for _ in range(40_000)] + [("ties", float(i % 7)) for i in range(1_000)]
+    rows += [("one", 5.0), ("two", 1.0), ("two", 2.0), (None, 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "endpoint string, latency double")
+    got = {r.endpoint: (r.n, r.p50, r.p95, r.p99) for r in requests.latency_histogram(df).collect()}
+    for endpoint in {e for e, _ in rows}:
+        values = sorted(v for e, v in rows if e == endpoint and v is not None)
+        n = len(values)
+        want = tuple(values[max(1, n - int(n - q / 100 * n)) - 1] if n else None for q in (50, 95, 99))
+        assert got[endpoint] == (sum(e == endpoint for e, _ in rows), *want)
+
+
+def test_counters_in_one_exchange(spark):
+    rows = [("d", "t", {"org": 1, "organization": 2, "phone": 0, "odd": 5}), ("d", None, {"odd": 9}), ("d", "t", {"phone": 3, "email": -1}),
+            ("e", None, {"ip": 2}), ("d", "t", {}), ("d", "t", None)]
+    df_schema = "date string, team_id string, stats map<string,bigint>"
+    df = stats.counters(spark.createDataFrame(rows, df_schema))
+    assert sorted(map(tuple, df.collect())) == [
+        ("d", "t", "org", 3), ("d", "t", "phone", 3), ("d", "t", "total", 10), ("e", "default", "ip", 2), ("e", "default", "total", 2)]
+    plan = stats.counters(spark.createDataFrame(rows, df_schema))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1, plan
+
+
 def test_crypto(spark):
     df = spark.createDataFrame([("abc",), ("",), ("中文",)], "real_value string")
     enc = vault.encrypt_values(df, "k" * 32)

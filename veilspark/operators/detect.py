@@ -8,6 +8,7 @@ text.  The whole plan is a chain of projections: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from veilspark.functions import matchers as M
 from veilspark.functions.fence import fence
 from veilspark.functions.rulepack import RulePack
 from veilspark.functions.spans import (
-    NO_SPANS, blank, by_rank, count_by_key, first_occurrences, keep_values, leftmost_longest,
+    NO_SPANS, bind, blank, by_rank, count_by_key, first_occurrences, keep_values, leftmost_longest,
     marked_pieces, original_values, regex_spans, scan_text,
 )
 from veilspark.functions.text import lit, quote_regex
@@ -25,6 +26,37 @@ from veilspark.functions.text import lit, quote_regex
 _SCAN = "__scan"
 
 
+Steps = list[dict[str, str]]
+
+
+def applied(df: DataFrame, steps: Steps) -> DataFrame:
+    """Add the columns of each step; a step sees those of the steps before."""
+    for step in steps:
+        df = df.withColumns({name: F.expr(sql) for name, sql in step.items()})
+    return df
+
+
+def closed(steps: Steps, result: str) -> str:
+    """The steps as one expression with ``result`` inside.
+
+    The values of a step are bound together, as a struct: the analyzer takes a
+    round for every level of binding, so there must not be one for every value.
+    """
+    now: dict[str, str] = {}
+
+    def renamed(sql: str) -> str:
+        return re.sub(r"\b__\w+", lambda m: now.get(m[0], m[0]), sql)
+
+    values = []
+    for i, step in enumerate(steps):
+        values.append("named_struct(" + ", ".join(f"'{name}', {renamed(sql)}" for name, sql in step.items()) + ")")
+        now |= {name: f"__step{i}.{name}" for name in step}
+    result = renamed(result)
+    for i, value in reversed(list(enumerate(values))):
+        result = bind(value, f"__step{i}", result)
+    return result
+
+
 def detect(
     df: DataFrame,
     text: str = "text",
@@ -37,37 +69,38 @@ def detect(
     ``row_keywords`` names an optional array<string> column with extra keywords
     that hold for that row only.
     """
-    work = df.withColumn(_SCAN, F.expr(scan_text(text)))
+    steps = detect_steps(text, pack, out, row_keywords)
+    made = {name for step in steps for name in step} - {out}
+    return fence(applied(df, steps).drop(*made), out)
+
+
+def detect_steps(text: str, pack: RulePack = RulePack(), out: str = "spans", row_keywords: str | None = None) -> Steps:
+    """The columns of ``detect``, as SQL by name; the last one is the result."""
+    steps: Steps = [{_SCAN: scan_text(text)}]
     found: list[str] = []
     if row_keywords is not None:
-        work = work.withColumn("__words", F.expr(_row_pattern(row_keywords, pack)))
+        steps.append({"__words": _row_pattern(row_keywords, pack)})
     user = M.user_matchers(pack, "__words" if row_keywords is not None else None)
     if user:
-        work = _blank_found(_stage(work, user, "__user", by_rank), "__user")
+        steps += [*_stage(user, "__user", by_rank), _blank_found("__user")]
         found.append("__user")
     tested: list[str] = []
     if pack.entity_stage:
         entity = M.entity_matchers(pack)
         off = sorted({m.key for m in entity if not m.enabled})
-        work = _stage(work, entity, "__entity", leftmost_longest, off)
-        work = _blank_found(work, "__entity")
-        work = work.withColumn(
-            "__beside",
-            F.expr(f"size(__entity) > 0 and rlike({_SCAN}, {lit(M.BESIDE_BLANK)})"),
-        )
+        steps += [*_stage(entity, "__entity", leftmost_longest, off), _blank_found("__entity")]
+        steps.append({"__beside": f"size(__entity) > 0 and rlike({_SCAN}, {lit(M.BESIDE_BLANK)})"})
         found.append("__entity")
         tested = M.guards_of(entity)
     rules = M.catalog_matchers(pack)
     if rules:
-        work = _stage(work, rules, "__catalog", by_rank, tested=tested)
+        steps += _stage(rules, "__catalog", by_rank, tested=tested)
         found.append("__catalog")
 
-    work = work.withColumn("__all", F.expr(f"concat({', '.join(found)})" if found else NO_SPANS))
+    steps.append({"__all": f"concat({', '.join(found)})" if found else NO_SPANS})
     # a later span may enclose an earlier one (a keyword inside a URL): the outer one stays
     chosen = original_values(leftmost_longest("__all"), text)
-    work = work.withColumn(out, F.expr(f"if(size(__all) = 0, {NO_SPANS}, {chosen})"))
-    guards = {f"__guard_{g}" for g in [*tested, *M.guards_of(rules)]}
-    return fence(work.drop(_SCAN, "__words", "__all", "__beside", *found, *guards), out)
+    return [*steps, {out: f"if(size(__all) = 0, {NO_SPANS}, {chosen})"}]
 
 
 def _row_pattern(words: str, pack: RulePack) -> str:
@@ -82,9 +115,8 @@ def _row_pattern(words: str, pack: RulePack) -> str:
 
 
 def _stage(
-    df: DataFrame, matchers: list[M.Matcher], out: str, choose: Callable[[str], str],
-    off: list[str] = (), tested: list[str] = (),
-) -> DataFrame:
+    matchers: list[M.Matcher], out: str, choose: Callable[[str], str], off: list[str] = (), tested: list[str] = (),
+) -> Steps:
     """Candidate spans of one stage, reduced to a disjoint choice.
 
     ``tested`` lists guards already known for the text before the entity stage
@@ -130,20 +162,18 @@ def _stage(
     if off:
         chosen = f"filter({chosen}, s -> s.key not in ({', '.join(map(lit, off))}))"
     bases = sorted({b for g in guards if g not in tested for b in M.NEEDS.get(g, [])})
-    return (
-        df.withColumns({f"__base_{b}": F.expr(M.BASES[b](_SCAN)) for b in bases})
-        .withColumns({f"__guard_{g}": F.expr(guard(g)) for g in guards})
-        .withColumns({hit: F.expr(sql) for hit, sql in found.items()})
-        .withColumn("__cand", F.expr(f"case when {some} then concat({', '.join(parts)}) end"))
-        .withColumn(out, F.expr(f"if(size(__cand) > 0, {chosen}, {NO_SPANS})"))
-        .drop("__cand", *hits, *[f"__base_{b}" for b in bases])
-    )
-
-
-def _blank_found(df: DataFrame, found: str) -> DataFrame:
-    return df.withColumn(
-        _SCAN, F.expr(f"if(size({found}) = 0, {_SCAN}, {blank(_SCAN, found)})")
-    )
+    steps = [
+        {f"__base_{b}": M.BASES[b](_SCAN) for b in bases},
+        {f"__guard_{g}": guard(g) for g in guards},
+        found,
+        {"__cand": f"case when {some} then concat({', '.join(parts)}) end"},
+        {out: f"if(size(__cand) > 0, {chosen}, {NO_SPANS})"},
+    ]
+    return [step for step in steps if step]
+
+
+def _blank_found(found: str) -> dict[str, str]:
+    return {_SCAN: f"if(size({found}) = 0, {_SCAN}, {blank(_SCAN, found)})"}
 
 
 def span_rows(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veilspark.functions.fence import fence
 from veilspark.functions.rulepack import RulePack
 from veilspark.functions.spans import count_by_key, splice
 from veilspark.functions.text import SEQ_STRIDE, placeholder
-from veilspark.operators.detect import detect
+from veilspark.operators.detect import Steps, applied, closed, detect, detect_steps
 
 MAPPINGS = (
     "array<struct<placeholder:string,value:string,entity_type:string,seq:bigint,"
@@ -32,6 +31,13 @@ def mask(
     number from zero that is unique per text of the session: each text has its
     own range of numbers, so no text has to wait for, or shuffle with, another.
     """
+    detected = detect(df, text, pack, "__spans", row_keywords)
+    done = applied(detected, label_steps(text, masked, message_no))
+    return fence(done.drop("__spans", "__base", "__numbered", "__labelled"), masked, "mappings", "stats")
+
+
+def label_steps(text: str, masked: str = "masked", message_no: str | None = None) -> Steps:
+    """The columns that ``mask`` makes of ``__spans``, as SQL by name."""
     base = "0L" if message_no is None else f"cast({message_no} as bigint) * {SEQ_STRIDE}L"
     ranked = """array_sort(transform(__spans, s -> named_struct(
         'rank', s.rank, 'start', s.start, 'neglen', s.neglen, 'key', s.key, 'value', s.value)))"""
@@ -45,22 +51,32 @@ def mask(
         'placeholder', s.placeholder, 'value', s.value, 'entity_type', s.key, 'seq', s.seq,
         'start', s.start, 'end', s.start - s.neglen))"""
     none = "size(__spans) = 0"
-    done = (
-        detect(df, text, pack, "__spans", row_keywords)
-        .withColumn("__base", F.expr(base))
-        .withColumn("__numbered", F.expr(f"case when not ({none}) then {numbered} end"))
-        .withColumn("__labelled", F.expr(labelled))
-        .withColumns(
-            {
-                masked: F.expr(
-                    f"if({none}, {text}, {splice(text, '__labelled', 'x.placeholder')})"
-                ),
-                "mappings": F.expr(f"if({none}, cast(array() as {MAPPINGS}), {entries})"),
-                "stats": F.expr(
-                    f"if({none}, cast(map() as map<string,bigint>), {count_by_key('__spans')})"
-                ),
-            }
-        )
-        .drop("__spans", "__base", "__numbered", "__labelled")
-    )
-    return fence(done, masked, "mappings", "stats")
+    return [
+        {"__base": base},
+        {"__numbered": f"case when not ({none}) then {numbered} end"},
+        {"__labelled": labelled},
+        {
+            masked: f"if({none}, {text}, {splice(text, '__labelled', 'x.placeholder')})",
+            "mappings": f"if({none}, cast(array() as {MAPPINGS}), {entries})",
+            "stats": f"if({none}, cast(map() as map<string,bigint>), {count_by_key('__spans')})",
+        },
+    ]
+
+
+def mask_expression(text: str, pack: RulePack = RulePack()) -> str:
+    """``mask`` as one SQL expression: struct<masked, mappings, stats>.
+
+    Every step is bound to a name inside the expression, so it fits a SQL
+    function.  ``mask`` itself, with a projection per step, is faster.
+    """
+    labels = label_steps(text)
+    result = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in labels[-1].items()) + ")"
+    steps = detect_steps(text, pack, "__spans") + labels[:-1]
+    return f"if({text} is null, cast(null as struct<masked:string,mappings:{MAPPINGS},stats:map<string,bigint>>), {closed(steps, result)})"
+
+
+def detect_expression(text: str, pack: RulePack = RulePack()) -> str:
+    """``detect`` as one SQL expression: array<struct<entity_type, start, end, value>>."""
+    spans = "transform(__spans, s -> named_struct('entity_type', s.key, 'start', s.start, 'end', s.start - s.neglen, 'value', s.value))"
+    kind = "array<struct<entity_type:string,start:int,end:int,value:string>>"
+    return f"if({text} is null, cast(null as {kind}), {closed(detect_steps(text, pack, '__spans'), spans)})"

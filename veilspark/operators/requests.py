@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
@@ -12,18 +12,42 @@ def request_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("endpoint", "method", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+QUANTILES = (50, 95, 99)
+#: How closely a first pass brackets a quantile: ranks are off by one in so many at most.
+BRACKET = 10_000
+
+
 def latency_histogram(log: DataFrame) -> DataFrame:
-    """Cumulative buckets, sum, count and quantiles per endpoint, in one pass."""
+    """Cumulative buckets, sum, count and exact quantiles (p50, p95, p99) per endpoint.
+
+    A quantile is the smallest latency that this share of the requests does not
+    exceed.  A sketch first brackets it between two latencies; then those below are
+    counted, and only the few inside the bracket are put in order.
+    """
     buckets = [
         F.sum((F.col("latency") <= b).cast("long")).alias(bucket_name(b))
         for b in C.LATENCY_BUCKETS
     ]
-    return log.groupBy("endpoint").agg(
+    around = [min(1.0, max(0.0, q / 100 + d / BRACKET)) for q in QUANTILES for d in (-3, 3)]
+    totals = log.groupBy("endpoint").agg(
         *buckets,
         F.sum("latency").alias("latency_sum"),
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("latency", [0.5, 0.95, 0.99], 10000).alias("quantiles"),
+        F.count("latency").alias("__n"),
+        F.percentile_approx("latency", around, BRACKET).alias("__around"),
     )
+    ranges = "array(" + ", ".join(
+        f"named_struct('q', {q}, 'low', __around[{2 * i}], 'high', __around[{2 * i + 1}], "
+        f"'rank', greatest(1L, __n - cast(floor(__n - {q / 100}D * __n) as bigint)))" for i, q in enumerate(QUANTILES)) + ")"
+    bounds = totals.selectExpr("endpoint as __of", f"inline({ranges})")
+    counted = log.filter("latency is not null").groupBy("endpoint", "latency").agg(F.count(F.lit(1)).alias("n"))
+    near = counted.join(bounds, F.col("endpoint").eqNullSafe(F.col("__of"))).groupBy(
+        "__of", "q", "rank", F.expr("if(latency between low and high, latency, null) as latency"),
+        F.expr("latency < low as below")).agg(F.sum("n").alias("n")).filter("below or latency is not null")
+    upto = Window.partitionBy("__of", "q").orderBy(F.desc("below"), "latency").rowsBetween(Window.unboundedPreceding, 0)
+    found = near.withColumn("upto", F.sum("n").over(upto)).filter("not below and upto >= rank").groupBy("__of").agg(
+        *[F.min(F.expr(f"if(q = {q}, latency, null)")).alias(f"p{q}") for q in QUANTILES])
+    return totals.drop("__n", "__around").join(found, F.col("endpoint").eqNullSafe(F.col("__of")), "left").drop("__of")
 
 
 def bucket_name(bound: float) -> str:

@@ -6,42 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.text import lit
 
 KEYS = ["date", "team_id"]
 
 
-def counters(updates: DataFrame) -> DataFrame:
-    """(date, team, type, n) from increments (update_id, date, team, entity_type, n).
+def counters(updates: DataFrame, stats: str = "stats") -> DataFrame:
+    """(date, team, type, n) from updates (date, team, map of type and increment).
 
     ``organization`` counts as ``org``.  Types without a counter column only add
     to the total, and an update without any positive known type is ignored.
-    The total is the type ``total``.
+    The total is the type ``total``.  An update is judged by itself, so sums are
+    combined before the only shuffle.
     """
-    named = updates.select(
-        "update_id", "date",
-        F.coalesce("team_id", F.lit("default")).alias("team_id"),
-        F.when(F.col("entity_type") == "organization", "org")
-        .otherwise(F.col("entity_type")).alias("entity_type"),
-        F.col("n").cast("long").alias("n"),
-    )
-    # both groupings use this one distribution: an update has at most a row per type
-    merged = (
-        named.repartition("update_id", *KEYS)
-        .groupBy("update_id", *KEYS, "entity_type").agg(F.sum("n").alias("n"))
-    )
-    known = F.col("entity_type").isin(C.STATS_COLUMNS) & (F.col("n") > 0)
-    per_update = merged.groupBy("update_id", *KEYS).agg(
-        F.sum("n").alias("total"),
-        F.map_from_entries(
-            F.collect_list(F.when(known, F.struct("entity_type", "n")))
-        ).alias("types"),
-    ).filter(F.size("types") > 0)
-    rows = per_update.select(
-        *KEYS,
-        F.explode(
-            F.map_concat("types", F.create_map(F.lit("total"), F.col("total")))
-        ).alias("entity_type", "n"),
-    )
+    known = ", ".join(lit(c) for c in C.STATS_COLUMNS)
+    org = f"""coalesce(try_element_at({stats}, 'org'), 0L) + coalesce(try_element_at({stats}, 'organization'), 0L)"""
+    types = f"""filter(concat(
+            filter(transform(map_entries({stats}), e -> struct(e.key as entity_type, cast(e.value as bigint) as n)),
+                   e -> e.entity_type in ({known}) and e.entity_type <> 'org'),
+            array(struct('org' as entity_type, cast({org} as bigint) as n))), e -> e.n > 0)"""
+    total = f"aggregate(map_values({stats}), 0L, (a, n) -> a + coalesce(cast(n as bigint), 0L))"
+    rows = updates.select(
+        "date", F.coalesce("team_id", F.lit("default")).alias("team_id"), F.expr(types).alias("__types"), F.expr(total).alias("__total"),
+    ).select(*KEYS, F.expr(
+        "inline(if(size(__types) > 0, concat(__types, array(struct('total' as entity_type, __total as n))), __types))"))
     return rows.groupBy(*KEYS, "entity_type").agg(F.sum("n").alias("n"))
 
 

@@ -78,6 +78,15 @@ select event_id as update_id, cast(cast(ts as date) as string) as date,
 from {events}
 """
 
+# the same updates as one row each, for Spark alone
+STAT_MAPS = """
+select cast(cast(ts as date) as string) as date, concat('team_', cast(user_id % 5 as string)) as team_id,
+       map(case event_type when 'error' then 'organization' when 'signup' then 'phone'
+           when 'click' then 'email' when 'view' then 'ip' else 'mystery' end, 1 + event_id % 3,
+           'url', event_id % 2) as stats
+from {events}
+"""
+
 # (key, expression of the value, text between this value and the next) -- one of each entity
 PII_PARTS = [
     ("phone", "cast(13000000000 + o_orderkey % 1000000000 as string)", "手机", " "),
@@ -133,7 +142,7 @@ from {orders}
 
 ALL = {
     "audit": AUDIT, "vault": VAULT, "api_keys": API_KEYS, "requests": REQUESTS,
-    "outcomes": OUTCOMES, "stat_updates": STAT_UPDATES, "pii_text": PII_TEXT,
+    "outcomes": OUTCOMES, "stat_updates": STAT_UPDATES, "stat_maps": STAT_MAPS, "pii_text": PII_TEXT,
     "pii_text_on": PII_TEXT_ON, "names_text": NAMES_TEXT,
 }
 _INPUT = re.compile(r"\{(\w+)\}")

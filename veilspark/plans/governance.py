@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
+from veilspark.functions.rulepack import RulePack
 from veilspark.operators import audit as A
 from veilspark.operators import ordered, requests, sessions, stats, vault
+from veilspark.operators.mask import mask
 from veilspark.plans import derived as D
 from veilspark.plans.registry import query
 from veilspark.sources import rules as R
@@ -336,7 +338,7 @@ _stats = (
 
 
 def _long(spark, sf_dir):
-    return stats.counters(_d(spark, sf_dir, "stat_updates"))
+    return stats.counters(_d(spark, sf_dir, "stat_maps"))
 
 
 def _wide_sql(keys: str, source: str, group: str) -> str:
@@ -531,8 +533,7 @@ def request_counts(spark, sf_dir):
 )
 def latency_histogram(spark, sf_dir):
     h = requests.latency_histogram(_d(spark, sf_dir, "requests"))
-    named = {f"p{n}": F.expr(f"quantiles[{i}]") for i, n in enumerate((50, 95, 99))}
-    return h.withColumn("latency_sum", F.round("latency_sum", 4)).withColumns(named).drop("quantiles")
+    return h.withColumn("latency_sum", F.round("latency_sum", 4))
 
 
 @query("error_counts", _tables("requests") + " select error_type, count(*) as n from requests "
@@ -669,18 +670,51 @@ def keywords_merge(spark, sf_dir):
     return R.add_keywords(stored, incoming)
 
 
-@query("rules_export", "select len(list(distinct c_mktsegment)) as n_keywords, "
-       "(select count(*) from supplier) as n_rules, "
-       "(select 'rule_' || min(s_suppkey) from supplier) as first_rule from customer")
+@query("rules_export", "select 'keyword' as kind, 0 as pos, c_mktsegment as name, cast(null as varchar) as pattern, "
+       "cast(null as varchar) as entity_type from customer group by c_mktsegment union all select 'rule', s_suppkey, "
+       "'rule_' || s_suppkey, '[a-z]{' || (1 + s_suppkey % 7) || '}', 'phone' from supplier")
 def rules_export(spark, sf_dir):
-    """Keyword and rule tables as one bundle."""
+    """Keyword and rule tables written as a bundle and read back, rule by rule."""
     words = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("keyword")).distinct()
     rules = table(spark, sf_dir, "supplier").selectExpr(
-        "cast(s_suppkey as bigint) as id", "concat('rule_', s_suppkey) as name", "'[a-z]' as pattern",
-        "'phone' as entity_type")
-    return R.export_bundle(words, rules).selectExpr(
-        "cast(size(keywords) as bigint) as n_keywords", "cast(size(regex_rules) as bigint) as n_rules",
-        "regex_rules[0].name as first_rule")
+        "cast(s_suppkey as bigint) as id", "concat('rule_', s_suppkey) as name",
+        "concat('[a-z]{', 1 + s_suppkey % 7, '}') as pattern", "'phone' as entity_type")
+    path = shared_folder(spark, "bundle")
+    R.write_bundle(words, rules, path)
+    words, rules = R.read_bundle(spark, path)
+    return words.selectExpr("'keyword' as kind", "0L as pos", "keyword as name", "string(null) as pattern",
+                            "string(null) as entity_type").unionByName(
+        rules.selectExpr("'rule' as kind", "pos", "name", "pattern", "entity_type"))
+
+
+_segment = "concat('Segment ', c_mktsegment, ' of ', c_name)"
+
+
+@query("catalog_override", "select c_custkey, concat('Segment [PII_SEG_', c_mktsegment, '_A] of ', c_name) as masked from customer")
+def catalog_override(spark, sf_dir):
+    """Mask with a catalog read from a file instead of the built-in one."""
+    customers = table(spark, sf_dir, "customer")
+    path = shared_folder(spark, "catalog")
+    entity = "named_struct('key', concat('seg_', lower(c_mktsegment)), 'detector', 'regex', 'enabled', true, 'pattern', c_mktsegment)"
+    customers.select("c_mktsegment").distinct().groupBy().agg(
+        F.collect_list(F.expr(entity)).alias("entities")).write.json(path)
+    pack = R.load_pack(spark, path)
+    return mask(customers.selectExpr("c_custkey", f"{_segment} as text"), pack=pack).select("c_custkey", "masked")
+
+
+@query("rule_tables", "select c_custkey, concat(case c_mktsegment when 'BUILDING' then 'BUILDING' else '[PII_CUSTOM_A]' end, "
+       "' Customer', case when c_custkey % 10 in (0, 2, 4) then case c_mktsegment when 'BUILDING' then '[PII_SSN_A]' "
+       "else '[PII_SSN_B]' end else substr(c_name, 9) end) as masked from customer")
+def rule_tables(spark, sf_dir):
+    """Mask with the stored keyword and rule tables; bad rules, and those switched off, are left out."""
+    customers = table(spark, sf_dir, "customer")
+    stored = customers.select(F.col("c_mktsegment").alias("keyword")).distinct()
+    words = R.delete_keywords(stored, stored.filter("keyword = 'BUILDING'"))
+    rules = table(spark, sf_dir, "region").selectExpr(
+        "r_regionkey as id", "r_name as name", "if(r_regionkey = 3, '(', concat('#[0-9]*', r_regionkey, '$')) as pattern",
+        "'ssn' as entity_type", "r_regionkey <> 1 as enabled")
+    pack = RulePack().with_tables(words, rules)
+    return mask(customers.selectExpr("c_custkey", "concat(c_mktsegment, ' ', c_name) as text"), pack=pack).select("c_custkey", "masked")
 
 
 @query(
@@ -691,7 +725,6 @@ def rules_export(spark, sf_dir):
 )
 def mask_audit(spark, sf_dir):
     """Audit detail of masking: counters and fingerprints, no plain value."""
-    from veilspark.operators.mask import mask
     from veilspark.plans.masking import _chat_text
 
     chat = table(spark, sf_dir, "conversations").withColumn("text", F.expr(_chat_text)).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack
+from veilspark.functions.sql import register
 from veilspark.functions.text import LETTERS, alpha_id, fingerprint, lit, luhn_ok, session_key
 from veilspark.operators import compliance, nested, quality, stats, vault
 from veilspark.operators.detect import count_spans, detect
@@ -13,7 +14,7 @@ from veilspark.operators.mask import mask
 from veilspark.operators.restore import restore, restore_from_vault
 from veilspark.plans import derived as D
 from veilspark.plans.detection import DIGITS, PATTERN, VALUES, luhn, where
-from veilspark.plans.registry import query
+from veilspark.plans.registry import CHECKS, query
 from veilspark.sources import store
 from veilspark.sources.tables import shared_folder, spread, table
 
@@ -59,6 +60,33 @@ def mask_documents(spark, sf_dir):
     )
 
 
+@query("sql_mask_documents", CHECKS["mask_documents"])
+def sql_mask_documents(spark, sf_dir):
+    """The flagship through SQL functions."""
+    register(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ", ".join(
+        f"coalesce(try_element_at(m.stats, '{k}'), 0L) as n_{k}" for k in ("email", "bankcard", "ip", "postcode"))
+    return spark.sql(
+        f"select doc_id, {counts}, cast(size(m.mappings) as bigint) as n_total, {shape('m.masked')} as masked_shape "
+        "from (select doc_id, pii_mask_all(text) as m from {docs})", docs=docs)
+
+
+@query(
+    "sql_detect_values",
+    f"with v as (select doc_id, {VALUES['email']} as found from documents) "
+    "select doc_id, 'email' as entity_type, value, count(*) as n from "
+    "(select doc_id, unnest(found) as value from v) group by 1, 2, 3",
+)
+def sql_detect_values(spark, sf_dir):
+    """Spans as a SQL function finds them: the addresses of the documents."""
+    register(spark)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spark.sql(
+        "select doc_id, s.entity_type, s.value, count(*) as n from (select doc_id, pii_detect(text) as found from {docs}) "
+        "lateral view explode(found) as s where s.entity_type = 'email' group by 1, 2, 3", docs=docs)
+
+
 _short = (
     "concat('Order ', cast(o_orderkey as string), ' of u', cast(o_custkey as string), "
     "'@example.com, tel ', cast(13000000000 + o_orderkey as string), ', id 110101', "
@@ -423,6 +451,23 @@ def restore_reply(spark, sf_dir):
     return nested.restore_reply(replies, "body", "m").select("reply_id", "restored")
 
 
+@query(
+    "restore_encrypted_vault",
+    D.with_tables("vault") + " select id as reply_id, concat('see ', real_value, "
+    "' and [PII_IP_ZZZ], again ', real_value) as restored from vault",
+)
+def restore_encrypted_vault(spark, sf_dir):
+    """Restore through a function that looks the needed pairs up among encrypted rows and decrypts only those."""
+    v = vault.encrypt_values(D.derived(spark, sf_dir, "vault"), "correct horse")
+
+    def lookup(needed):
+        found = v.join(needed, ["session_id", "placeholder"]).groupBy("session_id", "placeholder").agg(
+            F.min_by("real_value", "id").alias("real_value"))
+        return vault.decrypt_values(found, "correct horse")
+
+    return restore_from_vault(_replies(spark, sf_dir), lookup, ["reply_id"]).select("reply_id", "restored")
+
+
 # -- grades and cryptography ------------------------------------------------------------------
 @query(
     "compliance_by_session",

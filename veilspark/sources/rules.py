@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import CATALOG_SCHEMA, RulePack, compiles_sql
 from veilspark.functions.text import lit
+from veilspark.sources.tables import exists
 
 BUNDLE = "keywords array<string>, regex_rules array<struct<name:string,pattern:string,entity_type:string>>"
 
@@ -109,20 +110,33 @@ def toggle_rules(stored: DataFrame, switches: DataFrame) -> DataFrame:
     ).drop("__on")
 
 
+PART = "keyword string, pos long, rule struct<name:string,pattern:string,entity_type:string>"
+
+
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(keywords, rules) of a rule bundle file."""
-    raw = spark.read.schema(BUNDLE).json(path, multiLine=True)
-    words = raw.select(F.explode("keywords").alias("keyword"))
-    rules = raw.select(F.posexplode("regex_rules").alias("pos", "r")).select("pos", "r.*")
-    return words, rules
-
-
-def export_bundle(keywords: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row with all keywords and rules in order; rule tables are small by nature."""
-    k = keywords.agg(F.sort_array(F.collect_list("keyword")).alias("keywords"))
-    r = rules.agg(
-        F.expr("transform(sort_array(collect_list(struct(id, name, pattern, entity_type))), "
-               "x -> named_struct('name', x.name, 'pattern', x.pattern, "
-               "'entity_type', x.entity_type))").alias("regex_rules")
-    )
-    return k.withColumn("one", F.lit(1)).join(r.withColumn("one", F.lit(1)), "one").drop("one")
+    """(keywords, rules) of a rule bundle: one file, or a folder that ``write_bundle`` has made."""
+    if not exists(spark, f"{path}/manifest"):
+        raw = spark.read.schema(BUNDLE).json(path, multiLine=True)
+        words = raw.select(F.explode("keywords").alias("keyword"))
+        rules = raw.select(F.posexplode("regex_rules").alias("pos", "r")).select("pos", "r.*")
+        return words, rules
+    parts = spark.read.schema(PART).json(f"{path}/parts")
+    said = spark.read.schema("n_keywords long, n_rules long").json(f"{path}/manifest").first()
+    have = parts.agg(F.count("keyword"), F.count("rule")).first()
+    if tuple(said) != tuple(have):
+        raise ValueError(f"the bundle should have {tuple(said)} keywords and rules, not {tuple(have)}")
+    words = parts.filter("keyword is not null").select("keyword")
+    return words, parts.filter("rule is not null").select("pos", "rule.*")
+
+
+def write_bundle(keywords: DataFrame, rules: DataFrame, path: str) -> None:
+    """Write all keywords and rules, one per line, and last a manifest with their numbers.
+
+    A rule keeps its place as ``pos``, its id; tables of any size are written in parallel.
+    """
+    words = keywords.filter("keyword is not null").selectExpr("keyword")
+    numbered = rules.selectExpr("cast(id as bigint) as pos", "struct(name, pattern, entity_type) as rule")
+    spark = keywords.sparkSession
+    words.unionByName(numbered, allowMissingColumns=True).write.json(f"{path}/parts")
+    parts = spark.read.schema(PART).json(f"{path}/parts")
+    parts.agg(F.count("keyword").alias("n_keywords"), F.count("rule").alias("n_rules")).write.json(f"{path}/manifest")

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that the library has written."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

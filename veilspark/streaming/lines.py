@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.text import PLACEHOLDER, lit
-from veilspark.operators.restore import needed_values, restore_from_vault
+from veilspark.operators.restore import Lookup, looked_up, restore_from_vault
 
 _EVENT = """case
     when line = 'data: [DONE]' then 'done'
@@ -42,8 +42,8 @@ def framed(event: str, data: str, raw: str) -> str:
     )
 
 
-def restore_lines(parsed: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
-    """Restore the message lines of a batch of parsed lines."""
+def restore_lines(parsed: DataFrame, vault: DataFrame | Lookup, keys: list[str]) -> DataFrame:
+    """Restore the message lines of a batch of parsed lines; ``vault`` as in ``restore_from_vault``."""
     back = restore_from_vault(parsed, vault, [*keys, "line_no"], "data", out="restored")
     return back.withColumn(
         "out", F.expr(framed("event", "if(event = 'message', restored, data)", "raw"))
@@ -171,13 +171,14 @@ def cut_at_placeholders(messages: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "part", "x.before", "x.placeholder")
 
 
-def restore_messages(messages: DataFrame, vault: DataFrame, keys: list[str]) -> DataFrame:
+def restore_messages(messages: DataFrame, vault: DataFrame | Lookup, keys: list[str]) -> DataFrame:
     """Restore a batch of messages against the stored mappings, part by part.
 
-    Only the mappings that the batch asks for are read together.
+    Only the mappings that the batch asks for are read together.  ``vault`` may
+    be a function, as in ``restore_from_vault``.
     """
     on = ["session_id", "placeholder"]
     parts = cut_at_placeholders(messages, keys)
-    return parts.join(needed_values(vault, parts, on), on, "left").withColumn(
+    return parts.join(looked_up(vault, parts, on), on, "left").withColumn(
         "text", F.expr("concat(before, coalesce(real_value, placeholder, ''))")
     ).select(*keys, "part", "text")
