@@ -284,6 +284,47 @@ def test_store(spark):
     assert store.load(spark, path).count() == left == 18
 
 
+def test_store_changes_in_one_step(spark, monkeypatch):
+    """A reader in the middle of a change, a run that dies before its list counts, and what is removed later."""
+    path = tempfile.mkdtemp() + "/vault"
+    rows = spark.range(60).selectExpr(
+        "id", "concat('s', id % 6) as session_id", "'p' as placeholder", "cast(id as string) as real_value", "'x' as data_type",
+        "concat('t', id % 2) as team_id",
+        "if(id = 59, null, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 5 as int))) as created_at")
+    store.save_mappings(rows.filter("id < 30"), path)
+    store.save_mappings(rows.filter("id >= 30"), path)
+    before = sorted(r.id for r in store.load(spark, path).collect())
+    assert before == list(range(60))
+    reader = store.load(spark, path)
+    gone = spark.createDataFrame([("s1",), ("s2",)], "session_id string")
+
+    def fails(*args):
+        raise RuntimeError("died")
+
+    for step in ("_publish", "_write"):
+        with monkeypatch.context() as m:
+            m.setattr(store, step, fails)
+            try:
+                store.delete_rows(spark, path, gone, ["session_id"])
+                raise AssertionError("must die")
+            except RuntimeError:
+                pass
+        assert sorted(r.id for r in store.load(spark, path).collect()) == before
+    # a list that is not complete does not count
+    os.makedirs(f"{path}/lists/99")
+    assert sorted(r.id for r in store.load(spark, path).collect()) == before
+    os.rmdir(f"{path}/lists/99")
+    assert store.delete_rows(spark, path, gone, ["session_id"]) == 20
+    assert store.purge_before(spark, path, "2024-01-02 00:00:00") == sum(i % 6 not in (1, 2) and i % 5 == 0 for i in range(59))
+    left = sorted(r.id for r in store.load(spark, path).collect())
+    assert left == [i for i in range(60) if i % 6 not in (1, 2) and (i % 5 or i == 59)]
+    assert sorted(r.id for r in reader.collect()) == before  # began with the old list
+    assert store.remove_old(spark, path) > 0
+    assert sorted(r.id for r in store.load(spark, path).collect()) == left
+    assert sorted(r.id for r in spark.read.parquet(f"{path}/data").collect()) == left  # nothing else is kept
+    assert store.remove_old(spark, path) == 0
+
+
 def test_rule_tables_and_files(spark):
     folder = tempfile.mkdtemp()
     with open(os.path.join(folder, "c.json"), "w", encoding="utf-8") as f:

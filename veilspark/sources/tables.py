@@ -24,6 +24,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return [f.getPath().getName() for f in system.listStatus(target)] if system.exists(target) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that the library has written."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
