@@ -124,7 +124,7 @@ def test_windows_cover_every_byte():
              "filters": np.zeros((quality.WIDTH * quality.CHANNELS, quality.FILTERS), np.float32)}
     model["embedding"][ord("z"), 0] = 1
     model["filters"][:quality.CHANNELS * 2:quality.CHANNELS, 0] = 1
-    for at in range(0, 1100, 6):
+    for at in range(1099):
         text = np.full(1100, ord("a"), np.uint8)
         text[at:at + 2] = ord("z")
         view, echo, piece = quality.chunks(text, [(0, 0, len(text))])

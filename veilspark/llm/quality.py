@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from veilspark.llm.common import extended, fitted
 from veilspark.llm.octets import Rolling, pieces, text_buffers
 
-#: Training texts of each label at most, and the longest text used for training.
+#: Training texts of each label at most, and the characters of an excerpt used for training.
 SAMPLE, SAMPLE_CHARS = (1_200, 1_200), 12_000
-#: Bytes of a chunk; each chunk also sees the first bytes of the next, so that no window is lost.
-CHUNK, WIDTH, STRIDE = 512, 8, 2
+#: Bytes of a chunk and of a filter; each chunk also sees the first bytes of the next, and filters stand at every byte.
+CHUNK, WIDTH = 512, 8
 FILTERS, CHANNELS = 16, 8
 EPOCHS, BATCH, RATE = 12, 32, 0.005
 #: Small samples are gone through more often, to take so many steps.
@@ -62,7 +62,7 @@ def convolve(model: dict, view: np.ndarray, echo: np.ndarray) -> tuple[np.ndarra
     x[:, :, -1] = echo
     n = len(view)
     best, where = np.full((n, FILTERS), -np.inf, np.float32), np.zeros((n, FILTERS), np.int64)
-    for shift in range(0, WIDTH, STRIDE):
+    for shift in range(WIDTH):
         windows = x[:, shift:shift + CHUNK].reshape(n, CHUNK // WIDTH, WIDTH * CHANNELS)
         out = windows @ model["filters"]
         at = out.argmax(axis=1) if model.get("training") else None
