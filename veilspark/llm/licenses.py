@@ -16,7 +16,7 @@ from veilspark.llm.octets import LOWER, WORD, Rolling, joined, mixed, pieces, te
 GRAM = 2
 #: Diagonals at most so far apart belong to one span: words put in or left out.
 GAP = 2
-#: Share of a template's grams that a span must cover.
+#: Grams in order that a span must have, as a share of the grams of the template or of the span, whichever has more.
 COVER = 0.75
 
 # The phrases whose exact places are counted, with their labels.
@@ -38,6 +38,20 @@ TEMPLATES = [
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("all rights reserved", "all-rights-reserved"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties"
+     " of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the"
+     " software", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is"
+     " basis without warranties or conditions of any kind either express or implied", "apache"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"
+     " as published by the free software foundation", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty"
+     " of merchantability or fitness for a particular purpose", "gpl"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+     " derived from this software without specific prior written permission", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following"
+     " disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
 ]
 
 _BREAKS = ~WORD[LOWER]
@@ -59,8 +73,8 @@ def template_rows(phrases: list[tuple[str, str]], templates: list[tuple[str, str
     for number, (text, label) in enumerate(phrases + templates):
         octets = LOWER[np.frombuffer(text.encode() + b" ", np.uint8)]
         grams = _pairs(_words(octets, *word_spans(octets))).tolist()
-        if not 1 <= len(grams) <= 63:
-            raise ValueError("a template has 2 to 64 words")
+        if not grams:
+            raise ValueError("a template has 2 words at least")
         rows += [(g, number, i, len(grams), number < len(phrases), label) for i, g in enumerate(grams)]
     return rows
 
@@ -117,12 +131,14 @@ def scan(
 
     All gram hashes of all documents are joined with the template positions, a
     written table of a few hundred rows.  Matches vote for their diagonal,
-    document position minus template position, as bits.  A phrase is found where
-    one diagonal has all its grams; for a longer template diagonals at most
-    GAP apart merge, and a span counts if it covers COVER of the grams.  Scans are
-    not shuffled, only votes are.
-
-    ``score`` is the best cover of any template that counts, 0 if none does.
+    document position minus template position.  A phrase is found where one
+    diagonal has all its grams.  For a longer template the votes of diagonals at
+    most GAP to either side are put together, and the span is verified: the longest
+    run of matches in which both positions rise must make up COVER of the grams of
+    the template, and of the span from its first to its last.  Scans are not
+    shuffled, only votes are.
+
+    ``score`` is the best such share of any template that counts, 0 if none does.
     Null texts are empty.  Repeated rows give a result row each; rows that share
     an id but not a text are told apart by a hash of the text.
     """
@@ -137,23 +153,30 @@ def scan(
     key = ["__id", "__key"]
     votes = hit.groupBy(*key, "template", "size", "base", "label", F.expr(
         "if(template is null, null, __first + __p - place)").alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"),
+        F.collect_set("place").alias("places"),
         F.max(F.expr("if(template is null, __upto, null)")).alias("words"),
         F.sum(F.expr("if(template is null, __begins, 0)")).alias("copies"))
-    votes = votes.withColumn("apart", F.expr(
-        f"""if(base, 1, if(diagonal - lag(diagonal) over (partition by __id, __key, template order by diagonal) <= {GAP}, 0, 1))"""))
-    votes = votes.withColumn("band", F.expr("sum(apart) over (partition by __id, __key, template order by diagonal)"))
-    found = votes.groupBy(*key, "template", "size", "base", "label", "band").agg(
-        F.bit_or("bits").alias("bits"), F.min("diagonal").alias("start"), F.max("words").alias("words"),
-        F.max("copies").alias("copies"))
-    found = found.withColumn("cover", F.expr("bit_count(bits) / size")).where(
+    votes = votes.withColumn("near", F.expr(
+        f"""collect_list(struct(diagonal, places)) over (partition by __id, __key, template order by diagonal
+            range between {GAP} preceding and {GAP} following)"""))
+    pairs = """array_sort(flatten(transform(near, x -> transform(x.places, p -> struct(x.diagonal + p as pos, p as place)))))"""
+    votes = votes.withColumn("pairs", F.expr(f"if(base or template is null, null, {pairs})"))
+    # for every match the longest rising run that ends there, and the latest place where such a run begins
+    longest = """coalesce(array_max(transform(filter(acc, y -> y.pos < x.pos and y.place < x.place),
+        y -> struct(y.n as n, y.first as first))), struct(0 as n, x.pos as first))"""
+    runs = f"""aggregate(pairs, cast(array() as array<struct<pos:bigint,place:int,n:int,first:bigint>>),
+        (acc, x) -> concat(acc, transform(array({longest}), b -> struct(x.pos as pos, x.place as place, b.n + 1 as n, b.first as first))))"""
+    best = f"""array_max(transform({runs}, y -> struct(y.n / greatest(size, y.pos - y.first + 1) as cover, y.first as start)))"""
+    found = votes.withColumn("best", F.expr(f"""case when base then struct(size(places) / size as cover, diagonal as start)
+        when size(pairs) >= {COVER} * size then {best} end""")).selectExpr(
+        *key, "template", "base", "label", "words", "copies", "best.cover", "best.start").where(
         f"template is null or cover >= if(base, 1.0, {COVER})")
     of_base = F.expr("if(base, start, null)")
     out = found.groupBy(*key).agg(
         F.max("words").alias("n_words"), F.count(of_base).alias("n_base"), F.min(of_base).alias("first_word"),
         F.max(of_base).alias("last_word"), F.collect_set(F.expr("if(base, label, null)")).alias("b"),
         F.collect_set("label").alias("l"), F.coalesce(F.max("cover"), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.expr("if(template is null, null, struct(start, template, cover))"))).alias("spans"),
+        F.sort_array(F.collect_set(F.expr("if(template is null, null, struct(start, template, cover))"))).alias("spans"),
         F.max("copies").alias("copies"))
     return out.selectExpr(
         f"__id as {id}", "n_words", "n_base", "first_word", "last_word", "array_join(array_sort(b), ',') as base_labels",
