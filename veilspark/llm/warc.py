@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilspark.llm.common import staged
 
-#: Characters of a payload in one chunk, which is a WARC segment.
+#: Bytes of a payload in one chunk, which is a WARC segment; a cut inside a character moves behind it.
 CHUNK = 1 << 18
 #: Payloads of so many bytes or more are stored once.
 LEAST = 100
@@ -38,7 +38,9 @@ def records(
     Payloads of ``least`` bytes or more are stored with the smallest id only; the
     others become revisit records that name it.  Digests are found first and only
     those that repeat are joined back, so equal payloads never meet in a task.
-    An oversized payload becomes a record and continuation segments, one row each.
+    An oversized payload becomes a record and continuation segments, one row each;
+    chunk numbers are made first and each row takes its bytes, so nothing holds the
+    chunks of a record together.
     Null payloads are empty; null ids are written without an id and never named;
     rows that repeat the named id are all responses.
     """
@@ -50,14 +52,18 @@ def records(
     p = p.withColumn("d", digest).withColumn("b", F.octet_length("h").cast("long"))
     p = p.join(firsts, (F.col("d") == F.col("fd")) & (F.col("b") >= least), "left").withColumn(
         "refers", F.expr("if(i <=> first, null, first)"))
-    p = p.withColumn("n", F.expr(f"if(refers is null, greatest(0, (char_length(h) - 1) div {chunk}), 0) + 1"))
-    parts = F.expr(f"""if(refers is not null, array(''), transform(sequence(0, n - 1),
-        k -> substring(h, cast(k * {chunk} + 1 as int), {chunk})))""")
+    p = p.withColumn("n", F.expr(f"if(refers is null, greatest(0, (b - 1) div {chunk}), 0) + 1"))
     p = p.select(
         F.coalesce(F.concat(F.lit("Page-Id: "), F.col("i").cast("string"), F.lit("\r\n")), F.lit("")).alias("page"),
         F.coalesce(F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers").cast("string"), F.lit(">\r\n")), F.lit("")).alias("refers"),
         _line(F.col("u")).alias("u"), "d", "b", F.md5(F.concat_ws("|", F.col("i").cast("string"), "d")).alias("name"),
-        "n", parts.alias("parts")).select("page", "refers", "u", "d", "b", "name", "n", F.posexplode("parts").alias("k", "part"))
+        "n", F.col("h").cast("binary").alias("octets")).select(
+        "page", "refers", "u", "d", "b", "name", "n", "octets", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
+    # a cut inside a character moves behind it; bytes are found by their place, so a chunk costs the same wherever it lies
+    cut = "({0} + length(regexp_extract(hex(substring(octets, cast({0} + 1 as int), 3)), '^([89AB][0-9A-F])*', 0)) div 2)"
+    start, end = cut.format(f"k * {chunk}"), cut.format(f"(k + 1) * {chunk}")
+    p = p.withColumn("part", F.expr(
+        f"if(refers <> '', '', cast(substring(octets, cast({start} + 1 as int), cast({end} - {start} as int)) as string))")).drop("octets")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("b"), F.lit("\r\n\r\n"))
     block = F.when(F.col("k") == 0, F.concat(http, "part")).otherwise(F.col("part"))
     p = p.withColumn("block", block)
