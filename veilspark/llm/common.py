@@ -24,7 +24,7 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -44,6 +44,11 @@ def remainder(column: Column | str, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def held_out(column: str, modulus: int, rest: int) -> Column:
+    """Whether a row is kept from training; one without an id is not."""
+    return F.coalesce(remainder(column, modulus) == rest, F.lit(False))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, made longer until no column has it."""
     taken = {c.lower() for c in df.columns}
@@ -71,9 +76,9 @@ def fitted(
     """Train in one task on at most ``wanted`` texts of label 0 and of label 1.
 
     Rows are chosen by a hash of the id; those whose ``crc32(id) mod 4`` is 2 are
-    held out.  Texts over ``max_chars`` are not used for training, so the sample
-    has a size bound.  Null texts and labels take no part, copies of a text count
-    once.  ``fit`` gets the sorted sample, and also an empty one.
+    held out.  Of a text over ``max_chars`` an excerpt of that length is used, whose
+    place a hash of the id chooses, so the sample has a size bound.  Null and empty texts and null labels
+    take no part, copies of a text count once.  ``fit`` gets the sorted sample, and also an empty one.
     """
     known = labels.select(F.col(id).alias("__id"), F.col(label).cast("int").alias("__y")).where(
         F.col("__y").isin(0, 1) & F.col("__id").isNotNull() & (remainder("__id", 4) != 2))
@@ -83,9 +88,9 @@ def fitted(
         part = known.where((F.col("__y") == y) & thinned_by("__id", wanted[y], counts.get(y, 0)))
         part = part.orderBy(F.xxhash64("__id"), "__id").limit(wanted[y])
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).where(
-        F.length("__text").between(1, max_chars))
-    sample = texts.join(chosen, "__id").select("__text", "__y").distinct()
+    texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("__text")).where("length(__text) > 0")
+    excerpt = f"""substring(__text, 1 + cast(pmod(xxhash64(__id), greatest(0, length(__text) - {max_chars}) + 1) as int), {max_chars})"""
+    sample = texts.join(chosen, "__id").selectExpr(f"{excerpt} as __text", "__y").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]

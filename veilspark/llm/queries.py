@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import alignment, ann, chat, decontam, langid, licenses, mixing, quality, repair, simhash, substrings, toxicity, warc
-from veilspark.llm.common import remainder, shared_path, staged, table
+from veilspark.llm.common import held_out, shared_path, staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), model, out="score", spans="spans")
     return scored.select(
-        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
@@ -70,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = langid.score(docs.select("doc_id", "text"), langid.trained(docs), out="lang_pred", probability="score")
-    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 @query("op3_quality")
@@ -79,7 +79,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.trained(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs.select("doc_id", "text"), model, out="score")
     return scored.select(
-        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score",
+        "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
