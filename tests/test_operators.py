@@ -38,6 +38,10 @@ def test_keyword_matches_equal_brute_force(spark):
     got = keywords.keyword_matches(spark.createDataFrame(long, "id int, text string"), ["id"],
                                    spark.createDataFrame([("needle",), ("",), ("y" * 250,)], "keyword string"))
     assert sorted((r.id, r.keyword[:2], r.start) for r in got.collect()) == [(1, "ne", 1000), (1, "ne", 1256), (1, "yy", 1006)]
+    twice = spark.createDataFrame([(1, "ab"), (1, "ab"), (1, "xab"), (None, "ab")], "id int, text string")
+    got = keywords.keyword_matches(twice, ["id"], spark.createDataFrame([("ab",), ("b",)], "keyword string"))
+    assert sorted(map(str, ((r.id, r.keyword, r.start) for r in got.collect()))) == sorted(map(str, [
+        (1, "ab", 0), (1, "ab", 0), (1, "ab", 1), (None, "ab", 0), (1, "b", 1), (1, "b", 1), (1, "b", 2), (None, "b", 1)]))
     none = spark.createDataFrame([], "keyword string")
     assert keywords.keyword_matches(df, ["id"], none).count() == 0
     ranked = keywords.ranked_matches(keywords.keyword_matches(df, ["id"], kw), ["id"]).first().matches
@@ -341,6 +345,10 @@ def test_rule_tables_and_files(spark):
             {"name": "r", "pattern": "(", "entity_type": "phone"},
             {"name": " s ", "pattern": "s+", "entity_type": "PHONE"}]}, f)
     words, incoming = rules.read_bundle(spark, os.path.join(folder, "b.json"))
+    twice = spark.createDataFrame([(1, "ab"), (1, "ab"), (1, "xab"), (None, "ab")], "id int, text string")
+    got = keywords.keyword_matches(twice, ["id"], spark.createDataFrame([("ab",), ("b",)], "keyword string"))
+    assert sorted(map(str, ((r.id, r.keyword, r.start) for r in got.collect()))) == sorted(map(str, [
+        (1, "ab", 0), (1, "ab", 0), (1, "ab", 1), (None, "ab", 0), (1, "b", 1), (1, "b", 1), (1, "b", 2), (None, "b", 1)]))
     none = spark.createDataFrame([], "keyword string")
     assert [r[0] for r in rules.add_keywords(none, words).collect()] == ["k1"]
     checked = rules.checked_rules(incoming)

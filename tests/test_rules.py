@@ -1,5 +1,9 @@
 """Example texts per rule, and the interplay of rules."""
 
+import re
+
+import random
+
 import pytest
 
 from veilspark import CustomRule, RulePack, mask, restore
@@ -125,6 +129,19 @@ def test_row_keywords(spark):
     assert [r.masked for r in mask(df, row_keywords="kw").collect()] == ["[PII_CUSTOM_A] c", "a+b c"]
 
 
+def test_row_keywords_like_an_alternation(spark):
+    """Keywords of a row, overlapping themselves and each other, against one pattern per row."""
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("aabx中.") for _ in range(rng.randrange(n)))
+    rows = [(i, say(40), [say(4) for _ in range(rng.randrange(5))]) for i in range(300)]
+    df = mask(spark.createDataFrame(rows, "id int, text string, kw array<string>"), pack=RulePack(entity_stage=False).only(), row_keywords="kw")
+    assert "RegExpReplace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        words = sorted({k for k in r.kw if k}, key=lambda k: (-len(k), k))
+        want = [m.span() for m in re.finditer("|".join(map(re.escape, words)), r.text)] if words else []
+        assert [(m.start, m.end) for m in r.mappings] == want
+
+
 def test_same_rows_however_split(spark):
     df = spark.range(200).selectExpr(
         "id", "concat('tel ', 13000000000 + id, ' ip 10.0.0.', id % 256) as text"

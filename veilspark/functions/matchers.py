@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack, java_pattern
-from veilspark.functions.spans import FILL
+from veilspark.functions.spans import FILL, word_spans
 from veilspark.functions.text import lit
 
 CJK = "[一-鿿]"
@@ -110,6 +110,8 @@ class Matcher:
     words: tuple[str, ...] = ()
     enabled: bool = True
     seen_before: bool = False
+    # from the name of the scanned text to its spans, for what no pattern of the plan can say
+    spans: Callable[[str], str] | None = None
 
 
 def guards_of(matchers: Iterable[Matcher]) -> list[str]:
@@ -153,11 +155,14 @@ def luhn_keep(value: str) -> str:
     return f"luhn_check({value})"
 
 
-def user_matchers(pack: RulePack, row_pattern: str | None = None) -> list[Matcher]:
-    """Keywords first, then the user's rules in the order they were added."""
+def user_matchers(pack: RulePack, row_words: str | None = None) -> list[Matcher]:
+    """Keywords first, then the user's rules in the order they were added.
+
+    ``row_words`` names an array column with the keywords of each row.
+    """
     out = []
-    if row_pattern is not None:
-        out.append(Matcher("custom", row_pattern, 0, 100))
+    if row_words is not None:
+        out.append(Matcher("custom", None, 0, 100, spans=lambda text: word_spans(text, row_words, "custom", 0, 100)))
     elif pack.keywords:
         out.append(Matcher("custom", lit(trie_pattern(pack.keywords)), 0, 100))
     for i, r in enumerate(r for r in pack.rules if r.enabled):

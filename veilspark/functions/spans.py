@@ -88,6 +88,25 @@ def regex_spans(pieces: str, key: str, ord_: int, rank: int) -> str:
     return fold(hits, SPAN, f"length({pieces}[0])", span, "a.pos + x.n")
 
 
+def word_spans(text: str, words: str, key: str, ord_: int, rank: int) -> str:
+    """Spans of all occurrences of the words of an array column, by plain search: no pattern is built.
+
+    The text is cut at a word; a word that can overlap itself is looked for at every place.
+    """
+    cut = f"split(replace({text}, w, {lit(OPEN)}), {lit(OPEN)}, -1)"
+    span = make_span("a.pos + length(x)", "length(w)", ord_, rank, key, "w")
+    apart = bind(cut, "cuts", fold("slice(cuts, 1, size(cuts) - 1)", SPAN, "0", span, "a.pos + length(x) + length(w)"))
+    everywhere = (
+        f"transform(filter(sequence(0, length({text}) - length(w)), i -> substr({text}, i + 1, length(w)) = w), "
+        f"i -> {make_span('i', 'length(w)', ord_, rank, key, 'w')})"
+    )
+    overlaps = "length(w) > 1 and exists(sequence(1, length(w) - 1), k -> endswith(w, left(w, k)))"
+    return (
+        f"flatten(transform(filter({words}, w -> length(w) > 0 and contains({text}, w)), "
+        f"w -> if({overlaps}, {everywhere}, {apart})))"
+    )
+
+
 def keep_values(spans: str, test: Callable[[str], str]) -> str:
     return f"filter({spans}, s -> {test('s.value')})"
 

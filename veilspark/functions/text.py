@@ -62,8 +62,3 @@ def session_key(ts: str, key: str) -> str:
 def luhn_ok(value: str) -> str:
     """Check-digit test of a number."""
     return f"luhn_check({value})"
-
-
-def quote_regex(value: str) -> str:
-    """Escape a literal so that it can be put into a pattern."""
-    return f"regexp_replace({value}, {lit(r'([^\p{L}\p{N}\s])')}, {lit(r'\\$1')})"

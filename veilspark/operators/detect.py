@@ -21,7 +21,7 @@ from veilspark.functions.spans import (
     NO_SPANS, bind, blank, by_rank, count_by_key, first_occurrences, keep_values, leftmost_longest,
     marked_pieces, original_values, regex_spans, scan_text,
 )
-from veilspark.functions.text import lit, quote_regex
+from veilspark.functions.text import lit
 
 _SCAN = "__scan"
 
@@ -79,7 +79,7 @@ def detect_steps(text: str, pack: RulePack = RulePack(), out: str = "spans", row
     steps: Steps = [{_SCAN: scan_text(text)}]
     found: list[str] = []
     if row_keywords is not None:
-        steps.append({"__words": _row_pattern(row_keywords, pack)})
+        steps.append({"__words": _row_words(row_keywords, pack)})
     user = M.user_matchers(pack, "__words" if row_keywords is not None else None)
     if user:
         steps += [*_stage(user, "__user", by_rank), _blank_found("__user")]
@@ -103,15 +103,12 @@ def detect_steps(text: str, pack: RulePack = RulePack(), out: str = "spans", row
     return [*steps, {out: f"if(size(__all) = 0, {NO_SPANS}, {chosen})"}]
 
 
-def _row_pattern(words: str, pack: RulePack) -> str:
+def _row_words(words: str, pack: RulePack) -> str:
+    """The keywords of a row and of the pack, each once."""
     known = f"cast(array({', '.join(lit(k) for k in pack.keywords)}) as array<string>)"
-    every = f"""array_distinct(concat(
-        filter(transform(coalesce({words}, cast(array() as array<string>)), w -> trim(w)),
-               w -> length(w) > 0),
+    return f"""array_distinct(concat(
+        filter(transform(coalesce({words}, cast(array() as array<string>)), w -> trim(w)), w -> length(w) > 0),
         {known}))"""
-    longest_first = f"array_sort(transform({every}, w -> named_struct('n', -length(w), 'w', w)))"
-    joined = f"array_join(transform({longest_first}, x -> {quote_regex('x.w')}), '|')"
-    return f"coalesce(nullif({joined}, ''), '(?!)')"
 
 
 def _stage(
@@ -147,7 +144,8 @@ def _stage(
     found, parts, some = {}, [], []
     for m, hit in zip(matchers, hits):
         if m.pattern is None:
-            found[hit] = guarded(m, first_occurrences(_SCAN, m.words, m.key, m.ord, m.rank))
+            listed = m.spans(_SCAN) if m.spans else first_occurrences(_SCAN, m.words, m.key, m.ord, m.rank)
+            found[hit] = guarded(m, listed)
             spans = hit
         else:
             found[hit] = guarded(m, marked_pieces(_SCAN, m.pattern))

@@ -21,11 +21,14 @@ def keyword_matches(
 ) -> DataFrame:
     """All occurrences of all keywords, overlapping ones too: keys, keyword, start, end.
 
-    One way for dictionaries of any size: every place of a text is joined with
-    the keywords by their first characters, and what follows is compared.  A place
-    makes one row for each anchor length in use (ANCHOR at most).  The
+    One way for dictionaries of any size, in three steps.  Every place of a text is
+    joined with the beginnings of the keywords (ANCHOR characters at most), as
+    numbers and those few characters alone.  The places that are left, by part of a
+    text, pick what follows out of the text, in the lengths that keywords with that
+    beginning have.  These strings are joined with the keywords.  So no join
+    carries a text along but the second, and that one each text once.  The
     dictionary is written first, so Spark knows its size and broadcasts it if
-    that allows, else both sides are shuffled by anchor.
+    that allows, else both sides are shuffled.
     """
     spark = df.sparkSession
     path = shared_folder(spark, "keywords")
@@ -36,16 +39,27 @@ def keyword_matches(
     if not longest:
         return df.select(*keys, F.lit("").alias("keyword"), F.lit(0).cast("long").alias("start"),
                          F.lit(0).cast("long").alias("end")).filter("false")
-    # parts of CUT characters with what a keyword that begins in them may need beyond
+    # parts of CUT characters with what a keyword that begins in them may need beyond; a hash tells
+    # parts of different texts under the same keys apart
     parts = df.select(*keys, F.col(text).alias("__t")).filter("length(__t) > 0").select(*keys, F.expr(f"""inline(transform(
         sequence(0, (length(__t) - 1) div {CUT}),
-        k -> named_struct('__from', k * {CUT}, '__part', substr(__t, k * {CUT} + 1, {CUT + longest - 1}))))"""))
-    places = parts.select(*keys, F.expr(f"""inline(transform(sequence(1, least({CUT}, length(__part))),
-        i -> named_struct('__at', __from + i - 1, '__rest', substr(__part, i, {longest}))))"""))
+        k -> named_struct('__from', k * {CUT}, '__part', substr(__t, k * {CUT} + 1, {CUT + longest - 1}))))""")).withColumn(
+        "__hash", F.xxhash64("__part"))
+    part = [*keys, "__from", "__hash"]
     sizes = f"array({', '.join(map(str, sorted(lengths)))})"
-    anchored = places.select(*keys, "__at", "__rest", F.expr(f"explode(filter({sizes}, n -> n <= length(__rest)))").alias("__n"))
-    found = anchored.join(
-        words, (F.expr("substr(__rest, 1, __n)") == F.col("anchor")) & F.expr("startswith(__rest, keyword)"))
+    places = parts.select(*part, F.expr(f"""inline(flatten(transform(sequence(1, least({CUT}, length(__part))),
+        i -> transform(filter({sizes}, n -> i + n - 1 <= length(__part)),
+                       n -> named_struct('__i', i, '__anchor', substr(__part, i, n))))))"""))
+    begins = words.groupBy("anchor").agg(F.collect_set("n").alias("__lengths"))
+    hits = places.join(begins, F.col("__anchor") == F.col("anchor")).groupBy(*part).agg(
+        F.collect_set(F.struct("__i", "__lengths")).alias("__places"))
+    hits = hits.select([F.col(c).alias(f"__of_{c}") for c in part] + ["__places"])
+    on = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in part]
+    strings = parts.join(hits, on).select(*part, "__part", F.explode("__places").alias("__p")).select(
+        *keys, F.expr("__from + __p.__i - 1").alias("__at"), "__part", "__p").select(
+        *keys, "__at", F.expr("""explode(transform(filter(__p.__lengths, n -> __p.__i + n - 1 <= length(__part)),
+            n -> substr(__part, __p.__i, n)))""").alias("__word"))
+    found = strings.join(words.select("keyword", "n"), F.col("__word") == F.col("keyword"))
     return found.selectExpr(
         *keys, "keyword", "cast(__at as bigint) as start", "cast(__at + n as bigint) as end")
 
