@@ -92,7 +92,10 @@ def _streaks(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.D
         run = run.where(at_success.notna(), run + streak)
         streak = int(run.iloc[-1])
         yield pd.DataFrame({"node": key[0], "id": rows["id"], "ts": rows["ts"], "streak": run})
-    state.update((streak,))
+    if streak:
+        state.update((streak,))
+    elif state.exists:
+        state.remove()
 
 
 def _by_id(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +105,7 @@ def _by_id(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def streaks(outcomes: DataFrame) -> DataFrame:
-    """Failures in a row per node with the time of each outcome, kept as one number of state per node."""
+    """Failures in a row per node with the time of each outcome; only nodes that fail now have state, one number."""
     return outcomes.groupBy("node").applyInPandasWithState(
         _streaks, "node string, id long, ts timestamp, streak long", _STREAK_STATE, "append", "NoTimeout"
     )
