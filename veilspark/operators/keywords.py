@@ -14,6 +14,18 @@ from veilspark.sources.tables import shared_folder
 
 # Characters of a keyword that are looked up first, and of a text that are cut at once.
 ANCHOR, CUT = 4, 256
+# The same for a dictionary that is joined in place: a long text is cut in blocks and these in parts.
+BLOCK, STEP = 8192, 64
+# Up to this size, in words and in characters, a dictionary is joined in place.
+SMALL_WORDS, SMALL_CHARS = 200_000, 4_000_000
+
+
+def _stored(keywords: DataFrame) -> DataFrame:
+    """The words of a dictionary, each once, written so that Spark knows their size."""
+    path = shared_folder(keywords.sparkSession, "keywords")
+    keywords.select("keyword").filter("length(keyword) > 0").distinct().selectExpr(
+        "keyword", f"substr(keyword, 1, {ANCHOR}) as anchor", "length(keyword) as n").write.parquet(path)
+    return keywords.sparkSession.read.parquet(path)
 
 
 def keyword_matches(
@@ -21,32 +33,69 @@ def keyword_matches(
 ) -> DataFrame:
     """All occurrences of all keywords, overlapping ones too: keys, keyword, start, end.
 
-    One way for dictionaries of any size, in three steps.  Every place of a text is
-    joined with the beginnings of the keywords (ANCHOR characters at most), as
-    numbers and those few characters alone.  The places that are left, by part of a
-    text, pick what follows out of the text, in the lengths that keywords with that
-    beginning have.  These strings are joined with the keywords.  So no join
-    carries a text along but the second, and that one each text once.  The
-    dictionary is written first, so Spark knows its size and broadcasts it if
-    that allows, else both sides are shuffled.
+    The dictionary is written first, so its size is known.  Places of a text are
+    looked up among the beginnings of the keywords (ANCHOR characters at most), the
+    places left give strings in the lengths that keywords with that beginning have,
+    and these are joined with the keywords.  A small dictionary is looked up where
+    the text is, without a shuffle; see ``_shuffled`` for a larger one.
     """
-    spark = df.sparkSession
-    path = shared_folder(spark, "keywords")
-    keywords.select("keyword").filter("length(keyword) > 0").distinct().selectExpr(
-        "keyword", f"substr(keyword, 1, {ANCHOR}) as anchor", "length(keyword) as n").write.parquet(path)
-    words = spark.read.parquet(path)
-    longest, lengths = words.selectExpr("max(n)", "collect_set(length(anchor))").first()
+    words = _stored(keywords)
+    longest, lengths, count, chars = words.selectExpr(
+        "max(n)", "collect_set(length(anchor))", "count(*)", "sum(n)").first()
     if not longest:
         return df.select(*keys, F.lit("").alias("keyword"), F.lit(0).cast("long").alias("start"),
                          F.lit(0).cast("long").alias("end")).filter("false")
-    # parts of CUT characters with what a keyword that begins in them may need beyond; a hash tells
-    # parts of different texts under the same keys apart
-    parts = df.select(*keys, F.col(text).alias("__t")).filter("length(__t) > 0").select(*keys, F.expr(f"""inline(transform(
+    texts = df.select(*keys, F.col(text).alias("__t")).filter("length(__t) > 0")
+    way = _in_place if count <= SMALL_WORDS and chars <= SMALL_CHARS else _shuffled
+    found = way(texts, keys, words, longest, sorted(lengths))
+    return found.selectExpr(
+        *keys, "keyword", "cast(__at as bigint) as start", "cast(__at + n as bigint) as end")
+
+
+def _in_place(texts: DataFrame, keys: list[str], words: DataFrame, longest: int, lengths: list[int]) -> DataFrame:
+    """Places are rows only between two lookups of the same task; no lambda runs once per place.
+
+    Beginnings are looked up by a hash; the join with the keywords drops what it lets through.
+    """
+    blocks = texts.select(*keys, F.expr(f"""inline(transform(
+        sequence(0, (length(__t) - 1) div {BLOCK}),
+        k -> named_struct('__block', k * {BLOCK}, '__b', substr(__t, k * {BLOCK} + 1, {BLOCK + longest - 1}))))"""))
+    # with what a keyword that begins in a part may need beyond
+    parts = blocks.select(*keys, "__block", F.expr(f"""inline(transform(
+        sequence(0, (least({BLOCK}, length(__b)) - 1) div {STEP}),
+        k -> named_struct('__from', k * {STEP}, '__part', substr(__b, k * {STEP} + 1, {STEP + longest - 1}))))"""))
+    places = parts.select(
+        *keys, "__block", "__from", "__part", F.expr(f"explode(sequence(1, least({STEP}, length(__part))))").alias("__i"))
+    if len(lengths) > 1:
+        places = places.select("*", F.explode(F.array(*map(F.lit, lengths))).alias("__n"))
+    else:
+        places = places.withColumn("__n", F.lit(lengths[0]))
+    begins = words.groupBy(F.xxhash64("anchor", F.length("anchor")).alias("__begin")).agg(F.collect_set("n").alias("__lengths"))
+    hits = places.join(
+        F.broadcast(begins), F.xxhash64(F.expr("substr(__part, __i, __n)"), F.col("__n")) == F.col("__begin"))
+    strings = hits.select(
+        *keys, F.expr("__block + __from + __i - 1").alias("__at"), "__part", "__i", F.explode("__lengths").alias("__n")
+    ).select(*keys, "__at", "__n", F.expr("substr(__part, __i, __n)").alias("__word"))
+    return strings.join(
+        F.broadcast(words.select("keyword", "n")), (F.col("__word") == F.col("keyword")) & (F.col("__n") == F.col("n")))
+
+
+def _shuffled(texts: DataFrame, keys: list[str], words: DataFrame, longest: int, lengths: list[int]) -> DataFrame:
+    """For a dictionary of any size.
+
+    Every place of a text is joined with the beginnings of the keywords, as numbers
+    and those few characters alone.  The places that are left, by part of a text,
+    pick what follows out of the text.  So no join carries a text along but the
+    second, and that one each text once; Spark broadcasts the dictionary if its size
+    allows, else both sides are shuffled.
+    """
+    # a hash tells parts of different texts under the same keys apart
+    parts = texts.select(*keys, F.expr(f"""inline(transform(
         sequence(0, (length(__t) - 1) div {CUT}),
         k -> named_struct('__from', k * {CUT}, '__part', substr(__t, k * {CUT} + 1, {CUT + longest - 1}))))""")).withColumn(
         "__hash", F.xxhash64("__part"))
     part = [*keys, "__from", "__hash"]
-    sizes = f"array({', '.join(map(str, sorted(lengths)))})"
+    sizes = f"array({', '.join(map(str, lengths))})"
     places = parts.select(*part, F.expr(f"""inline(flatten(transform(sequence(1, least({CUT}, length(__part))),
         i -> transform(filter({sizes}, n -> i + n - 1 <= length(__part)),
                        n -> named_struct('__i', i, '__anchor', substr(__part, i, n))))))"""))
@@ -59,9 +108,7 @@ def keyword_matches(
         *keys, F.expr("__from + __p.__i - 1").alias("__at"), "__part", "__p").select(
         *keys, "__at", F.expr("""explode(transform(filter(__p.__lengths, n -> __p.__i + n - 1 <= length(__part)),
             n -> substr(__part, __p.__i, n)))""").alias("__word"))
-    found = strings.join(words.select("keyword", "n"), F.col("__word") == F.col("keyword"))
-    return found.selectExpr(
-        *keys, "keyword", "cast(__at as bigint) as start", "cast(__at + n as bigint) as end")
+    return strings.join(words.select("keyword", "n"), F.col("__word") == F.col("keyword"))
 
 
 def mask_with_dictionary(
