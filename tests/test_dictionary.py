@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
+from veilspark.functions.rulepack import RulePack
 from veilspark.operators import keywords
+from veilspark.operators.mask import mask
 
 WORDS = ["ab", "abc", "abcdefgh", "token", "tokenabc", "the", "there", "x", "aa", "aaaa", "价格表格", "end"]
 # blocks are 8,192 characters and parts 64: words lie across both, and a longer keyword is cut off by the end
@@ -40,3 +42,20 @@ def test_small_dictionary_is_looked_up_without_a_shuffle(spark, texts):
     found = plan(keywords.keyword_matches(texts, ["id"], dictionary(spark, WORDS)))
     assert found.count("Generate explode(sequence") == 1
     assert "SortMergeJoin" not in found and "flatten" not in found and "collect_set(struct" not in found
+
+
+def test_masking_takes_the_places_and_searches_no_text(spark, texts):
+    pack = RulePack().with_keywords(["another"])
+    masked = keywords.mask_with_dictionary(texts, ["id"], dictionary(spark, WORDS), pack=pack)
+    assert "replace(" not in plan(masked).replace("regexp_replace(", "")
+    own = texts.selectExpr("*", "array(" + ", ".join(f"'{w}'" for w in WORDS) + ") as kw")
+    expected = mask(own, pack=pack, row_keywords="kw").drop("kw")
+    assert masked.columns == expected.columns
+    rows = [sorted(map(str, df.selectExpr("id", "text", "masked", "mappings").collect())) for df in (masked, expected)]
+    assert rows[0] == rows[1]
+
+
+def test_words_with_blanks_around_count_without_them(spark):
+    df = spark.createDataFrame([(1, "a word and words"), (2, "words")], "id int, text string")
+    masked = keywords.mask_with_dictionary(df, ["id"], dictionary(spark, [" word "])).orderBy("id")
+    assert [len(r.mappings) for r in masked.collect()] == [2, 0]

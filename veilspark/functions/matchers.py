@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from veilspark.functions import catalog as C
 from veilspark.functions.rulepack import RulePack, java_pattern
-from veilspark.functions.spans import FILL, word_spans
+from veilspark.functions.spans import FILL, place_spans, word_spans
 from veilspark.functions.text import lit
 
 CJK = "[一-鿿]"
@@ -155,13 +155,16 @@ def luhn_keep(value: str) -> str:
     return f"luhn_check({value})"
 
 
-def user_matchers(pack: RulePack, row_words: str | None = None) -> list[Matcher]:
+def user_matchers(pack: RulePack, row_words: str | None = None, row_places: str | None = None) -> list[Matcher]:
     """Keywords first, then the user's rules in the order they were added.
 
-    ``row_words`` names an array column with the keywords of each row.
+    ``row_words`` names an array column with the keywords of each row,
+    ``row_places`` one with their places.
     """
     out = []
-    if row_words is not None:
+    if row_places is not None:
+        out.append(Matcher("custom", None, 0, 100, spans=lambda text: place_spans(row_places, "custom", 0, 100)))
+    elif row_words is not None:
         out.append(Matcher("custom", None, 0, 100, spans=lambda text: word_spans(text, row_words, "custom", 0, 100)))
     elif pack.keywords:
         out.append(Matcher("custom", lit(trie_pattern(pack.keywords)), 0, 100))

@@ -107,6 +107,12 @@ def word_spans(text: str, words: str, key: str, ord_: int, rank: int) -> str:
     )
 
 
+def place_spans(places: str, key: str, ord_: int, rank: int) -> str:
+    """Spans of words whose places are known already."""
+    span = make_span("p.start", "length(p.keyword)", ord_, rank, key, "p.keyword")
+    return f"coalesce(transform({places}, p -> {span}), {NO_SPANS})"
+
+
 def keep_values(spans: str, test: Callable[[str], str]) -> str:
     return f"filter({spans}, s -> {test('s.value')})"
 

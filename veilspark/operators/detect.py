@@ -63,24 +63,30 @@ def detect(
     pack: RulePack = RulePack(),
     out: str = "spans",
     row_keywords: str | None = None,
+    row_places: str | None = None,
 ) -> DataFrame:
     """Add an array of the spans to mask, sorted by position and disjoint.
 
     ``row_keywords`` names an optional array<string> column with extra keywords
-    that hold for that row only.
+    that hold for that row only.  ``row_places`` names an optional column
+    array<struct<start, keyword>> with the places of all keywords instead, those of
+    the pack included; the text is not searched then.
     """
-    steps = detect_steps(text, pack, out, row_keywords)
+    steps = detect_steps(text, pack, out, row_keywords, row_places)
     made = {name for step in steps for name in step} - {out}
     return fence(applied(df, steps).drop(*made), out)
 
 
-def detect_steps(text: str, pack: RulePack = RulePack(), out: str = "spans", row_keywords: str | None = None) -> Steps:
+def detect_steps(
+    text: str, pack: RulePack = RulePack(), out: str = "spans", row_keywords: str | None = None,
+    row_places: str | None = None,
+) -> Steps:
     """The columns of ``detect``, as SQL by name; the last one is the result."""
     steps: Steps = [{_SCAN: scan_text(text)}]
     found: list[str] = []
     if row_keywords is not None:
         steps.append({"__words": _row_words(row_keywords, pack)})
-    user = M.user_matchers(pack, "__words" if row_keywords is not None else None)
+    user = M.user_matchers(pack, "__words" if row_keywords is not None else None, row_places)
     if user:
         steps += [*_stage(user, "__user", by_rank), _blank_found("__user")]
         found.append("__user")

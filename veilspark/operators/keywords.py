@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.matchers import Matcher, trie_pattern
 from veilspark.functions.rulepack import RulePack
+from veilspark.functions.spans import scan_text
 from veilspark.functions.text import lit
 from veilspark.operators.detect import matches
 from veilspark.operators.mask import mask
@@ -116,13 +117,27 @@ def mask_with_dictionary(
 ) -> DataFrame:
     """``mask`` with a keyword table of any size; ``keys`` identify a text.
 
-    Each text gets the keywords that occur in it, which the text itself bounds,
-    as keywords of its own.
+    Each text gets the places at which keywords occur in it, so no text is searched
+    word by word; a hash tells texts under the same keys apart.  Only a dictionary
+    with blanks around its words, which count without them, gives each text words
+    to search for.
     """
-    found = keyword_matches(df, keys, keywords, text).groupBy(*keys).agg(F.collect_set("keyword").alias("__own"))
-    on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
-    joined = df.alias("__l").join(found.alias("__r"), on, "left").select("__l.*", "__r.__own")
-    return mask(joined, text, pack, row_keywords="__own").drop("__own")
+    words = _stored(keywords).select("keyword")
+    if not words.filter("keyword <> trim(keyword)").isEmpty():
+        found = keyword_matches(df, keys, words, text).groupBy(*keys).agg(F.collect_set("keyword").alias("__own"))
+        on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in keys]
+        joined = df.alias("__l").join(found.alias("__r"), on, "left").select("__l.*", "__r.__own")
+        return mask(joined, text, pack, row_keywords="__own").drop("__own")
+    if pack.keywords:
+        words = words.unionByName(df.sparkSession.createDataFrame([(w,) for w in pack.keywords], "keyword string"))
+    by = [*keys, "__text_hash"]
+    known = df.withColumn("__text_hash", F.xxhash64(text))
+    scanned = known.select(*by, F.expr(scan_text(text)).alias("__scanned"))
+    found = keyword_matches(scanned, by, words, "__scanned").groupBy(*by).agg(
+        F.collect_set(F.struct("start", "keyword")).alias("__own"))
+    on = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in by]
+    joined = known.alias("__l").join(found.alias("__r"), on, "left").select("__l.*", "__r.__own").drop("__text_hash")
+    return mask(joined, text, pack, row_places="__own").drop("__own")
 
 
 def longest_keywords(df: DataFrame, keys: list[str], words: list[str], text: str = "text") -> DataFrame:

@@ -23,6 +23,7 @@ def mask(
     message_no: str | None = None,
     row_keywords: str | None = None,
     masked: str = "masked",
+    row_places: str | None = None,
 ) -> DataFrame:
     """Add ``masked``, ``mappings`` and ``stats`` columns.
 
@@ -31,7 +32,7 @@ def mask(
     number from zero that is unique per text of the session: each text has its
     own range of numbers, so no text has to wait for, or shuffle with, another.
     """
-    detected = detect(df, text, pack, "__spans", row_keywords)
+    detected = detect(df, text, pack, "__spans", row_keywords, row_places)
     done = applied(detected, label_steps(text, masked, message_no))
     return fence(done.drop("__spans", "__base", "__numbered", "__labelled"), masked, "mappings", "stats")
 
