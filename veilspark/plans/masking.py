@@ -374,6 +374,10 @@ def vault_path(spark, sf_dir):
     """Mask, store the encrypted mappings, load them and restore every text from there."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     masked = mask(docs).selectExpr("doc_id", "concat('sess_', doc_id) as session_id", "text", "masked", "mappings")
+    # masked texts are stored, as they are read three times: for the vault, for what is needed of it, and to be restored
+    written = shared_folder(spark, "masked")
+    masked.write.parquet(written)
+    masked = spark.read.schema(masked.schema).parquet(written)
     rows = vault.mapping_rows(masked, created_at="timestamp '2024-01-01 00:00:00'")
     path = shared_folder(spark, "vault")
     store.save_mappings(vault.encrypt_values(rows, "correct horse"), path)
