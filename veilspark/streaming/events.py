@@ -30,13 +30,17 @@ def run_to_end(
     """Process everything available, write it to a folder and read that back.
 
     Each micro-batch goes to its own folder by number, so a repeated batch
-    replaces its earlier output.
+    replaces its earlier output.  A transform may read its batch more than once, so
+    the batch is kept until then and the state behind it is only asked once.
     """
     root = shared_folder(spark, name)
 
     def sink(batch: DataFrame, number: int) -> None:
-        rows = transform(batch) if transform else batch
-        rows.write.mode("overwrite").parquet(f"{root}/out/batch_no={number}")
+        rows = transform(batch.persist()) if transform else batch
+        try:
+            rows.write.mode("overwrite").parquet(f"{root}/out/batch_no={number}")
+        finally:
+            batch.unpersist()
 
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint")
