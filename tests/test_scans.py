@@ -1,0 +1,32 @@
+"""Rules that share a scan, on rows of their own."""
+
+import re
+
+from veilspark import RulePack, mask
+from veilspark.operators.detect import detect
+
+TEXT = ("13812345678 110101199001011234 11010119900101123X 6222000000000005 100081 1234567 １２３４５６ "
+        "E12345678 C12345678 L12345678 A123456789 E123456789 AE12345678 E12345678９ 京A12345 4111111111111111")
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(set(re.findall(r"regexp_replace\(__scan#\d+, ([^\n]*?), ", plan)))
+
+
+def test_rules_that_share_a_scan(spark):
+    df = spark.createDataFrame([(TEXT,), ("x",), ("",), (None,)], "text string")
+    found = [(s.key, s.value) for s in detect(df).first().spans]
+    assert found == [
+        ("phone", "13812345678"), ("idcard", "110101199001011234"), ("idcard", "11010119900101123X"),
+        ("bankcard", "6222000000000005"), ("postcode", "100081"), ("passport", "E12345678"), ("hkmo_pass", "C12345678"),
+        ("taiwan_pass", "L12345678"), ("taiwan_id", "A123456789"), ("taiwan_id", "E123456789"), ("taiwan_id", "E12345678９"),
+        ("plate", "京A12345"), ("bankcard", "4111111111111111")]
+    strict = detect(df, pack=RulePack(card_luhn="strict")).first().spans
+    assert [s.value for s in strict if s.key == "bankcard"] == ["4111111111111111"]
+    assert scans(mask(df)) <= 30  # 36 with a scan for every rule
+
+
+def test_columns_named_like_parts(spark):
+    df = spark.createDataFrame([("a@b.cc 13812345678",)], "x string")
+    assert mask(df, "x").first().masked == "[PII_EMAIL_A] [PII_PHONE_B]"
