@@ -3,7 +3,9 @@
 import re
 
 from veilspark import RulePack, mask
-from veilspark.operators.detect import detect
+from veilspark.operators.detect import applied, detect, detect_steps
+
+from test_bruteforce import expected
 
 TEXT = ("13812345678 110101199001011234 11010119900101123X 6222000000000005 100081 1234567 １２３４５６ "
         "E12345678 C12345678 L12345678 A123456789 E123456789 AE12345678 E12345678９ 京A12345 4111111111111111")
@@ -30,3 +32,24 @@ def test_rules_that_share_a_scan(spark):
 def test_columns_named_like_parts(spark):
     df = spark.createDataFrame([("a@b.cc 13812345678",)], "x string")
     assert mask(df, "x").first().masked == "[PII_EMAIL_A] [PII_PHONE_B]"
+
+
+def test_one_scan_for_a_stage(spark):
+    rows = [  # text, whether one scan does for the entity stage, and for the late one
+        (TEXT.replace("京A12345", "京A12345 a@b.cc, https://x.y/z ¥1,234.50; 2024-01-5. sk-abcdefghijklmnop1"), True, None),
+        ("91310000306245892U 116.4074, 39.9042 123-45-6789 00:1A:2b:3C:4D:5E 12345678-9 C12345678", True, True),
+        ("91310000000000001U 4111111111111111 4111111111111112", True, True),
+        ("nothing", True, True), ("", True, True),
+        ("13812345678@x.cc.1", False, None), ("1234.1.1.1.1", False, None), ("a@b.cc.d@e.ff", False, None),
+        ("在在京A12345", False, None), ("13812345678京A123456", False, None),
+        ("1.12345678901234560, 39.9042", True, False), ("A123456789012345678 E123456785", True, False),
+    ]
+    df = spark.createDataFrame([(t,) for t, *_ in rows], "text string")
+    done = applied(df, detect_steps("text")).select("text", "__entity_swept", "__catalog_swept", "spans").collect()
+    for r, (text, entity, late) in zip(done, rows):
+        got = [(s.start, s.start - s.neglen, s.key, s.value) for s in r["spans"]]
+        assert got == expected(text, RulePack()), text
+        assert r["__entity_swept"] == entity, text
+        assert late is None or r["__catalog_swept"] == late, text
+    strict = detect(df, pack=RulePack(card_luhn="strict")).collect()[2].spans
+    assert [s.value for s in strict if s.key == "bankcard"] == ["4111111111111111"]
