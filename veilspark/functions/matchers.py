@@ -219,6 +219,7 @@ class Sweep:
     doubt: str
     kinds: tuple[Kind, ...]
     keep: tuple[str, Callable[[str], str]] | None = None  # a key and what its values must pass
+    parts: tuple[tuple[str, str], ...] = ()  # the pattern in pieces, each with what goes ahead of it
 
 
 def _plain(pattern: str) -> str:
@@ -231,9 +232,13 @@ def _sweep_pattern(parts: Iterable[tuple[str, str]]) -> str:
     return lit(java_pattern("|".join(_plain(lead) + "(?:" + _plain(pattern) + ")" for lead, pattern in parts)))
 
 
-def _doubt(after: str, *others: str) -> str:
-    """A match goes on, or the next one follows without a gap; a full stop that ends a sentence is none of that."""
-    return lit(java_pattern("|".join([f"{CLOSE}(?:[{OPEN}{after}]|\\.\\S)", *others])))
+def _doubt(after: str, *others: str, marks: Iterable[str] = ()) -> str:
+    """A match goes on, or the next one follows without a gap; a full stop that ends a sentence is none of that.
+
+    ``marks`` are patterns that start at a mark: one test turns away all other places.
+    """
+    ends = [f"{CLOSE}(?:[{OPEN}{after}]|\\.\\S)", *marks]
+    return lit(java_pattern("|".join([f"(?=[{FILL}-{CLOSE}])(?:{'|'.join(ends)})", *others])))
 
 
 def entity_sweep(pack: RulePack) -> Sweep:
@@ -249,10 +254,10 @@ def entity_sweep(pack: RulePack) -> Sweep:
         return "|".join(f"{STARTS_WITH.get(k, '(?=http)')}(?:{rules[k]})" for k in keys)
 
     numbers = f"{DIGITS_LEAD}(?:{'|'.join(rules[k] for k in DIGIT_RUNS)})"
-    pattern = _sweep_pattern([
+    parts = (
         (mail, rules["email"]), (r"(?=\d)", f"{numbers}|{one_of('ip', 'date')}"),
         ("(?=[hsgrkxyaAS$¥￥])", one_of("url", "api_key", "amount")), (STARTS_WITH["plate"], rules["plate"]),
-    ])
+    )
     marks = f"[{OPEN}{CLOSE}]*"
     names = any(map(pack.is_enabled, ("person", "location", "organization")))
     tests = {
@@ -263,9 +268,9 @@ def entity_sweep(pack: RulePack) -> Sweep:
     }
     ords = {key: i for i, (key, _) in enumerate(C.ENTITY_STAGE)}
     return Sweep(
-        pattern, _doubt(r"A-Za-z\p{Nd}_%+@:/年月日\-", CJK if names else CJK + marks + CJK + marks + "[A-Z]"),
+        _sweep_pattern(parts), _doubt(r"A-Za-z\p{Nd}_%+@:/年月日\-", CJK if names else CJK + marks + CJK + marks + "[A-Z]"),
         tuple(Kind(key, ords[key], 300, test) for key, test in tests.items()),
-        ("bankcard", luhn_keep) if pack.card_luhn == "strict" else None,
+        ("bankcard", luhn_keep) if pack.card_luhn == "strict" else None, parts,
     )
 
 
@@ -310,7 +315,53 @@ def catalog_sweep(pack: RulePack) -> Sweep | None:
             rf"{OPEN}(?=\d{{1,3}}\.)[^{CLOSE}]{{25}}",
         ),
         tuple(Kind(k, 0, late[k][0], test) for k, test in LATE_RUNS.items() if k in late),
-        ("bankcard", bank_card_keep) if "bankcard" in late else None,
+        ("bankcard", bank_card_keep) if "bankcard" in late else None, tuple(parts),
+    )
+
+
+def whole_sweep(pack: RulePack) -> Sweep | None:
+    """Both built-in stages at once, for texts in which no match of one stage touches what the other needs to see.
+
+    At a place the rules of the entity stage come first, as they do when the stages run one after the
+    other.  What that order decides otherwise is in doubt: a match with a letter or digit beside it (it may cross
+    another, or a rule may match anew beside its blank), and a number inside a match of the late stage, which is
+    one in a long fraction or a run of 6, 11 or 16 digits between capitals.  A later plate starts with an earlier one.
+    None unless all rules are the shipped ones, those of the entity stage are on and its names are off.
+    """
+    late = catalog_sweep(pack)
+    names = any(map(pack.is_enabled, ("person", "location", "organization")))
+    if late is None or names or pack.card_luhn == "strict" or not all(pack.is_enabled(k) for k, _ in C.ENTITY_STAGE):
+        return None
+    ords = {key: i for i, (key, _) in enumerate(C.ENTITY_STAGE)}
+    ranks = {k.key: k.rank for k in late.kinds}
+    tests = {k: test for k, test in LATE_RUNS.items() if k in ranks and k != "plate"}
+    early, dotted = entity_sweep(pack).parts, lambda v: f"(contains({v}, '.') and rlike({v}, '^[0-9.]+$'))"
+    idcard = lit(java_pattern("^(?:" + dict(C.ENTITY_STAGE)["idcard"] + ")$"))
+    told = [
+        ("url", lambda v: f"contains({v}, '://')"), ("email", lambda v: f"contains({v}, '@')"),
+        ("amount", lambda v: f"left({v}, 1) in ('$', '¥', '￥')"), ("plate", LATE_RUNS["plate"]), ("mac", None),
+        ("api_key", lambda v: f"({v} >= 'a' and {v} < '{{' or {v} >= 'A' and {v} < '[' and length({v}) > 18)"),
+        ("ip", dotted), ("coordinates", None), ("date", lambda v: f"substr({v}, 5, 1) in ('-', '/', '年')"),
+        ("ssn", None), ("org_code", None), ("phone", DIGIT_RUNS["phone"]), ("bankcard", DIGIT_RUNS["bankcard"]),
+        ("postcode", DIGIT_RUNS["postcode"]),
+        ("idcard", lambda v: f"(length({v}) = 18 and rlike({v}, {idcard}))"),
+        *((k, None) for k in ("credit_code", *LETTER_RUNS)),
+    ]
+    kinds = [Kind(k, ords[k], 300, test) if test else Kind(k, 0, ranks[k], tests[k]) for k, test in told if test or k in ranks]
+    if "bankcard" in ranks:
+        kinds.append(Kind("bankcard", 0, ranks["bankcard"], tests["bankcard"]))
+    ascii_first = [*(part for part in early if part[0] != STARTS_WITH["plate"]), *(part for part in late.parts if not part[1].startswith(STARTS_WITH["plate"]))]
+    plate = [part for part in early if part[0] == STARTS_WITH["plate"]]
+    marks = f"[{OPEN}{CLOSE}]{{0,2}}"
+    return Sweep(
+        _sweep_pattern([("(?=[0-9A-Za-z._%+$¥￥\\p{Nd}-])", "|".join(f"{lead}(?:{p})" for lead, p in ascii_first)), *plate]),
+        _doubt(
+            r"A-Za-z\p{Nd}_%+@:/年月日$¥￥\-", f"{CJK}{marks}{CJK}{marks}[A-Z]", marks=[
+                FILL, rf"{OPEN}(?<=[\p{{Nd}}A-Za-z_日-].)", rf"{OPEN}\d+[^\x00-\x7F{CLOSE}年]", rf"{OPEN}\d{{1,3}}\.[^{CLOSE}]*\d{{6}}",
+                rf"{OPEN}(?=\d*[A-Z])[0-9A-Z]*(?<!\d)(?:\d{{6}}|\d{{11}}|\d{{16}})(?!\d)",
+            ],
+        ),
+        tuple(kinds), ("bankcard", bank_card_keep) if "bankcard" in ranks else None,
     )
 
 

@@ -116,19 +116,28 @@ def regex_spans(pieces: str, key: str, ord_: int, rank: int, kinds: Sequence[Kin
     return f"if(size({pieces}) = 2, array({alone}), {fold(hits, SPAN, f'length({pieces}[0])', span, 'a.pos + x.n')})"
 
 
-def sweep_spans(pieces: str, kinds: Sequence[Kind]) -> str:
-    """Spans of the matches of several rules in marked pieces; the first of ``kinds`` whose test a value passes names the rule."""
+def sweep_spans(marked_text: str, pieces: str, kinds: Sequence[Kind]) -> str:
+    """Spans of the matches of several rules in a marked text and its pieces; the first of ``kinds`` whose test a value passes names the rule.
+
+    Few matches are counted from the start of the text, many are walked over.
+    """
     told = "case " + " ".join(f"when {k.test('v')} then {i}" for i, k in enumerate(kinds[:-1])) + f" else {len(kinds) - 1} end"
-    hit = bind(f"substring_index(x, {lit(CLOSE)}, 1)", "v", f"named_struct('hit', v, 'len', length(v), 'kind', {told}, 'n', length(x) - 1)")
+    hits = f"transform(slice({pieces}, 2, size({pieces})), x -> substring_index(x, {lit(CLOSE)}, 1))"
 
-    def of_kind(values: Iterable[object]) -> str:
-        return f"array({', '.join(map(str, values))})[x.kind]"
+    def span(start: str, value: str, kind: str) -> str:
+        def of_kind(values: Iterable[object]) -> str:
+            return f"array({', '.join(map(str, values))})[{kind}]"
 
-    span = (
-        f"named_struct('start', a.pos, 'neglen', -x.len, 'ord', {of_kind(k.ord for k in kinds)}, 'rank', {of_kind(k.rank for k in kinds)}, "
-        f"'key', {of_kind(lit(k.key) for k in kinds)}, 'value', x.hit)"
-    )
-    return fold(f"transform(slice({pieces}, 2, size({pieces})), x -> {hit})", SPAN, f"length({pieces}[0])", span, "a.pos + x.n")
+        return (
+            f"named_struct('start', {start}, 'neglen', -length({value}), 'ord', {of_kind(k.ord for k in kinds)}, "
+            f"'rank', {of_kind(k.rank for k in kinds)}, 'key', {of_kind(lit(k.key) for k in kinds)}, 'value', {value})"
+        )
+
+    few = f"transform(vs, (v, i) -> {span(f'length(substring_index({marked_text}, {lit(OPEN)}, i + 1)) - 2 * i', 'v', 'ks[i]')})"
+    many = fold(
+        f"transform(slice({pieces}, 2, size({pieces})), (x, i) -> named_struct('hit', vs[i], 'kind', ks[i], 'n', length(x) - 1))",
+        SPAN, f"length({pieces}[0])", span("a.pos", "x.hit", "x.kind"), "a.pos + x.n")
+    return bind(hits, "vs", bind(f"transform(vs, v -> {told})", "ks", f"if(size(vs) <= {BLOCK}, {few}, {many})"))
 
 
 def word_spans(text: str, words: str, key: str, ord_: int, rank: int) -> str:
@@ -200,19 +209,22 @@ def by_rank(spans: str) -> str:
     return sorted_or(spans, f"sort_array(flatten(transform({runs}, run -> if(size(run) < 2, run, {pick}))))")
 
 
-def splice(text: str, spans: str, replacement: str) -> str:
-    """Text with every span ``x`` (sorted, disjoint) replaced by an expression.
+def splice(text: str, spans: str, replacement: str, end: str | None = None) -> str:
+    """Text with every span ``x`` (sorted, disjoint) replaced by an expression; ``end`` may name the field with its end.
 
     A substring is counted from the start of the text, so with many spans the text is
     cut once for each block of them, and then inside that part.
     """
-    before = "if(i = 0, 0, it[i - 1].start - it[i - 1].neglen)"
+    def after(x: str) -> str:
+        return f"{x}.{end}" if end else f"({x}.start - {x}.neglen)"
+
+    before = f"if(i = 0, 0, {after('it[i - 1]')})"
     few = f"""concat(array_join(transform(it, (x, i) -> concat(substr(__whole, {before} + 1, x.start - {before}), {replacement})), ''),
-        substr(__whole, element_at(it, -1).start - element_at(it, -1).neglen + 1))"""
+        substr(__whole, {after('element_at(it, -1)')} + 1))"""
     inner = f"""aggregate(blk, named_struct('pos', acc.pos, 'out', cast(array() as array<string>)),
-        (a, x) -> named_struct('pos', x.start - x.neglen, 'out', concat(a.out, array(
+        (a, x) -> named_struct('pos', {after('x')}, 'out', concat(a.out, array(
             concat(substr(part, a.pos - acc.pos + 1, x.start - a.pos), {replacement})))))"""
-    last = "(element_at(blk, -1).start - element_at(blk, -1).neglen)"
+    last = after('element_at(blk, -1)')
     step = bind(f"substr(__whole, acc.pos + 1, {last} - acc.pos)", "part", bind(
         inner, "b", "named_struct('pos', b.pos, 'out', concat(acc.out, array(array_join(b.out, ''))))"))
     blocks = f"transform(sequence(0, greatest(size(it) - 1, 0) div {BLOCK}), k -> slice(it, k * {BLOCK} + 1, {BLOCK}))"

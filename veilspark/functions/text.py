@@ -23,8 +23,9 @@ def alpha_id(n: str) -> str:
     """Letters-only id of a positive number: 1 -> A, 26 -> Z, 27 -> AA."""
     abc = lit(LETTERS)
     last = f"substr({abc}, cast(({n} - 1) % 26 + 1 as int), 1)"
+    # most texts need the first letters only: looked up in a constant
     return f"""case
-        when {n} <= 26 then {last}
+        when {n} <= 26 then substr({abc}, cast({n} as int), 1)
         when {n} <= 702 then concat(substr({abc}, cast(({n} - 1) div 26 as int), 1), {last})
         else aggregate(
             sequence(1, 14),

@@ -91,6 +91,13 @@ def detect_steps(
         steps += [*_stage(user, "__user", by_rank), _blank_found("__user")]
         found.append("__user")
     tested: list[str] = []
+    whole = M.whole_sweep(pack) if pack.entity_stage and not user else None
+    if whole:
+        # a text swept as a whole is empty to the stages that follow
+        steps += [
+            *_swept(whole, "__whole"), {"__whole": f"if(size(__whole_pieces) > 1, {_sweep_choice(whole, '__whole')}, {NO_SPANS})"},
+            {_SCAN: f"if(__whole_swept, '', {_SCAN})"},
+        ]
     if pack.entity_stage:
         entity = M.entity_matchers(pack)
         off = sorted({k for m in entity for k in m.keys if not pack.is_enabled(k)})
@@ -107,8 +114,28 @@ def detect_steps(
 
     steps.append({"__all": f"concat({', '.join(found)})" if found else NO_SPANS})
     # a later span may enclose an earlier one (a keyword inside a URL): the outer one stays
-    chosen = original_values(leftmost_longest("__all"), text)
-    return [*steps, {out: f"if(size(__all) = 0, {NO_SPANS}, {chosen})"}]
+    chosen = f"if(size(__all) = 0, {NO_SPANS}, {original_values(leftmost_longest('__all'), text)})"
+    return [*steps, {out: f"if(__whole_swept, __whole, {chosen})" if whole else chosen}]
+
+
+def _swept(sweep: M.Sweep, out: str, first: str = "true") -> Steps:
+    """The text marked by a sweep, whether that does for it, and if so its pieces."""
+    swept = f"{out}_swept"
+    return [
+        {f"{out}_marked": f"case when {first} then {marked(_SCAN, sweep.pattern)} end" if first != "true" else marked(_SCAN, sweep.pattern)},
+        {swept: f"{out}_marked is not null and not rlike({out}_marked, {sweep.doubt})"},
+        {f"{out}_pieces": f"case when {swept} then split({out}_marked, {lit(OPEN)}, -1) end"},
+    ]
+
+
+def _sweep_choice(sweep: M.Sweep, out: str) -> str:
+    """The spans of a sweep; of rules with the same key only the last one has a test for its values."""
+    spans = sweep_spans(f"{out}_marked", f"{out}_pieces", sweep.kinds)
+    if sweep.keep:
+        key, test = sweep.keep
+        rank = [k.rank for k in sweep.kinds if k.key == key][-1]
+        spans = f"filter({spans}, s -> s.rank <> {rank} or s.key <> {lit(key)} or {test('s.value')})"
+    return spans
 
 
 def _row_words(words: str, pack: RulePack) -> str:
@@ -178,17 +205,11 @@ def _stage(
     bases = sorted({b for g in guards if g not in tested for b in M.NEEDS.get(g, [])})
     at_once = []
     if sweep:
-        spans = sweep_spans(f"{out}_pieces", sweep.kinds)
-        if sweep.keep:
-            spans = f"filter({spans}, s -> s.key <> {lit(sweep.keep[0])} or {sweep.keep[1]('s.value')})"
+        spans = _sweep_choice(sweep, out)
         if set(off) & {k.key for k in sweep.kinds}:
             spans = f"filter({spans}, s -> s.key not in ({off_keys}))"
         chosen = f"if({swept}, {spans}, {chosen})"
-        at_once = [
-            {f"{out}_marked": f"case when {first} then {marked(_SCAN, sweep.pattern)} end"},
-            {swept: f"{out}_marked is not null and not rlike({out}_marked, {sweep.doubt})"},
-            {f"{out}_pieces": f"case when {swept} then split({out}_marked, {lit(OPEN)}, -1) end"},
-        ]
+        at_once = _swept(sweep, out, first)
     steps = [
         *at_once,
         {f"__base_{b}": f"not {swept} and {M.BASES[b](_SCAN)}" for b in bases},
