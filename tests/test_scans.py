@@ -6,6 +6,7 @@ from veilspark import RulePack, mask
 from veilspark.functions import matchers as M
 from veilspark.operators.detect import applied, detect, detect_steps
 
+from veilspark.sources.tables import spread
 
 from test_bruteforce import expected
 
@@ -85,3 +86,9 @@ def test_many_matches_in_one_text(spark):
     assert [(m.start, m.end, m.value) for m in r.mappings] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", text)]
     assert [m.seq for m in r.mappings] == list(range(1, 141))
     assert r.stats == {"email": 70, "phone": 70}
+
+
+def test_narrow_rows_are_dealt_out(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 40, 1, 1), spark.range(0, 40, 1, cores)
+    assert [spread(x, n).rdd.getNumPartitions() for x in (few, many) for n in (False, True)] == [cores, cores, cores, 4 * cores]
