@@ -70,11 +70,11 @@ def test_one_scan_for_both_stages(spark):
         ("E12342024-01-01", False), ("x\ue00013812345678", False), ("在在京A12345", False),
     ]
     df = spark.createDataFrame([(t,) for t, _ in rows] + [(None,)], "text string")
-    done = applied(df, detect_steps("text")).select("text", "__whole_swept", "spans").collect()
+    done = applied(df, detect_steps("text")).select("text", "__once_swept", "spans").collect()
     for r, (text, whole) in zip(done, rows):
         got = [(s.start, s.start - s.neglen, s.key, s.value) for s in r["spans"]]
         assert got == expected(text, RulePack()), text
-        assert r["__whole_swept"] == whole, text
+        assert r["__once_swept"] == whole, text
     assert not done[-1]["spans"] and mask(df).collect()[-1].masked is None
     for pack in (RulePack().disable("phone"), RulePack().enable("person"), RulePack(card_luhn="strict"), RulePack().enable("military_id")):
         assert M.whole_sweep(pack) is None

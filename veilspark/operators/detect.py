@@ -95,8 +95,8 @@ def detect_steps(
     if whole:
         # a text swept as a whole is empty to the stages that follow
         steps += [
-            *_swept(whole, "__whole"), {"__whole": f"if(size(__whole_pieces) > 1, {_sweep_choice(whole, '__whole')}, {NO_SPANS})"},
-            {_SCAN: f"if(__whole_swept, '', {_SCAN})"},
+            *_swept(whole, "__once"), {"__once": f"if(size(__once_pieces) > 1, {_sweep_choice(whole, '__once')}, {NO_SPANS})"},
+            {_SCAN: f"if(__once_swept, '', {_SCAN})"},
         ]
     if pack.entity_stage:
         entity = M.entity_matchers(pack)
@@ -115,7 +115,7 @@ def detect_steps(
     steps.append({"__all": f"concat({', '.join(found)})" if found else NO_SPANS})
     # a later span may enclose an earlier one (a keyword inside a URL): the outer one stays
     chosen = f"if(size(__all) = 0, {NO_SPANS}, {original_values(leftmost_longest('__all'), text)})"
-    return [*steps, {out: f"if(__whole_swept, __whole, {chosen})" if whole else chosen}]
+    return [*steps, {out: f"if(__once_swept, __once, {chosen})" if whole else chosen}]
 
 
 def _swept(sweep: M.Sweep, out: str, first: str = "true") -> Steps:
