@@ -100,6 +100,16 @@ def test_pairs_around_anchors():
     assert [len(s[1]) / 2048 for s in anchors.steps][0] == 1
 
 
+def test_visitors_are_not_broadcast(spark, tmp_path):
+    """A small file makes 62 times as many rows, which no size limit of a broadcast sees."""
+    prints = [7, 6, 4, 3 << 40, (3 << 40) + 1, -1, -4, None]
+    spark.createDataFrame([(f,) for f in prints], "fingerprint long").write.parquet(f"{tmp_path}/prints")
+    pairs = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in pairs.collect()} == {
+        (a, b) for a in prints[:-1] for b in prints[:-1] if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
+
+
 def test_chain_and_empty(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "src long, dst long")
     got = {r[0]: r[1] for r in simhash.components(chain).collect()}

@@ -168,6 +168,9 @@ def links(classes: DataFrame, column: str = "fingerprint") -> DataFrame:
     within covering radius plus threshold.  One join by anchor compares homes
     with visitors, and finds each pair once.  A fingerprint has at most 2,080
     possible partners, so no group can yield all its pairs.
+
+    Spark sizes both sides by the table that Python read and knows nothing of the 62 rows per
+    fingerprint, so it would send the visitors of a small table to the driver: both are shuffled.
     """
     values = classes.select(F.col(column).alias("f")).where("f is not null").distinct()
 
@@ -187,7 +190,7 @@ def links(classes: DataFrame, column: str = "fingerprint") -> DataFrame:
 
     left = values.mapInArrow(homes, "anchor long, src long")
     right = values.mapInArrow(visitors, "anchor long, dst long")
-    return left.join(right, "anchor").where(
+    return left.hint("merge").join(right.hint("merge"), "anchor").where(
         "src < dst and bit_count(src ^ dst) <= " + str(THRESHOLD)).select("src", "dst")
 
 
