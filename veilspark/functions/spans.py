@@ -76,8 +76,15 @@ def marked_pieces(text: str, pattern: str) -> str:
     return f"split({marked(text, pattern)}, {lit(OPEN)}, -1)"
 
 
-def bind(value: str, name: str, body: str) -> str:
-    """Compute a value once and use it by name in an expression."""
+def bind(value: str, name: str, body: str, kind: str | None = None) -> str:
+    """Compute a value once and use it by name in an expression.
+
+    Spark asks an array of lambda results for its type whenever it takes one out, and the answer asks the
+    expression inside twice, so time doubles with every level of binding.  An aggregate has the type
+    of its start: ``kind``, the type of the result, is for bindings of many levels.
+    """
+    if kind:
+        return f"aggregate(array({value}), cast(null as {kind}), (__none, {name}) -> {body})"
     return f"transform(array({value}), {name} -> {body})[0]"
 
 

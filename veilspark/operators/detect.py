@@ -36,8 +36,8 @@ def applied(df: DataFrame, steps: Steps) -> DataFrame:
     return df
 
 
-def closed(steps: Steps, result: str) -> str:
-    """The steps as one expression with ``result`` inside.
+def closed(steps: Steps, result: str, kind: str) -> str:
+    """The steps as one expression with ``result`` of type ``kind`` inside.
 
     The values of a step are bound together, as a struct: the analyzer takes a
     round for every level of binding, so there must not be one for every value.
@@ -53,7 +53,7 @@ def closed(steps: Steps, result: str) -> str:
         now |= {name: f"__step{i}.{name}" for name in step}
     result = renamed(result)
     for i, value in reversed(list(enumerate(values))):
-        result = bind(value, f"__step{i}", result)
+        result = bind(value, f"__step{i}", result, kind)
     return result
 
 

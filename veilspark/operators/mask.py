@@ -69,11 +69,12 @@ def mask_expression(text: str, pack: RulePack = RulePack()) -> str:
     labels = label_steps(text)
     result = "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in labels[-1].items()) + ")"
     steps = detect_steps(text, pack, "__spans", once=False) + labels[:-1]
-    return f"if({text} is null, cast(null as struct<masked:string,mappings:{MAPPINGS},stats:map<string,bigint>>), {closed(steps, result)})"
+    kind = f"struct<masked:string,mappings:{MAPPINGS},stats:map<string,bigint>>"
+    return f"if({text} is null, cast(null as {kind}), {closed(steps, result, kind)})"
 
 
 def detect_expression(text: str, pack: RulePack = RulePack()) -> str:
     """``detect`` as one SQL expression: array<struct<entity_type, start, end, value>>."""
     spans = "transform(__spans, s -> named_struct('entity_type', s.key, 'start', s.start, 'end', s.start - s.neglen, 'value', s.value))"
     kind = "array<struct<entity_type:string,start:int,end:int,value:string>>"
-    return f"if({text} is null, cast(null as {kind}), {closed(detect_steps(text, pack, '__spans', once=False), spans)})"
+    return f"if({text} is null, cast(null as {kind}), {closed(detect_steps(text, pack, '__spans', once=False), spans, kind)})"
