@@ -59,3 +59,11 @@ def test_words_with_blanks_around_count_without_them(spark):
     df = spark.createDataFrame([(1, "a word and words"), (2, "words")], "id int, text string")
     masked = keywords.mask_with_dictionary(df, ["id"], dictionary(spark, [" word "])).orderBy("id")
     assert [len(r.mappings) for r in masked.collect()] == [2, 0]
+
+
+def test_large_dictionary_looks_its_beginnings_up_in_place(spark, texts, monkeypatch):
+    """More words than may be broadcast, but not more beginnings: no place of a text is shuffled."""
+    monkeypatch.setattr(keywords, "SMALL_WORDS", 11)
+    found = keywords.keyword_matches(texts, ["id"], dictionary(spark, WORDS))
+    assert "flatten" not in plan(found) and "collect_set(struct" not in plan(found)
+    assert Counter(map(tuple, found.collect())) == places(ROWS, WORDS)

@@ -19,6 +19,8 @@ ANCHOR, CUT = 4, 256
 BLOCK, STEP = 8192, 64
 # Up to this size, in words and in characters, a dictionary is joined in place.
 SMALL_WORDS, SMALL_CHARS = 200_000, 4_000_000
+# Characters that the beginnings of a larger dictionary may have, as many as leave no more than SMALL_WORDS of them.
+LONGEST_ANCHOR = 12
 
 
 def _stored(keywords: DataFrame) -> DataFrame:
@@ -38,7 +40,8 @@ def keyword_matches(
     looked up among the beginnings of the keywords (ANCHOR characters at most), the
     places left give strings in the lengths that keywords with that beginning have,
     and these are joined with the keywords.  A small dictionary is looked up where
-    the text is, without a shuffle; see ``_shuffled`` for a larger one.
+    the text is, without a shuffle.  Of a larger one only the beginnings are, as long as few
+    enough differ, and the strings left are shuffled; see ``_shuffled`` for one with more beginnings or long words.
     """
     words = _stored(keywords)
     longest, lengths, count, chars = words.selectExpr(
@@ -47,16 +50,37 @@ def keyword_matches(
         return df.select(*keys, F.lit("").alias("keyword"), F.lit(0).cast("long").alias("start"),
                          F.lit(0).cast("long").alias("end")).filter("false")
     texts = df.select(*keys, F.col(text).alias("__t")).filter("length(__t) > 0")
-    way = _in_place if count <= SMALL_WORDS and chars <= SMALL_CHARS else _shuffled
-    found = way(texts, keys, words, longest, sorted(lengths))
+    if count <= SMALL_WORDS and chars <= SMALL_CHARS:
+        found = _in_place(texts, keys, words, F.broadcast(words), longest, sorted(lengths))
+    elif longest <= STEP and (begun := _begun(words)):
+        found = _in_place(texts, keys, begun[0], words, longest, begun[1])
+    else:
+        found = _shuffled(texts, keys, words, longest, sorted(lengths))
     return found.selectExpr(
         *keys, "keyword", "cast(__at as bigint) as start", "cast(__at + n as bigint) as end")
 
 
-def _in_place(texts: DataFrame, keys: list[str], words: DataFrame, longest: int, lengths: list[int]) -> DataFrame:
-    """Places are rows only between two lookups of the same task; no lambda runs once per place.
+def _begun(words: DataFrame) -> tuple[DataFrame, list[int]] | None:
+    """The words with the longest beginnings of which no more than SMALL_WORDS differ, and the lengths of these.
+
+    The longer they are, the fewer strings of a text have to be compared with the words.
+    """
+    sizes = range(ANCHOR, LONGEST_ANCHOR + 1)
+    few = words.agg(*[F.count_distinct(F.xxhash64(F.substring("keyword", 1, n))) for n in sizes]).first()
+    fitting = [n for n, count in zip(sizes, few) if count <= SMALL_WORDS]
+    if not fitting:
+        return None
+    begun = words.withColumn("anchor", F.substring("keyword", 1, max(fitting)))
+    return begun, sorted(begun.selectExpr("collect_set(length(anchor))").first()[0])
+
+
+def _in_place(
+    texts: DataFrame, keys: list[str], words: DataFrame, looked_up: DataFrame, longest: int, lengths: list[int],
+) -> DataFrame:
+    """Places are rows only until their beginnings are looked up in the same task; no lambda runs once per place.
 
-    Beginnings are looked up by a hash; the join with the keywords drops what it lets through.
+    Beginnings are looked up by a hash; the join with the keywords drops what it lets through.  ``looked_up`` are
+    the keywords of that join, broadcast or not.
     """
     blocks = texts.select(*keys, F.expr(f"""inline(transform(
         sequence(0, (length(__t) - 1) div {BLOCK}),
@@ -78,7 +102,7 @@ def _in_place(texts: DataFrame, keys: list[str], words: DataFrame, longest: int,
         *keys, F.expr("__block + __from + __i - 1").alias("__at"), "__part", "__i", F.explode("__lengths").alias("__n")
     ).select(*keys, "__at", "__n", F.expr("substr(__part, __i, __n)").alias("__word"))
     return strings.join(
-        F.broadcast(words.select("keyword", "n")), (F.col("__word") == F.col("keyword")) & (F.col("__n") == F.col("n")))
+        looked_up.select("keyword", "n"), (F.col("__word") == F.col("keyword")) & (F.col("__n") == F.col("n")))
 
 
 def _shuffled(texts: DataFrame, keys: list[str], words: DataFrame, longest: int, lengths: list[int]) -> DataFrame:
